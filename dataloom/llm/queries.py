@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataloom.llm import token_counts
-from dataloom.llm.common import table
+from dataloom.llm import decontamination, html_text, language_id, mixing, simhash, sketches, token_counts, warc
+from dataloom.llm.common import shared_folder, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,93 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("doc_id", "n_bytes", n, token_counts.over_limit(n, 512).alias("over_limit"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontamination.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.n_hit_words()
+    return hits.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP4_SQL = r"""
+WITH doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+grams AS (
+  SELECT d.doc_id, s.n, i, array_to_string(d.w[i : i + s.n - 1], ' ') AS gram
+  FROM (SELECT d.doc_id, d.w, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS i FROM doc_words d, (SELECT DISTINCT n FROM windows) s) d
+  JOIN (SELECT DISTINCT n FROM windows) s ON d.n = s.n),
+hits AS (SELECT g.doc_id, g.n, g.i, w.item_id FROM grams g JOIN windows w ON g.n = w.n AND g.gram = w.gram),
+positions AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t.names, '')) AS items_sha256,
+       coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN positions p USING (doc_id) LEFT JOIN items t USING (doc_id)
+"""
+
+
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+    return classes.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_pairs(table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "archives")
+    warc.write_arc(table(spark, sf_dir, "pages"), f"{folder}/arc")
+    warc.arc_to_warc(spark, f"{folder}/arc", f"{folder}/warc")
+    records = warc.resolved_revisits(warc.read_warc(spark, f"{folder}/warc"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH sized AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS original FROM sized)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM ranked
+"""
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    codes = language_id.fit(docs.where(~language_id.held_out("doc_id")), order=F.xxhash64("doc_id"))
+    found = language_id.identify(docs, codes)
+    return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_counts": op1_token_counts}
+    found = (
+        op1_token_counts, op4_decontamination, op5_warc, op6_language_id, op7_simhash_near_dedup, op8_html_extraction,
+        op9_mixing, op10_document_fingerprints,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": mixing.ORACLE_SQL}
