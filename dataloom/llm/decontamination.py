@@ -161,3 +161,27 @@ def benchmark_hits(
 
 def n_hit_words():
     return F.expr("aggregate(spans, 0L, (n, s) -> n + (s.last - s.first))")
+
+
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10,
+    block_bytes: int = 8 << 20,
+) -> DataFrame:
+    """The rows of `docs` that no item window occurs in, all columns, without a shuffle."""
+    at_text = docs.columns.index(text_col)
+
+    def scan(broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = _table_of(broadcast, window)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    texts = part.column(at_text).cast(pa.binary()).to_pylist()
+                    yield part.filter(pa.array([not finder.search(words_of(t))[0] for t in texts], pa.bool_()))
+
+        return run
+
+    out = docs
+    for block in _item_blocks(items, item_id, item_text, block_bytes):
+        out = out.mapInArrow(scan(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataloom.llm import decontamination, html_text, language_id, mixing, simhash, sketches, token_counts, warc
+from dataloom.llm import decontamination, html_text, language_id, mixing, passages, quality, simhash, sketches, token_counts, warc
 from dataloom.llm.common import shared_folder, table
 
 
@@ -97,10 +97,20 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorers = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs.select("doc_id", "text"), scorers).select("doc_id", "quality", "toxicity", "keep")
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_token_counts, op4_decontamination, op5_warc, op6_language_id, op7_simhash_near_dedup, op8_html_extraction,
-        op9_mixing, op10_document_fingerprints,
+        op1_token_counts, op2_quality_classifier, op3_substring_dedup, op4_decontamination, op5_warc, op6_language_id,
+        op7_simhash_near_dedup, op8_html_extraction, op9_mixing, op10_document_fingerprints,
     )
     return {f.__name__: f for f in found}
 
