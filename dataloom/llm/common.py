@@ -51,6 +51,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hashed_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """About `rows` rows of df (all, if it has no more): those whose key hashes lowest."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.xxhash64(key) < -(1 << 63) + int((1 << 64) * (rows / n)))
+
+
 def chunks(rows: list[tuple], size_of, limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
     """Runs of whole rows of about `limit` bytes; a longer row is a run of its own."""
     part, held = [], 0

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_WORD, chunks
+from dataloom.llm.common import LOWER_BY_WORD, chunks, hashed_sample
 
 BUCKETS = 1 << 15
-#: Training rows by which the bits' reliability is estimated; a random sample of fixed size.
+#: Training rows, about, by which the bits' reliability is estimated; chosen by hash.
 SAMPLE_ROWS = 2000
 #: n-grams of a text that count in full; of longer texts the mean is taken for as many.
 EVIDENCE = 40
@@ -116,9 +116,9 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order: Column | None = None) -> Codes | None:
-    """Learns codes from all rows with a text and a language; `order` (any hash) picks the sample for reliability."""
-    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (order if order is not None else F.xxhash64(text_col)).alias("place"))
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None) -> Codes | None:
+    """Learns codes from all rows with a text and a language; hashes of `key` (or the text) pick the sample for reliability."""
+    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (key if key is not None else F.col(text_col)).alias("key"))
     counts = ngram_counts(rows.select("lang", "text")).toPandas()
     languages = sorted(counts["lang"].unique())
     if not languages:
@@ -132,7 +132,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", order:
         weights[b, :BUCKETS] = np.log(rates[words[:, b] > 0].mean(axis=0)) - np.log(rates[words[:, b] < 0].mean(axis=0))
     codes = Codes(languages, words, weights, np.ones(words.shape[1]))
     if len(languages) > 1:
-        sample = rows.orderBy("place").select("lang", "text").limit(SAMPLE_ROWS).collect()
+        sample = hashed_sample(rows, F.col("key"), SAMPLE_ROWS).select("lang", "text").collect()
         truth = words[pd.Categorical([r["lang"] for r in sample], languages).codes]
         wrong = ((codes.bits([r["text"].encode() for r in sample]) * truth <= 0).sum(axis=0) + 1) / (len(sample) + 2)
         codes.reliability = np.maximum(np.log((1 - wrong) / wrong), 0.05)

@@ -7,7 +7,7 @@ at its own rate on bad and on good rows) estimates the accuracies of all of them
 row a posterior. The posteriors are the targets of a logistic regression over hashed features (presence of words
 and of shape votes), which scores every document; labels are not read then.
 
-The model is fitted on at most `SAMPLE_ROWS` labelled rows, chosen by the hash of their id, whatever the size of the
+The model is fitted on about `SAMPLE_ROWS` labelled rows, chosen by the hash of their id, whatever the size of the
 corpus; every document is scored, over its whole text. Without enough labelled rows (`LEAST_ROWS`) the shape votes
 decide alone. Null, empty and wordless texts have quality 0 and are rejected. Repeated rows get equal scores; rows
 with several labels take the worst. Only the id and text columns (and doc_id, quality, toxic of the labels) are read.
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_WORD, chunks, shingle_hashes, word_hashes
+from dataloom.llm.common import LOWER_BY_WORD, chunks, hashed_sample, shingle_hashes, word_hashes
 
-#: Labelled rows that the model is fitted on at most, and below which no model is fitted.
+#: Labelled rows, about, that the model is fitted on at most, and below which no model is fitted.
 SAMPLE_ROWS, LEAST_ROWS = 10_000, 40
 #: Hashed features: 2^24 places, of which the scorer keeps the words that tell most.
 HASH_BITS, WORD_FEATURES = 24, 256
@@ -156,7 +156,7 @@ def _fit_one(places, shape, votes, start, names) -> Scorer:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, Scorer]:
     """Scorers of low quality and of toxicity; `accuracies` has each labeller's estimated hit rates on bad and good."""
     marked = labels.groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__quality"), F.max("toxic").alias("__toxic"))
-    sample = F.broadcast(marked.orderBy(F.xxhash64("__id"), "__id").limit(sample_rows))  # at most sample_rows narrow rows
+    sample = F.broadcast(hashed_sample(marked, F.col("__id"), sample_rows))  # about sample_rows narrow rows
     rows = docs.select(F.col(id_col).alias("__doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).join(sample, F.col("__doc") == F.col("__id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,7 +88,7 @@ FROM ranked
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    codes = language_id.fit(docs.where(~language_id.held_out("doc_id")), order=F.xxhash64("doc_id"))
+    codes = language_id.fit(docs.where(~language_id.held_out("doc_id")), key=F.col("doc_id"))
     found = language_id.identify(docs, codes)
     return found.select("doc_id", language_id.held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
