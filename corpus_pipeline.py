@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataloom.llm import decontamination, mixing, passages, quality, simhash
-from dataloom.llm.common import shared_folder, table
+from dataloom.llm.common import shared_folder, table, unused
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,11 +38,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with `repetitions` (whole and fractional ones drawn), size, target and taken."""
+    key, size = unused(docs, "mix_id"), unused(docs, "mix_size")
     mixed = mixing.mix(docs).where("repetitions > 0")
-    mixed = mixed.groupBy(F.col("doc_id").alias("__id"), "size").agg(F.max("repetitions").alias("repetitions"), F.max("target").alias("target"), F.max("taken").alias("taken"))
-    sized = docs.withColumn("__size", mixing.word_count(F.col("text")))
-    both = sized.join(mixed, sized["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("size")))
-    return both.select(*docs.columns, "size", "target", "repetitions", "taken")
+    mixed = mixed.groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(*[F.max(c).alias(f"mix_of_{c}") for c in ("target", "repetitions", "taken")])
+    own = unused(docs, "own_size")
+    sized = docs.withColumn(own, mixing.word_count(F.col("text")))
+    both = sized.join(mixed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(size)))
+    added = [F.col(own).alias("size"), *[F.col(f"mix_of_{c}").alias(c) for c in ("target", "repetitions", "taken")]]
+    return both.select(*docs.columns, *added)
 
 
 STAGES = [

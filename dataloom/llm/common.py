@@ -59,6 +59,14 @@ def hashed_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(F.xxhash64(key) < -(1 << 63) + int((1 << 64) * (rows / n)))
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def chunks(rows: list[tuple], size_of, limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
     """Runs of whole rows of about `limit` bytes; a longer row is a run of its own."""
     part, held = [], 0
@@ -139,6 +147,8 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
 def min_label_components(edges: DataFrame, a: str, b: str, label: str = "component") -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, label), label the smallest node reachable.
 
+    The smallest node of a component has no row of its own.
+
     Alternates large-star and small-star joins, which only ever link a node to a smaller one, until no link
     changes. Each round is checkpointed in the shared folder; nothing but two counters reaches the driver, and
     neighbourhoods are reduced to their minimum (map-side combined) instead of being listed.

@@ -14,6 +14,7 @@ Repeated documents are separate rows. Columns other than those named are not rea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -84,15 +85,21 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_tables: dict[int, WuManber] = {}
+_tables: dict[str, WuManber] = {}
 
 
-def _table_of(broadcast, window: int) -> WuManber:
-    key = broadcast._jbroadcast.id() if getattr(broadcast, "_jbroadcast", None) else id(broadcast)
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = WuManber(broadcast.value, window)
-    return _tables[key]
+def _table_of(shared, window: int) -> WuManber:
+    """The worker's tables of a broadcast block (name, items); names are unique, so tables are never mixed up."""
+    name, items = shared.value
+    if name not in _tables:
+        if len(_tables) >= 4:
+            _tables.clear()
+        _tables[name] = WuManber(items, window)
+    return _tables[name]
+
+
+def _shared(docs: DataFrame, block: list[tuple[str, str]]):
+    return docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, block))  # of bounded size
 
 
 def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
@@ -113,7 +120,6 @@ def benchmark_hits(
     item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Per row of `docs`: the id, n_words, `spans` of hit word positions (merged, ordered), `items` (ids as strings, sorted)."""
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = _STATE.format(id=id_type)
 
@@ -152,7 +158,7 @@ def benchmark_hits(
     block = next(blocks, [])
     while True:
         following = next(blocks, None)
-        state = state.mapInArrow(scan(spark.sparkContext.broadcast(block), following is None), schema)
+        state = state.mapInArrow(scan(_shared(docs, block), following is None), schema)
         if following is None:
             break
         block = following
@@ -183,5 +189,5 @@ def without_contaminated(
 
     out = docs
     for block in _item_blocks(items, item_id, item_text, block_bytes):
-        out = out.mapInArrow(scan(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        out = out.mapInArrow(scan(_shared(docs, block)), docs.schema)
     return out

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_SPACE, checkpointed, min_label_components
+from dataloom.llm.common import LOWER_BY_SPACE, checkpointed, min_label_components, unused
 
 RADIUS = 3
 BITS = 64
@@ -188,8 +188,9 @@ def hex_of(fp: Column) -> Column:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """`docs` with one row of each component, that of its least id; of repeated rows of that id and fingerprint one."""
     classes = checkpointed(near_duplicate_classes(docs, id_col, text_col, shingle, radius))
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("fp").alias("__fp")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__id"))
+    key, print_, own, n = (unused(docs, x) for x in ("stays_id", "stays_print", "own_print", "place_of_row"))
+    stay = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key), F.col("fp").alias(print_)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(key))
     if classes.groupBy(id_col).count().where("count > 1").limit(1).count() == 0:
         return docs.join(stay, same, "left_semi")
 
@@ -198,7 +199,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         values = np.array([fingerprint((t or "").encode(), shingle) for t in texts], np.uint64)
         return type(texts)(values.view(np.int64))
 
-    marked = docs.withColumn("__own", print_of(F.col(text_col))).withColumn("__n", F.row_number().over(W.partitionBy(id_col, "__own").orderBy(text_col)))
-    marked = marked.where("__n = 1")
-    stays = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__fp"))
-    return marked.join(stay, stays, "left_semi").select(*docs.columns)
+    marked = docs.withColumn(own, print_of(F.col(text_col))).withColumn(n, F.row_number().over(W.partitionBy(id_col, own).orderBy(text_col)))
+    stays = same & (F.col(own) == F.col(print_))
+    return marked.where(F.col(n) == 1).join(stay, stays, "left_semi").select(*docs.columns)

@@ -120,7 +120,7 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000") -> No
                 out.append(line + head + html)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows = pages.mapInArrow(run, "value string")
+    rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "value string")
     rows.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
