@@ -301,11 +301,10 @@ def m09_resolved_duplicates(spark, sf_dir):
     return dedup.resolved(table(spark, sf_dir, "embeddings"), _vector_report(spark, sf_dir), "vec_id").select("vec_id")
 
 
-@query(f"""WITH {PAIRS_SQL[5:]}
-SELECT id_a, id_b, CAST(row_number() OVER (ORDER BY sim DESC, id_a, id_b) AS INTEGER) AS place FROM r""")
+@query(f"{PAIRS_SQL} SELECT id_a, id_b FROM r ORDER BY sim DESC, id_a, id_b")
 def o04_pairs_by_score(spark, sf_dir):
     pairs = dedup.similar_pairs(table(spark, sf_dir, "embeddings"), 0.42, "vec_id")
-    return pairs.select("id_a", "id_b", F.row_number().over(W.orderBy(F.desc("similarity"), "id_a", "id_b")).alias("place"))
+    return pairs.orderBy(F.desc("similarity"), "id_a", "id_b").select("id_a", "id_b")
 
 
 @query(f"""WITH {EXAMPLES_SQL}, {PRICES_SQL}

@@ -29,9 +29,9 @@ def s05_multi_job_scan(spark, sf_dir):
     return scored_documents(spark, sf_dir).where(F.col("job_id").isin("src1", "src4", "src9")).select("id", "job_id")
 
 
-@query(f"WITH {JOBS_SQL} SELECT id, status, CAST(row_number() OVER (ORDER BY created_at DESC, id DESC) AS INTEGER) AS place FROM jobs")
+@query(f"WITH {JOBS_SQL} SELECT id, status, created_at FROM jobs ORDER BY created_at DESC, id DESC")
 def s06_jobs_newest_first(spark, sf_dir):
-    return order_jobs(spark, sf_dir).select("id", "status", F.row_number().over(W.orderBy(F.desc("created_at"), F.desc("id"))).alias("place"))
+    return catalog.newest(order_jobs(spark, sf_dir)).select("id", "status", "created_at")
 
 
 @query(f"WITH {EXAMPLES_SQL} SELECT id FROM ex WHERE judge_score IS NOT NULL AND model IN ('m0', 'm2') AND category <> 'en'")
