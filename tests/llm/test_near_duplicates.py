@@ -115,7 +115,9 @@ def words(text):
     return text.encode().translate(LOWER_BY_SPACE).split()
 
 
-def test_every_exact_repeat_of_fifty_words_is_reported(spark, sf_dir):
+@pytest.mark.parametrize("hot", [64, 3])
+def test_every_exact_repeat_of_fifty_words_is_reported(spark, sf_dir, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
     texts = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()}
     found = queries.op3_substring_dedup(spark, sf_dir).collect()
     spans = {}
@@ -134,6 +136,25 @@ def test_every_exact_repeat_of_fifty_words_is_reported(spark, sf_dir):
                 assert any(a <= i and i + 50 <= b for a, b in spans.get(d, [])), (d, first, i)
 
 
+def test_frequent_signatures_stay_tied():
+    rng = np.random.default_rng(2)
+    value = np.concatenate([np.full(900, 7), np.full(100, -8), rng.integers(-(1 << 62), 1 << 62, 3000)])
+    key, place = rng.permutation(4000).astype(np.int64), np.arange(4000)
+    dealt, keys, places = passages._spread(value, key, place, 64)
+    groups = {}
+    for v, k, p in zip(dealt.tolist(), keys.tolist(), places.tolist()):
+        groups.setdefault(v, set()).add((k, p))
+    assert max(map(len, groups.values())) < 80
+    for v in (7, -8):
+        mine = set(zip(key[value == v].tolist(), place[value == v].tolist()))
+        reached = set()
+        assert len(groups[v]) == 1 and groups[v] == {min(mine)}
+        for g in groups.values():
+            if g & groups[v]:
+                reached |= g
+        assert reached == mine
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.integers(0, 10**6))
 def test_planted_near_passages(spark, seed):
