@@ -7,6 +7,8 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,17 @@ def chunks(rows: list[tuple], size_of, limit: int = CHUNK_BYTES) -> Iterator[lis
         yield part
 
 
+def text_slices(batch: pa.RecordBatch, column: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows of at most `limit` bytes of text; a longer row is a run of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, start = np.cumsum(sizes, dtype=np.int64), 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -98,7 +111,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
             powers = np.full(size, base, np.uint64)
             powers[0] = 1
             tables.append(np.cumprod(powers, dtype=np.uint64))
-        if size > 16 * CHUNK_BYTES:
+        if size > 2 * CHUNK_BYTES:
             return tables
         _powers[:] = tables
     return _powers

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_WORD, chunks, hashed_sample, shingle_hashes, word_hashes
+from dataloom.llm.common import LOWER_BY_WORD, chunks, hashed_sample, shingle_hashes, text_slices, word_hashes
 
 #: Labelled rows, about, that the model is fitted on at most, and below which no model is fitted.
 SAMPLE_ROWS, LEAST_ROWS = 10_000, 40
@@ -206,8 +206,7 @@ def classify(docs: DataFrame, scorers: tuple[Scorer, Scorer], id_col: str = "doc
         low, harm = shared.value
         known = low.table(), harm.table()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in text_slices(batch, text_at):
                 texts = [t or b"" for t in part.column(text_at).cast(pa.binary()).to_pylist()]
                 votes, words = features(texts)
                 bad, toxic = low.score(votes, words, known[0]), harm.score(votes, words, known[1])

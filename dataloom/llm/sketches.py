@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import shingle_hashes, shuffle_width, word_hashes
+from dataloom.llm.common import shingle_hashes, shuffle_width, text_slices, word_hashes
 
 K = 256
 SHINGLE = 5
@@ -86,8 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in text_slices(batch, 1):
                 found = sketches([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()], k)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(map(to_string, found), pa.string()), pa.array([distinct_shingles(s, k) for s in found], pa.float64())],
