@@ -170,6 +170,23 @@ def test_planted_near_passages(spark, seed):
     assert sum(r["last_word"] - r["first_word"] for r in found) >= 100
 
 
+@pytest.mark.parametrize("n,changed", [(50, [1]), (50, [48]), (51, [0, 50]), (52, [1, 50]), (55, [2, 52]), (60, [1, 58])])
+@pytest.mark.parametrize("before,after", [(0, 0), (70, 70), (0, 70), (70, 0)])
+def test_edits_in_the_first_and_last_words_of_a_passage(n, changed, before, after):
+    rng = np.random.default_rng(n)
+    fresh = lambda k: rng.integers(0, 1 << 60, k).astype(np.uint64)
+    passage = fresh(n)
+    near = passage.copy()
+    near[changed] = fresh(len(changed))
+    a, b = (shingle_hashes(np.concatenate([fresh(before), p, fresh(after)]), 5) for p in (near, passage))
+    found = passages.common_passages(a, b, 50, 0.8)
+    assert len(found) == 1
+    first, last, s_first, s_last, jaccard = found[0]
+    assert last - first >= 46 and s_last - s_first >= 46 and before - 5 <= first and last <= before + n + 5
+    mine, theirs = set(a[first:last].tolist()), set(b[s_first:s_last].tolist())
+    assert jaccard == len(mine & theirs) / len(mine | theirs) >= 0.8
+
+
 def test_passage_edges(spark):
     docs = documents(spark, [doc(1, None), doc(2, ""), doc(3, f"a {PASSAGE} b"), doc(4, f"c d {PASSAGE} e"), doc(5, PASSAGE), doc(6, LONG), doc(7, LONG), doc(8, "x " * 200), doc(9, "y " + "x " * 300)])
     got = {(r["doc_id"], r["source_id"], r["first_word"], r["last_word"]) for r in passages.repeated_passages(docs).collect()}
