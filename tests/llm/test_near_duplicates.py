@@ -187,6 +187,21 @@ def test_edits_in_the_first_and_last_words_of_a_passage(n, changed, before, afte
     assert jaccard == len(mine & theirs) / len(mine | theirs) >= 0.8
 
 
+def test_pairs_that_agree_in_one_hash_are_verified(spark):
+    """Near passages of 50 words (similarity 0.804) that share the least hash of one function only."""
+    rng, texts = random.Random(4), []
+    for _ in range(1500):
+        passage = [f"w{rng.randrange(10**7)}" for _ in range(50)]
+        texts += [" ".join(passage), " ".join(passage[:20] + ["changed"] + passage[21:])]
+    hashed, offsets, *_ = passages.word_hashes([t.encode() for t in texts])
+    least = np.stack([value for value, *_ in passages.compact_windows(hashed, offsets)])  # one window per text and function
+    once = np.flatnonzero((least[:, ::2] == least[:, 1::2]).sum(axis=0) == 1)
+    assert len(once) > 3
+    rows = [doc(int(i), texts[i]) for k in once for i in (2 * k, 2 * k + 1)]
+    found = passages.repeated_passages(documents(spark, rows)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in found} == {(2 * k + 1, 2 * k) for k in once.tolist()}
+
+
 def test_passage_edges(spark):
     docs = documents(spark, [doc(1, None), doc(2, ""), doc(3, f"a {PASSAGE} b"), doc(4, f"c d {PASSAGE} e"), doc(5, PASSAGE), doc(6, LONG), doc(7, LONG), doc(8, "x " * 200), doc(9, "y " + "x " * 300)])
     got = {(r["doc_id"], r["source_id"], r["first_word"], r["last_word"]) for r in passages.repeated_passages(docs).collect()}
