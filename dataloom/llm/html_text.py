@@ -4,8 +4,9 @@ Markup is stripped to lines, one for each block of the page. A line's length cou
 none where the markup itself says that it is no article text (navigation, page header and footer, sidebar, form,
 advert, notice, reader comments). The lengths of every window of `WINDOW` lines are summed: where the sum rises from
 nothing is a surge point, where it falls back to nothing a dive point, and the lines between them are a candidate.
-Inside an article or main element all candidates are kept; on a page without one, those whose length is at least
-`SHARE` of the longest candidate's.
+Inside an article or main element every line that the markup does not exclude is kept, links too; on a page without
+one, the candidates in the container (division, section, page) of the longest candidate, and those elsewhere whose
+length is at least `SHARE` of the longest's.
 
 Character references are decoded, white space within a block becomes one space, blocks are trimmed and joined by one
 space in page order. Null html is an empty page; a page without text has an empty result. Repeated rows are
@@ -15,6 +16,7 @@ independent; only the id, url and html columns are read.
 from __future__ import annotations
 
 import html as entities
+import os
 import re
 from collections.abc import Iterator
 
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SHARE = 0.3
 
+#: Elements without text go; those closed by a slash alone end there, unless an end tag of their own follows.
+_WHOLE = "script|style|noscript|template|svg|math|textarea|select|iframe|object"
 _NEVER = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|math|textarea|select|iframe|object|head)\b[^>]*>.*?(?:</\1\s*>|$)|<![^>]*>|<\?[^>]*>",
+    rf"<!--.*?(?:-->|$)|<(?:svg|math)\b[^>]*/>|<({_WHOLE})(?:\s(?:[^>]*[\s\"'])?)?/>(?!(?:(?!<\1\b).)*?</\1\s*>)"
+    rf"|<({_WHOLE})\b[^>]*>.*?(?:</\2\s*>|$)|<![^>]*>|<\?[^>]*>",
     re.S | re.I,
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>")
@@ -50,6 +55,11 @@ MARKS = frozenset(
 )
 #: The same, outside an article or main element only.
 OUTER_MARKS = frozenset("header footer masthead copyright".split())
+#: The head ends at its end tag, else with the last element that may stand in it.
+_HEAD = re.compile(
+    rf"<head(?=[\s/>])[^>]*>(?:(?:(?!<(?:{'|'.join(sorted(BLOCKS - {'title'}))})\b).)*?</head\s*>|(?:\s|<title\b[^>]*>.*?(?:</title\s*>|$)|<(?:base|link|meta)\b[^>]*>)*(?:</head\s*>)?)",
+    re.S | re.I,
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -60,11 +70,11 @@ def _marks(attributes: str) -> set[str]:
     return words
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines (text, length that counts, within an article) in page order; whether there is an article or main element."""
-    page = _NEVER.sub(" ", page)
-    lines: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it holds no article text, whether it is article or main
+def lines_of(page: str) -> tuple[list[tuple[str, int, bool, tuple[int, ...]]], bool]:
+    """Lines (text, length that counts, within an article, containers) in page order; whether there is an article or main element."""
+    page = _HEAD.sub(" ", _NEVER.sub(" ", page))
+    lines: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # element, whether it holds no article text, whether it is article or main, place
     text: list[str] = []
     linked = at = out = inside = 0
     in_link = any_article = False
@@ -74,13 +84,13 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if text:
             line = " ".join(entities.unescape("".join(text)).split())
             if line:
-                lines.append((line, 0 if out else max(0, len(line) - linked), inside > 0))
+                lines.append((line, 0 if out else len(line) if inside else max(0, len(line) - linked), inside > 0, tuple(s[3] for s in stack)))
             text.clear()
         linked = 0
 
     def pop():
         nonlocal out, inside
-        _, no_text, article = stack.pop()
+        _, no_text, article, _ = stack.pop()
         out -= no_text
         inside -= article
 
@@ -90,7 +100,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if piece:
             text.append(piece)
             if in_link:
-                linked += len(" ".join(piece.split()))
+                linked += len(" ".join(entities.unescape(piece).split()))
         closing, name = bool(tag[1]), tag[2].lower()
         if name == "br":
             text.append("\n")
@@ -125,7 +135,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 close_line()
             article = article and not no_text
             any_article |= article and not out
-            stack.append((name, no_text, article))
+            stack.append((name, no_text, article, at))
             out += no_text
             inside += article
     rest = page[at:]
@@ -137,7 +147,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
 
 def main_text(page: str) -> str:
     lines, any_article = lines_of(page)
-    lengths = [n if inside or not any_article else 0 for _, n, inside in lines]
+    lengths = [n if inside or not any_article else 0 for _, n, inside, _ in lines]
     half = WINDOW // 2
     sums = [sum(lengths[max(0, i - half) : i + half + 1]) for i in range(len(lengths))]
     runs, start = [], None
@@ -148,8 +158,11 @@ def main_text(page: str) -> str:
             runs.append(range(start, i))  # dive
             start = None
     weight = [sum(lengths[i] for i in run) for run in runs]
-    least = 0 if any_article else SHARE * max(weight, default=0)
-    return " ".join(lines[i][0] for run, w in zip(runs, weight) if w >= least for i in run if lengths[i])
+    if not any_article and runs:
+        longest = max(weight)
+        around = os.path.commonprefix([lines[i][3] for i in runs[weight.index(longest)] if lengths[i]])
+        runs = [run for run, w in zip(runs, weight) if w >= SHARE * longest or any(lengths[i] and lines[i][3][: len(around)] == around for i in run)]
+    return " ".join(lines[i][0] for run in runs for i in run if lengths[i])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

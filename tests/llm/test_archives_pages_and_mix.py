@@ -64,6 +64,28 @@ def test_main_text(wrapped):
     assert html_text.main_text(PAGE % wrapped) == TEXT
 
 
+def test_article_keeps_its_links():
+    page = "<article><h1><a href='/t'>Title</a></h1><p>Text.</p><ul><li><a href='/1'>One</a></li></ul><p>Oui <a href='/2'>&eacute;&eacute;&eacute;&eacute;</a></p><p>End</p></article>"
+    assert html_text.main_text(PAGE % page) == "Title Text. One Oui éééé End"
+    assert html_text.main_text("<p>Oui <a href='/2'>&eacute;&eacute;&eacute;&eacute;</a></p>") == "Oui éééé"
+
+
+def test_short_end_of_an_article_after_a_box():
+    long = " ".join(["word"] * 60)
+    box = "<div class='related'>" + "<p>Box of words</p>" * 4 + "</div>"
+    for page in (f"<body><div><p>{long}</p>{box}<p>Short end.</p></div></body>", f"<body><p>{long}</p>{box}<ul><li>Short end.</li></ul></body>"):
+        assert html_text.main_text(page) == f"{long} Short end."
+
+
+@pytest.mark.parametrize("before", [
+    "<head><title>T</title><meta charset=utf-8>", "<head><title>T</title><body>", "<html><head>\n<link rel=a><script>var a='<p>no</p>'</script>\n<p></p>", "<head><title>T <p></title></head>",
+    "<svg width='1'/>", "<body><iframe src='/a' />", "<iframe/>", "<svg/><svg><text>no</text></svg>", "<iframe src='/a' />no</iframe>", "<script src='a' />no()</script>",
+])
+def test_unclosed_head_and_self_closing_tags(before):
+    assert html_text.main_text(f"{before}The text.<p>More.</p>") == "The text. More."
+    assert html_text.main_text(f"{before}<article><p>The text.</p></article>") == "The text."
+
+
 def test_page_without_article_keeps_the_long_lines():
     long = " ".join(["word"] * 60)
     menu = "".join(f'<li><a href="/{i}">Item {i}</a></li>' for i in range(8))
