@@ -105,7 +105,7 @@ def set_sizes(jobs: DataFrame) -> DataFrame:
     return jobs.agg(F.count_distinct("format").alias("n_formats"), F.count_distinct(F.coalesce("reasoning_format", F.lit("none"))).alias("n_reasoning_formats"))
 
 
-def lineage_leaves(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def lineage_leaves(edges: DataFrame) -> DataFrame:
     """Rows (root, leaf) of the closure of edges (id, source); sources that have sources are no leaves.
 
     A breadth-first fixpoint of joins; pairs seen before are not followed again, so cycles end. A source that is not
@@ -113,7 +113,7 @@ def lineage_leaves(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """
     reached = edges.select(F.col("id").alias("root"), F.col("source").alias("at")).distinct()
     frontier = reached
-    for _ in range(max_depth):
+    while True:
         step = frontier.join(edges, frontier["at"] == edges["id"]).select("root", F.col("source").alias("at")).distinct()
         frontier = checkpointed(step.join(reached, ["root", "at"], "left_anti"))
         if frontier.isEmpty():

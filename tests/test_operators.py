@@ -73,6 +73,11 @@ def test_lineage_with_cycle_and_shared_leaf(spark):
     assert got == {("m", "a"), ("m", "b"), ("n", "b"), ("n", "a"), ("k", "b")}
 
 
+def test_lineage_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(68)], "id long, source long").coalesce(1)
+    assert {(r["root"], r["leaf"]) for r in catalog.lineage_leaves(edges).collect()} == {(i, 68) for i in range(68)}
+
+
 def test_merge_guards_and_order(spark):
     jobs = spark.createDataFrame(
         [("a", "completed", "chatml", None), ("b", "completed", "chatml", None), ("c", "running", "chatml", None), ("d", "completed", "alpaca", None), ("e", "completed", "chatml", "inline"), ("f", "completed", "chatml", None)],
