@@ -219,7 +219,7 @@ def l07_exported_lines(spark, sf_dir):
 
 @query()
 def x01_generated_and_validated(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("example").alias("purpose"), F.substring("text", 1, 40).alias("prompt"), F.lit(1).alias("attempt"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("example").alias("purpose"), F.col("text").alias("prompt"), F.lit(1).alias("attempt"))
     return models.parsed_examples(models.chat(asked), "chatml", 1).select("id", "reason", "completion_tokens")
 
 

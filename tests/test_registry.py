@@ -18,6 +18,15 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_prompts_are_whole_texts(spark, sf_dir, monkeypatch):
+    asked = []
+    chat = registry.models.chat
+    monkeypatch.setattr(registry.models, "chat", lambda rows, **options: asked.append(rows) or chat(rows, **options))
+    QUERIES["x01_generated_and_validated"](spark, sf_dir)
+    texts = {(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    assert {(r["id"], r["prompt"]) for r in asked[0].collect()} == texts
+
+
 def test_entry(spark):
     import __spark_entry__
 
