@@ -115,9 +115,9 @@ def words(text):
     return text.encode().translate(LOWER_BY_SPACE).split()
 
 
-@pytest.mark.parametrize("hot", [64, 3])
+@pytest.mark.parametrize("hot", [0.001, 0, 1])
 def test_every_exact_repeat_of_fifty_words_is_reported(spark, sf_dir, monkeypatch, hot):
-    monkeypatch.setattr(passages, "HOT", hot)
+    monkeypatch.setattr(passages, "HOT_SHARE", hot)
     texts = {r["doc_id"]: words(r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()}
     found = queries.op3_substring_dedup(spark, sf_dir).collect()
     spans = {}
@@ -136,23 +136,31 @@ def test_every_exact_repeat_of_fifty_words_is_reported(spark, sf_dir, monkeypatc
                 assert any(a <= i and i + 50 <= b for a, b in spans.get(d, [])), (d, first, i)
 
 
-def test_frequent_signatures_stay_tied():
-    rng = np.random.default_rng(2)
-    value = np.concatenate([np.full(900, 7), np.full(100, -8), rng.integers(-(1 << 62), 1 << 62, 3000)])
-    key, place = rng.permutation(4000).astype(np.int64), np.arange(4000)
-    dealt, keys, places = passages._spread(value, key, place, 64)
-    groups = {}
-    for v, k, p in zip(dealt.tolist(), keys.tolist(), places.tolist()):
-        groups.setdefault(v, set()).add((k, p))
-    assert max(map(len, groups.values())) < 80
-    for v in (7, -8):
-        mine = set(zip(key[value == v].tolist(), place[value == v].tolist()))
-        reached = set()
-        assert len(groups[v]) == 1 and groups[v] == {min(mine)}
-        for g in groups.values():
-            if g & groups[v]:
-                reached |= g
-        assert reached == mine
+@pytest.mark.parametrize("hot,parts", [(0.001, 1), (0.001, 24), (0, 5), (1, 7)])
+def test_passages_do_not_depend_on_the_layout(spark, monkeypatch, hot, parts):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    expected = sorted(map(tuple, passages.repeated_passages(docs).collect()))
+    monkeypatch.setattr(passages, "HOT_SHARE", hot)
+    assert len(expected) > 20
+    assert sorted(map(tuple, passages.repeated_passages(docs.repartition(parts)).collect())) == expected
+
+
+def test_near_passages_in_a_large_group_with_a_common_line(spark):
+    """1,200 documents hold one line of 30 words; 200 pairs of them share 60 words with the line in them, but for one word."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    line, texts = fresh(30), []
+    for _ in range(200):
+        before = rng.randrange(31)
+        shared = fresh(before) + line + fresh(30 - before)
+        near = list(shared)
+        near[rng.randrange(5, 55)] = "changed"
+        texts += [fresh(rng.randrange(80)) + x + fresh(rng.randrange(80)) for x in (shared, near)]
+    texts += [fresh(rng.randrange(80)) + line + fresh(rng.randrange(80)) for _ in range(800)]
+    found = passages.repeated_passages(documents(spark, [doc(i, " ".join(t)) for i, t in enumerate(texts)])).collect()
+    pairs = {(r["doc_id"], r["source_id"]) for r in found}
+    assert all(a % 2 and b == a - 1 and a < 400 for a, b in pairs)
+    assert len(pairs) >= 190
 
 
 @settings(max_examples=8, deadline=None)
@@ -207,7 +215,7 @@ def test_passage_edges(spark):
     got = {(r["doc_id"], r["source_id"], r["first_word"], r["last_word"]) for r in passages.repeated_passages(docs).collect()}
     assert {(4, 3, 2, 62), (5, 3, 0, 60), (7, 6, 0, 40_000)} <= got
     assert any(a == 9 and b == 8 for a, b, *_ in got)
-    cut = {r["doc_id"]: r["text"] for r in passages.cut_repeated(docs, passages.repeated_passages(docs)).collect()}
+    cut = {r["doc_id"]: r["text"] for r in passages.cut_repeated(docs).collect()}
     assert cut[3] == f"a {PASSAGE} b" and cut[4] == "c d e" and cut[5] == "" and cut[1] is None and cut[7] == ""
     assert passages.repeated_passages(documents(spark, [])).count() == 0
     assert passages.repeated_passages(documents(spark)).where("doc_id = 8 and source_id = 7").count() == 1  # ids repeat here
