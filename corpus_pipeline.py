@@ -27,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat a passage of a document of lesser id are cut; documents left without words go."""
-    cut = passages.cut_repeated(docs, passages.repeated_passages(docs)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    cut = passages.cut_repeated(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cut.where(F.coalesce(F.col("text").rlike(mixing.WORD), F.lit(False)))
 
 
