@@ -2,6 +2,8 @@ import gzip
 import html
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from edges import LONG, doc, documents
@@ -103,6 +105,76 @@ def test_pages_equal_their_articles(spark, sf_dir):
         assert r["n_chars"] == len(r["text"])
 
 
+@pytest.mark.parametrize("page,expected", [
+    ("<head><title>T</title><body><article><p>The text.</p></article>", "The text."),
+    ("<article><h1><a href='/'>Headline</a></h1><p><a href='/'>All of it</a></p></article>", "Headline All of it"),
+    ("<p><a href='/'>A &amp;&amp;&amp;&amp; B</a> said it</p>", "A &&&& B said it"),
+    ("<article><p>One.</p><section id='search'><p>Two.</p></section><p class='share-price'>Three.</p><div class='alert'>Four.</div><div class='login'>Five.</div></article>", "One. Two. Three. Four. Five."),
+    ("<article><p>One.</p><div class='ad'>Buy.</div><div class='related'><a href='/'>Other</a></div><div class='newsletter-box'>Mail</div><p>Two.</p></article>", "One. Two."),
+    ("<article><header><h1>Title</h1><p>by a writer</p></header><p>Text.</p></article>", "Title Text."),
+    ("<nav><a href='/'>Menu</a><main><p>Text of a page whose menu is open.</p></main>", "Text of a page whose menu is open."),
+    ("<form action='/'><div><p>A page within a form.</p></div></form>", "A page within a form."),
+    ("<div class='has-sidebar'><p>Text.</p></div>", "Text."),
+    ("<p title='the hidden gem'>Text.</p><p hidden>No.</p><p style='display: none'>No.</p>", "Text."),
+    ("<p>5 < 6 <3 </p><p>x<!-- a > b --><!-->y</p>", "5 < 6 <3 xy"),
+])
+def test_markup_cases(page, expected):
+    assert html_text.main_text(page) == expected
+
+
+def word_f1(a, b):
+    a, b = Counter(a.split()), Counter(b.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def stripped(page):
+    return re.sub(r' class="[^"]*"', "", re.sub(r"</?article>", "", page))
+
+
+def test_pages_without_article_element_and_class_names(spark, monkeypatch):
+    """Only the distribution of lengths tells what is the article; other windows find other lines."""
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    articles = [" ".join(html.unescape(re.sub(r"<[a-z/][^>]*>", " \n ", re.search(r"<article>(.*?)</article>", p, re.S)[1])).split()) for p in pages]
+    found = [html_text.main_text(stripped(p)) for p in pages]
+    assert sum(map(word_f1, found, articles)) / len(pages) >= 0.95
+    monkeypatch.setattr(html_text, "WINDOW", 9)
+    assert [html_text.main_text(stripped(p)) for p in pages] != found
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.booleans()), min_size=1, max_size=25))
+def test_lines_equal_brute_force_over_blocks(lines):
+    """Lines of so many letters in the body or in divisions of their own, against windows summed one by one."""
+    texts = [chr(97 + i % 26) * n for i, (n, _) in enumerate(lines)]
+    page = "<body>" + "".join(f"<div>{t}</div>" if own else f"<p>{t}</p>" for t, (_, own) in zip(texts, lines))
+    kept = [(t, own) for t, (_, own) in zip(texts, lines) if t]
+    n, total = len(kept), sum(len(t) for t, _ in kept)
+    alone = [len(t) >= html_text.HOLDS * total for t, own in kept if own]
+    if any(alone):
+        return  # a division that holds the page is the container
+    sums = [sum(len(kept[j][0]) for j in range(n) if i - 1 <= j <= i + 1) for i in range(n)]
+    by_sum, seen, typical = sorted(((s, len(t)) for s, (t, _) in zip(sums, kept)), reverse=True), 0, 0
+    for typical, length in by_sum:
+        seen += length
+        if seen >= total / 2:
+            break
+    threshold = html_text.SHARE * typical
+    inside = [not own or s >= threshold for s, (_, own) in zip(sums, kept)]
+    firm = [not own or 3 * len(t) >= threshold for t, own in kept]
+    expected = [
+        t for i, (t, _) in enumerate(kept)
+        if inside[i] and any(firm[j] and all(inside[j : i + 1]) for j in range(i + 1)) and any(firm[j] and all(inside[i : j + 1]) for j in range(i, n))
+    ]
+    assert html_text.main_text(page) == " ".join(expected)
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', "<div>x", "<article>", "<nav><article>x", "<iframe/>", "<!--", "<form><div>x", "&amp", "a=  ", "</div>", "<div class='comment'>"])
+def test_time_is_linear(piece):
+    began = time.perf_counter()
+    html_text.main_text(piece * (500_000 // len(piece)))
+    assert time.perf_counter() - began < 10  # what is quadratic takes minutes
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("<>/apdiv \"'=&;!-#x1", max_size=60))
 def test_any_markup_has_some_result(page):
