@@ -61,6 +61,15 @@ def hashed_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(F.xxhash64(key) < -(1 << 63) + int((1 << 64) * (rows / n)))
 
 
+def keyed(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with a column `key` that tells rows apart: the id where it does so, else a row number by id (null last) and text."""
+    integral = docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint")
+    ids = docs.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    if integral and ids.where("n > 1 or id is null").limit(1).count() == 0:
+        return docs.withColumn(key, F.col(id_col).cast("long"))
+    return checkpointed(docs.orderBy(F.col(id_col).asc_nulls_last(), text_col).withColumn(key, F.monotonically_increasing_id()))
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that df does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -125,11 +134,12 @@ LOWER_BY_WORD = bytes(
 )
 
 
-def word_hashes(texts: list[bytes], mapping: bytes = LOWER_BY_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+def word_hashes(texts: list[bytes], mapping: bytes = LOWER_BY_SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
     """64-bit hashes of the words of all texts, vectorised over bytes.
 
     Returns the hashes, the first word index of every text (one more at the end), byte starts and ends of the
-    words in the joined buffer, and that buffer.
+    words in the joined buffer, and that buffer. With `prefixes` the hashes have a row more for each number of bytes:
+    those of the words' beginnings, 0 for words that are no longer than that.
     """
     buffer = (b" ".join(texts) + b" ").translate(mapping)
     data = np.frombuffer(buffer, np.uint8)
@@ -140,6 +150,12 @@ def word_hashes(texts: list[bytes], mapping: bytes = LOWER_BY_SPACE) -> tuple[np
     total[0] = 0
     np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=total[1:])
     hashes = mix((total[ends] - total[starts]) * down[starts])
+    if prefixes:
+        rows = [hashes]
+        for size in prefixes:
+            cut = np.minimum(starts + size, ends)
+            rows.append(np.where(cut < ends, mix(mix((total[cut] - total[starts]) * down[starts]) + _U(size)), _U(0)))
+        hashes = np.stack(rows)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     first = np.searchsorted(starts, offsets[:-1])
@@ -157,6 +173,24 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+#: Rows of one key that go to one task, at least; and of so many equal parts of all rows one.
+PART_ROWS, PARTS_OF_ALL = 500, 10_000
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, by: Column) -> DataFrame:
+    """Inner join of rows with the one row of their key, in which a key with many rows fills no task.
+
+    The rows of a key that has a 10,000th of all rows or more (and `PART_ROWS`) are dealt to parts of about that size by the hash of
+    `by`, and the row of that key is copied to each. There are at most 10,000 such keys, which are broadcast.
+    """
+    counts = checkpointed(many.groupBy(key).agg(F.count("*").alias("n")))
+    least = max(PART_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // PARTS_OF_ALL)
+    parts = F.broadcast(counts.where(F.col("n") > least).select(key, F.ceil(F.col("n") / least).cast("int").alias("parts")))
+    dealt = many.join(parts, key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")), F.lit(0)).cast("int"))
+    copies = one.join(parts, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+    return dealt.drop("parts").join(copies.drop("parts"), [key, "salt"]).drop("salt")
+
+
 def min_label_components(edges: DataFrame, a: str, b: str, label: str = "component") -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (node, label), label the smallest node reachable.
 

@@ -55,11 +55,15 @@ def water_filling(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), shar
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7,
-    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0,
+    weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, row_col: str | None = None,
 ) -> DataFrame:
-    """Per row: id, source, size, source_size, target (of its source), repetitions and taken (repetitions times size)."""
+    """Per row: id, source, size, source_size, target (of its source), repetitions and taken (repetitions times size).
+
+    row_col: a column that tells rows apart, which the result has too; it orders rows of equal id and size.
+    """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("place")))
+    row = F.lit(0) if row_col is None else F.col(row_col)
+    sized = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), order.alias("place"), row.alias("row")))
     sized = sized.withColumn("bucket", F.substring("place", 1, 3))
     targets = water_filling(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
     buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -70,12 +74,13 @@ def mix(
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("whole"),
     )
     wanted = wanted.withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    within = W.partitionBy("source", "bucket").orderBy("place", "id", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "bucket").orderBy("place", "id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
     sized = sized.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = sized.join(wanted.withColumnRenamed("source", "of").withColumnRenamed("bucket", "part"), F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("part")))
-    taken_once_more = F.col("bucket_start") + F.col("start") + F.col("size") / 2.0 <= F.col("extra")
+    taken_once_more = (F.col("extra") > 0) & (F.col("bucket_start") + F.col("start") + F.col("size") / 2.0 <= F.col("extra"))
     rows = rows.withColumn("repetitions", (F.col("whole") + F.when(taken_once_more, 1).otherwise(0)).cast("long"))
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repetitions", (F.col("repetitions") * F.col("size")).cast("long").alias("taken"))
+    named = [] if row_col is None else [F.col("row").alias(row_col)]
+    return rows.select(*named, F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "repetitions", (F.col("repetitions") * F.col("size")).cast("long").alias("taken"))
 
 
 ORACLE_SQL = r"""

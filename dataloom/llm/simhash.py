@@ -22,10 +22,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_SPACE, checkpointed, min_label_components, unused
+from dataloom.llm.common import LOWER_BY_SPACE, checkpointed, keyed, min_label_components, salted_join, unused
 
 RADIUS = 3
 BITS = 64
@@ -171,14 +170,18 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """Per row: the id, its fingerprint `fp`, and component_id, the smallest id reachable over links."""
+    """Per row: the id, its fingerprint `fp`, and component_id, the smallest id reachable over links.
+
+    A fingerprint that a third of all rows have, or a component of as many fingerprints, fills no task: least ids are map-side combined,
+    and rows meet the classes of their fingerprint or root in salted joins.
+    """
     prints = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     nodes = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     components = min_label_components(near_links(nodes, radius), "a", "b", "root").withColumnRenamed("node", "fp")
-    rooted = nodes.join(components, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = checkpointed(nodes.join(components, "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(id_col, "fp", "component_id")
+    classes = salted_join(rooted.select("fp", "root"), smallest, "root", F.col("fp")).select("fp", "component_id")
+    return salted_join(prints, classes, "fp", F.col(id_col)).select(id_col, "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -186,19 +189,9 @@ def hex_of(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """`docs` with one row of each component, that of its least id; of repeated rows of that id and fingerprint one."""
-    classes = checkpointed(near_duplicate_classes(docs, id_col, text_col, shingle, radius))
-    key, print_, own, n = (unused(docs, x) for x in ("stays_id", "stays_print", "own_print", "place_of_row"))
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(key), F.col("fp").alias(print_)).distinct()
-    same = F.col(id_col).eqNullSafe(F.col(key))
-    if classes.groupBy(id_col).count().where("count > 1").limit(1).count() == 0:
-        return docs.join(stay, same, "left_semi")
-
-    @F.pandas_udf("long")
-    def print_of(texts):
-        values = np.array([fingerprint((t or "").encode(), shingle) for t in texts], np.uint64)
-        return type(texts)(values.view(np.int64))
-
-    marked = docs.withColumn(own, print_of(F.col(text_col))).withColumn(n, F.row_number().over(W.partitionBy(id_col, own).orderBy(text_col)))
-    stays = same & (F.col(own) == F.col(print_))
-    return marked.where(F.col(n) == 1).join(stay, stays, "left_semi").select(*docs.columns)
+    """`docs` with one row of each component, that of its least id (null ids come last, rows of one id by their text)."""
+    key, of = unused(docs, "stays_row"), unused(docs, "stays_least")
+    rows = keyed(docs, key, id_col, text_col)
+    classes = near_duplicate_classes(rows.select(F.col(key).alias("key"), F.col(text_col).alias("text")), "key", "text", shingle, radius)
+    stay = classes.where("key = component_id").select(F.col("key").alias(of))
+    return rows.join(stay, F.col(key) == F.col(of), "left_semi").select(*docs.columns)

@@ -39,12 +39,61 @@ def test_repeated_passage_stays_once(spark):
     assert got == {1: (f"some words {PASSAGE} first", len(f"some words {PASSAGE} first")), 2: ("tail of it", 10)}
 
 
+EXTRA = ("quality", "Keep", "toxicity", "size", "spans", "key", "target", "row_keep", "Taken")
+
+
+def awkward(spark):
+    good = lambda i: f"document {i} has some plain words of its own about the sea, the shore, number {i} and what {i * 7} ships bring to the harbour"
+    rows = [
+        (1, LONG, None, None), (1, LONG, None, None), (1, f"{PASSAGE} one", "en", "a"), (1, f"words before {PASSAGE} two", "en", "b"), (1, good(1), "en", "b"),
+        (None, good(2), None, "s"), (2, None, "en", None), (3, "", "en", "s"), (4, good(4), "en", None), (4, good(4), "en", None), (None, None, None, None), (5, " \t\n", "en", "s"),
+        (6, good(6), "en", "s"), (7, f"one more {PASSAGE} three", "en", "s"),
+    ]
+    return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *[f"{c}{i}" for c in EXTRA]) for i, r in enumerate(rows)], COLUMNS + "".join(f", `{c}` string" for c in EXTRA))
+
+
+def test_stages_keep_all_columns_and_tell_rows_apart(spark, sf_dir):
+    docs = awkward(spark)
+    before = {r["quality"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        for r in out.collect():
+            was = before[r["quality"]]
+            assert all(r[c] == was[c] for c in docs.columns if name != "substring_dedup" or c not in ("text", "n_chars"))
+
+
+def test_near_duplicates_of_repeated_ids(spark, sf_dir):
+    kept = sorted(int(r["quality"][7:]) for r in corpus_pipeline.drop_near_duplicates(spark, awkward(spark), sf_dir).collect())
+    assert len(kept) == 9 and len({0, 1} & set(kept)) == 1 and len({8, 9} & set(kept)) == 1 and {2, 3, 4, 5, 12, 13} <= set(kept) and len({6, 7, 10, 11} & set(kept)) == 1
+
+
+def test_passages_of_repeated_ids(spark, sf_dir):
+    """One copy of the passage stays, in the first row by id and text; no unrelated row of that id loses a word."""
+    docs = awkward(spark)
+    before = {r["quality"]: r["text"] for r in docs.collect()}
+    got = {int(r["quality"][7:]): r["text"] for r in corpus_pipeline.cut_repeated_passages(spark, docs, sf_dir).collect()}
+    assert got[2] == f"{PASSAGE} one" and got[3] == "words before two" and got[13] == "one more three"
+    assert all(got[i] == before[f"quality{i}"] for i in (4, 5, 8, 9, 12)) and len({0, 1} & set(got)) == 1
+
+
+def test_mix_of_repeated_ids(spark, sf_dir):
+    got = {int(r["quality"][7:]): r for r in corpus_pipeline.mix_sources(spark, awkward(spark), sf_dir).collect()}
+    by_source = {}
+    for r in got.values():
+        by_source.setdefault(r["source"], set()).add(r["target_"])
+        assert r["taken_"] == r["repetitions"] * r["size_"] and r["repetitions"] <= 2
+        assert r["size_"] == len((r["text"] or "").split())
+    assert all(len(t) == 1 for t in by_source.values()) and len(by_source) == 4
+
+
 def test_stages_with_awkward_rows(spark, sf_dir):
-    rows = [(1, LONG, None, None, None), (1, LONG, None, None, None), (None, "words without an id", None, "s", None), (2, None, "en", None, 0), (3, "", "en", "s", 0), (4, "kept text of a few words", "en", None, None), (None, None, None, None, None)]
-    for frame in (spark.createDataFrame(rows, COLUMNS), spark.createDataFrame([], COLUMNS)):
-        for _, stage in corpus_pipeline.STAGES:
-            stage(spark, frame, sf_dir).count()
-        docs = frame
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf_dir)
-        assert docs.count() >= 0
+    docs = awkward(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    rows = docs.collect()
+    assert len(rows) == len({r["quality"] for r in rows}) and {"quality12"} <= {r["quality"] for r in rows}
+    assert not {"quality6", "quality7", "quality10", "quality11"} & {r["quality"] for r in rows}
+    assert sum(PASSAGE in r["text"] for r in rows) <= 1
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, awkward(spark).limit(0), sf_dir).count() == 0

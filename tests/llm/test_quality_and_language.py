@@ -14,6 +14,37 @@ def test_classifier_against_labels(spark):
     assert rows[poor].keep.mean() < 0.1
 
 
+def test_classifier_on_held_out_labels(spark):
+    """Fitted on one half of the labels, measured on the other."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    scorers = quality.fit(docs, labels.where(~held))
+    marked = docs.select("doc_id", "text").join(labels.where(held).withColumnRenamed("quality", "q"), "doc_id")
+    rows = quality.classify(marked, scorers).toPandas()
+    clean, toxic, poor = (rows.q == 1) & (rows.toxic == 0), rows.toxic == 1, rows.q == 0
+    assert len(rows) > 1500
+    assert rows[clean].keep.mean() >= 0.95
+    assert rows[toxic].keep.mean() <= 0.12
+    assert rows[poor].keep.mean() <= 0.05
+    assert all(0 < hit <= 1 for s in scorers for both in s.accuracies.values() for hit in both)
+
+
+def test_classifier_without_labels(spark):
+    """The overlaps of the heuristic labellers alone tell bad shapes from good ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(docs, quality.fit(docs, labels.limit(0))).join(labels.withColumnRenamed("quality", "q"), "doc_id").toPandas()
+    assert rows[(rows.q == 1) & (rows.toxic == 0)].keep.mean() > 0.9
+    assert rows[rows.q == 0].keep.mean() < 0.2
+
+
+def test_results_have_names_of_their_own(spark):
+    docs = documents(spark, [doc(1, "plain words"), doc(2, "other words")])
+    out = quality.classify(docs, quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert out.columns == [*docs.columns, "quality_", "toxicity", "keep_"]
+    assert all(r["quality"] is None and r["keep"] is None and 0 <= r["quality_"] <= 1 for r in out.collect())
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(4)
     truth = rng.random(8000) < 0.3
@@ -33,11 +64,14 @@ def test_classifier_edges(spark):
     assert len(out) == 15
     for r in out:
         if not (r["text"] or "").strip():
-            assert not r["keep"] and r["quality"] == 0
-    assert [r["keep"] for r in out if r["doc_id"] == 1] == [True]
+            assert not r["keep_"] and r["quality_"] == 0
+    fox = [(r["keep_"], r["quality_"]) for r in out if (r["text"] or "").startswith("The quick")]
+    assert len(fox) == 3 and len(set(fox)) == 1  # labelled good once and bad twice: equal texts score alike
+    agreed = spark.createDataFrame([(1, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [r["keep_"] for r in quality.classify(docs, quality.fit(docs, agreed)).collect() if r["doc_id"] == 1] == [True]
     many = documents(spark, [doc(i, "fine words of an article about the sea and the shore" if i % 2 else "$$$ *** ### &&& %%% !!!", None, None) for i in range(200)])
     marks = spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    kept = quality.classify(many, quality.fit(many, marks)).where("keep").collect()
+    kept = quality.classify(many, quality.fit(many, marks)).where("keep_").collect()
     assert len(kept) == 100 and all(r["doc_id"] % 2 for r in kept)
     empty = documents(spark, [])
     assert quality.classify(empty, quality.fit(empty, labels.limit(0))).count() == 0
