@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataloom.llm import decontamination, mixing, passages, quality, simhash
-from dataloom.llm.common import shared_folder, table, unused
+from dataloom.llm.common import keyed, shared_folder, table, unused
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects, for low quality or toxicity, go."""
     scorers = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.classify(docs, scorers).where("keep").select(*docs.columns)
+    names = tuple(unused(docs, x) for x in ("row_quality", "row_toxicity", "row_keep"))
+    return quality.classify(docs, scorers, names=names).where(F.col(names[2])).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +38,17 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with `repetitions` (whole and fractional ones drawn), size, target and taken."""
-    key, size = unused(docs, "mix_id"), unused(docs, "mix_size")
-    mixed = mixing.mix(docs).where("repetitions > 0")
-    mixed = mixed.groupBy(F.col("doc_id").alias(key), F.col("size").alias(size)).agg(*[F.max(c).alias(f"mix_of_{c}") for c in ("target", "repetitions", "taken")])
-    own = unused(docs, "own_size")
-    sized = docs.withColumn(own, mixing.word_count(F.col("text")))
-    both = sized.join(mixed, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(size)))
-    added = [F.col(own).alias("size"), *[F.col(f"mix_of_{c}").alias(c) for c in ("target", "repetitions", "taken")]]
-    return both.select(*docs.columns, *added)
+    """Documents that the mix takes, with `repetitions` (whole and fractional ones drawn), size, target and taken.
+
+    Rows are told apart by their id or, where ids repeat or are null, by a number; a column of `docs` with the name of
+    one that is added stays, and the added one gets underscores behind it.
+    """
+    row, of = unused(docs, "mix_row"), unused(docs, "mix_of")
+    rows = keyed(docs, row)
+    added = {c: unused(docs, c) for c in ("size", "target", "repetitions", "taken")}
+    mixed = mixing.mix(rows, row_col=row).where("repetitions > 0").select(F.col(row).alias(of), *[F.col(c).alias(f"mix_of_{c}") for c in added])
+    both = rows.join(mixed, F.col(row) == F.col(of))
+    return both.select(*[rows[c] for c in docs.columns], *[F.col(f"mix_of_{c}").alias(name) for c, name in added.items()])
 
 
 STAGES = [
