@@ -5,25 +5,28 @@ one window). Patterns of the same length share a shift table over blocks of two
 contains lets the scan jump a whole window less one word, a block that ends patterns leads to the bucket of its
 patterns, sorted by their first two words, and a direct comparison confirms the occurrence.
 
-Items are read in blocks of at most `block_bytes` of text, so that what is broadcast has a fixed bound however
-large the benchmark is; each block is one more pass over the rows, in the same task, without a shuffle.
+Items are read in blocks of at most `block_bytes` of text. A worker holds the tables of one block, however large the
+benchmark is: with more than one block every block is a pass of its own over the rows, in tasks of its own, which
+gives rows for its hits alone; these few meet by row. A benchmark of one block needs no shuffle.
 
 Null and wordless texts have no words and no hit; null items have none either. Equal item ids count once.
-Repeated documents are separate rows. Columns other than those named are not read.
+Repeated documents are separate rows, those of repeated or null ids too. Texts of any length are searched whole.
+Columns other than those named are not read, and stay as they are.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_WORD
+from dataloom.llm.common import LOWER_BY_WORD, keyed, unused
 
-_STATE = "id {id}, text string, n_words long, spans array<struct<first:int,last:int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
 def words_of(text: str | bytes | None) -> list[bytes]:
@@ -92,8 +95,7 @@ def _table_of(shared, window: int) -> WuManber:
     """The worker's tables of a broadcast block (name, items); names are unique, so tables are never mixed up."""
     name, items = shared.value
     if name not in _tables:
-        if len(_tables) >= 4:
-            _tables.clear()
+        _tables.clear()
         _tables[name] = WuManber(items, window)
     return _tables[name]
 
@@ -107,7 +109,7 @@ def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: in
     block, held = [], 0
     for name, text in rows.toLocalIterator():
         block.append((name, text))
-        held += len(text)
+        held += len(text.encode())
         if held >= block_bytes:
             yield block
             block, held = [], 0
@@ -115,54 +117,62 @@ def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_bytes: in
         yield block
 
 
+def _scanned(rows: DataFrame, block: list[tuple[str, str]], window: int, all_rows: bool) -> DataFrame:
+    """Rows (id, n_words, spans, items) of rows (id, text), searched for the items of a block; all or those with hits."""
+    shared = _shared(rows, block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _table_of(shared, window)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                taken, counts, spans, names = [], [], [], []
+                for i, text in enumerate(part.column(1).cast(pa.binary()).to_pylist()):
+                    words = words_of(text)
+                    found, items = finder.search(words)
+                    if found or all_rows:
+                        taken.append(i)
+                        counts.append(len(words))
+                        spans.append([{"first": a, "last": b} for a, b in merged_spans(found)])
+                        names.append(sorted(items))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(taken, pa.int64())), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {id_type}, n_words long, spans array<struct<first:int,last:int>>, items array<string>")
+
+
+def _hits_by_row(rows: DataFrame, blocks: Iterator[list[tuple[str, str]]], window: int) -> DataFrame:
+    """Rows (id, spans, items) of the rows with hits in any block; one pass over the rows for each block."""
+    out = None
+    for block in blocks:
+        found = _scanned(rows, block, window, all_rows=False).drop("n_words")
+        out = found if out is None else out.union(found)
+    both = out.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # spans in order; one that begins within or at the end of the last one is joined to it
+    merged = """aggregate(array_sort(spans), cast(array() as array<struct<first:int,last:int>>), (done, s) ->
+        case when size(done) > 0 and s.first <= element_at(done, -1).last
+             then concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, s.last))))
+             else concat(done, array(s)) end)"""
+    return both.select("id", F.expr(merged).alias("spans"), "items")
+
+
 def benchmark_hits(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = 10, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Per row of `docs`: the id, n_words, `spans` of hit word positions (merged, ordered), `items` (ids as strings, sorted)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    schema = _STATE.format(id=id_type)
-
-    def scan(broadcast, last: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = _table_of(broadcast, window)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    counts, spans, names = [], [], []
-                    for text, old_spans, old_items in zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist()):
-                        words = words_of(text)
-                        counts.append(len(words))
-                        new, items_hit = finder.search(words)
-                        if new:
-                            spans.append([{"first": a, "last": b} for a, b in merged_spans([(s["first"], s["last"]) for s in old_spans] + new)])
-                            names.append(sorted({*old_items, *items_hit}))
-                        else:
-                            spans.append(old_spans)
-                            names.append(old_items)
-                    text = pa.nulls(part.num_rows, pa.string()) if last else part.column(1)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0), text, pa.array(counts, pa.int64()),
-                         pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),
-                         pa.array(names, pa.list_(pa.string()))],
-                        ["id", "text", "n_words", "spans", "items"],
-                    )
-
-        return run
-
-    state = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"),
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     blocks = _item_blocks(items, item_id, item_text, block_bytes)
-    block = next(blocks, [])
-    while True:
-        following = next(blocks, None)
-        state = state.mapInArrow(scan(_shared(docs, block), following is None), schema)
-        if following is None:
-            break
-        block = following
-    return state.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return _scanned(rows, first, window, all_rows=True).withColumnRenamed("id", id_col)
+    rows = keyed(rows, "row", "id", "text")
+    by_row = rows.select(F.col("row").alias("id"), "text")
+    hits = _hits_by_row(by_row, chain([first, second], blocks), window)
+    counted = _scanned(by_row, [], window, all_rows=True).select(F.col("id").alias("row"), "n_words")
+    out = rows.select("row", "id").join(counted, "row").join(hits.withColumnRenamed("id", "row"), "row", "left")
+    none = F.expr("cast(array() as array<struct<first:int,last:int>>)"), F.expr("cast(array() as array<string>)")
+    return out.select(F.col("id").alias(id_col), "n_words", *[F.coalesce(c, x).alias(c) for c, x in zip(("spans", "items"), none)])
 
 
 def n_hit_words():
@@ -171,23 +181,24 @@ def n_hit_words():
 
 def without_contaminated(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10,
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 8 << 20, id_col: str = "doc_id",
 ) -> DataFrame:
-    """The rows of `docs` that no item window occurs in, all columns, without a shuffle."""
-    at_text = docs.columns.index(text_col)
-
-    def scan(broadcast):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = _table_of(broadcast, window)
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    part = batch.slice(at, 512)
-                    texts = part.column(at_text).cast(pa.binary()).to_pylist()
-                    yield part.filter(pa.array([not finder.search(words_of(t))[0] for t in texts], pa.bool_()))
-
-        return run
-
-    out = docs
-    for block in _item_blocks(items, item_id, item_text, block_bytes):
-        out = out.mapInArrow(scan(_shared(docs, block)), docs.schema)
-    return out
+    """The rows of `docs` that no item window occurs in, all columns; without a shuffle if the items are one block."""
+    blocks = _item_blocks(items, item_id, item_text, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is not None:
+        row, hit = unused(docs, "clean_row"), unused(docs, "hit_row")
+        rows = keyed(docs, row, id_col, text_col)
+        hits = _hits_by_row(rows.select(F.col(row).alias("id"), F.col(text_col).alias("text")), chain([first, second], blocks), window)
+        return rows.join(hits.select(F.col("id").alias(hit)), F.col(row) == F.col(hit), "left_anti").select(*docs.columns)
+    at_text, shared = docs.columns.index(text_col), _shared(docs, first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _table_of(shared, window)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(at_text).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array([not finder.search(words_of(t))[0] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,7 +9,8 @@ splits in two), many a random code whose least distance is the best of several t
 Counts are taken over all training rows, map-side combined to one row per language and bucket. A null or letterless
 text is `und` with score 0; so is every text if nothing can be learned. Rows of null language are never learned from.
 `ambiguous` marks texts whose best two codewords have nearly the same loss. Only the id, text and language columns
-are read, the language only for training.
+are read, the language only for training. Texts of any length count whole, in runs of bounded bytes. Texts and rows never go to the
+driver, only counts of at most `BUCKETS` per language and of wrong bits.
 """
 
 from __future__ import annotations
@@ -132,14 +133,33 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key: C
         weights[b, :BUCKETS] = np.log(rates[words[:, b] > 0].mean(axis=0)) - np.log(rates[words[:, b] < 0].mean(axis=0))
     codes = Codes(languages, words, weights, np.ones(words.shape[1]))
     if len(languages) > 1:
-        sample = hashed_sample(rows, F.col("key"), SAMPLE_ROWS).select("lang", "text").collect()
-        truth = words[pd.Categorical([r["lang"] for r in sample], languages).codes]
-        wrong = ((codes.bits([r["text"].encode() for r in sample]) * truth <= 0).sum(axis=0) + 1) / (len(sample) + 2)
+        wrong = (_wrong_bits(hashed_sample(rows, F.struct("key", "text"), SAMPLE_ROWS), codes) + 1).astype(float)
+        wrong = wrong[:-1] / (wrong[-1] + 1)
         codes.reliability = np.maximum(np.log((1 - wrong) / wrong), 0.05)
         codes.reliability /= codes.reliability.mean()
     return codes
 
 
+def _wrong_bits(rows: DataFrame, codes: Codes) -> np.ndarray:
+    """How many texts of rows (lang, text) each bit is wrong for, and at the end the number of texts; only sums leave the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(codes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, total = shared.value, None
+        number = {lang: i for i, lang in enumerate(model.languages)}
+        for batch in batches:
+            for part in chunks(list(zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())), lambda r: len(r[1])):
+                truth = model.words[[number[lang] for lang, _ in part]]
+                wrong = np.append((model.bits([t for _, t in part]) * truth <= 0).sum(axis=0), len(part))
+                total = wrong if total is None else total + wrong
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], ["wrong"])
+
+    at = rows.select("lang", "text").mapInArrow(run, "wrong array<long>").select(F.posexplode("wrong").alias("bit", "n"))
+    found = at.groupBy("bit").agg(F.sum("n").alias("n")).orderBy("bit").toPandas()["n"].to_numpy(np.int64)
+    return found if len(found) else np.zeros(codes.words.shape[1] + 1, np.int64)
+
+
 def identify(docs: DataFrame, codes: Codes | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, lang_pred, score (0 to 1), ambiguous."""
     id_type = docs.schema[id_col].dataType.simpleString()
