@@ -1,9 +1,7 @@
-"""Allocation, bands and display formats as column functions, and allocations on the driver."""
+"""Allocation, bands and display formats as column functions and windows."""
 
 from __future__ import annotations
 
-from math import floor
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,46 +21,35 @@ def allocate(rows: DataFrame, total: Column, group: list[str], proportion: str,
     return marked.withColumn(out, (F.col("__base") + F.when(F.col("__rank") <= left, 1).otherwise(0)).cast("long")).drop("__base", "__rank")
 
 
-def even_percents(n: int) -> list[int]:
-    """100 in n parts; the first ones get what is left over."""
-    return [100 // n + (i < 100 % n) for i in range(n)]
-
-
-def proportional_percents(weights: list[float], total: int) -> list[int]:
-    """`total` by weight with at least 1 each; largest remainders first, equal ones by lower index."""
-    n, whole = len(weights), sum(weights)
-    if n > total:
-        raise ValueError("more parts than percents")
-    shares = [w / whole * total if whole else total / n for w in weights]
-    out = [max(1, floor(s)) for s in shares]
-    order = sorted(range(n), key=lambda i: (floor(shares[i]) - shares[i], i))
-    at = 0
-    while sum(out) < total:
-        out[order[at % n]] += 1
-        at += 1
-    while sum(out) > total:
-        out[max((i for i in range(n) if out[i] > 1), key=lambda i: (out[i] - shares[i], -i))] -= 1
-    return out
-
-
-def adjust_percent(percents: list[int], index: int, value: int) -> list[int]:
-    """One part set (within 1 and what leaves 1 for each other), the others shared by their present size."""
-    n = len(percents)
-    if n == 1:
-        return [100]
-    value = min(max(1, value), 100 - (n - 1))
-    others = proportional_percents([p for i, p in enumerate(percents) if i != index], 100 - value)
-    return others[:index] + [value] + others[index:]
-
+def even_percents(rows: DataFrame, group: list[str], order: str, out: str = "percent") -> DataFrame:
+    """100 in equal whole parts within each group; the first rows by `order` get what is left over. For a part that is added or removed."""
+    of_group = W.partitionBy(*group)
+    n, place = F.count("*").over(of_group), F.row_number().over(of_group.orderBy(order)) - 1
+    return rows.withColumn(out, (F.floor(F.lit(100) / n) + F.when(place < F.lit(100) % n, 1).otherwise(0)).cast("long"))
 
-def add_part(percents: list[int]) -> list[int]:
-    new = max(1, 100 // (len(percents) + 1))
-    return proportional_percents(percents, 100 - new) + [new] if percents else [100]
 
+def adjusted_percents(rows: DataFrame, group: list[str], order: str, chosen: str, value: Column, percent: str = "percent") -> DataFrame:
+    """The row marked `chosen` of each group set to `value`, within 1 and what leaves 1 for each other row.
 
-def remove_part(percents: list[int], index: int) -> list[int]:
-    rest = [p for i, p in enumerate(percents) if i != index]
-    return proportional_percents(rest, 100) if rest else []
+    The others get 1 each and share the rest by their present percents, the largest remainders (equal ones by `order`)
+    rounded up; if they have none at present, all that is left is shared evenly.
+    """
+    of_group = W.partitionBy(*group)
+    others = F.count_if(~F.col(chosen)).over(of_group)
+    rows = rows.withColumn("__set", F.least(F.greatest(F.floor(value + 0.5), F.lit(1)), 100 - others).cast("long"))
+    left = 100 - F.col("__set")
+    present = F.sum(F.when(~F.col(chosen), F.col(percent)).otherwise(0)).over(of_group)
+    extra = F.greatest(left - others, F.lit(0))
+    share = F.when(present > 0, F.col(percent) / present * extra)
+    place = F.row_number().over(W.partitionBy(*group, chosen).orderBy(order)) - 1
+    rows = rows.withColumn("__others", others).withColumn("__share", F.when(~F.col(chosen), F.round(share, 9))).withColumn("__place", place)
+    base = F.floor("__share")
+    more = extra - F.sum(F.when(~F.col(chosen), base).otherwise(0)).over(of_group)
+    rank = F.row_number().over(W.partitionBy(*group, chosen).orderBy(F.round(F.col("__share") - base, 9).desc(), order))
+    by_share = 1 + base + F.when(rank <= more, 1).otherwise(0)
+    evenly = F.floor(left / F.col("__others")) + F.when(F.col("__place") < left % F.col("__others"), 1).otherwise(0)
+    new = F.when(F.col(chosen), F.col("__set")).when(F.col("__share").isNull(), evenly).otherwise(by_share)
+    return rows.withColumn("__new", new.cast("long")).withColumn(percent, F.col("__new")).drop("__set", "__others", "__share", "__place", "__new")
 
 
 def score_band(score: Column, low: int = 60) -> Column:

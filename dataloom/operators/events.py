@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RING = 20
 
-#: kind: (level, message with {names} of the event's meta)
+#: Kinds, their levels and the names of their meta; kind: (level, message with {names} of the event's meta).
 TEMPLATES = {
-    "job_started": ("info", "Run of {total} examples started"),
-    "topics_ready": ("info", "{count} topics for {category}"),
-    "example_saved": ("info", "Example {n} of {total} saved"),
-    "example_rejected": ("warn", "Score {score} is under {threshold}"),
-    "retry": ("warn", "Attempt {attempt} follows: {reason}"),
-    "job_failed": ("error", "Run failed: {reason}"),
+    "generation_api_error": ("warn", "{category}: call failed (attempt {attempt})"),
+    "generation_unexpected_error": ("warn", "{category}: something failed (attempt {attempt})"),
+    "generation_empty_response": ("warn", "{category}: the model's answer is empty"),
+    "generation_json_parse_error": ("warn", "{category}: the model's answer is no JSON"),
+    "generation_invalid_structure": ("warn", "{category}: the example has a wrong form"),
+    "generation_over_token_budget": ("warn", "{category}: {tokens} tokens of at most {max_tokens}"),
+    "topic_generation_start": ("info", "{category}: asking for {count} topics"),
+    "topics_exhausted_regenerating": ("info", "{category}: no topics left, asking for {needed} more"),
+    "topics_generation_failed": ("error", "{category}: no new topics came, the category ends"),
+    "generation_failed_retrying": ("warn", "{category}: {topic} left out ({attempt} of {max_attempts})"),
+    "judge_no_score_retry": ("warn", "No score for {topic}, call {attempt} of {max_retries}"),
+    "judge_failed_all_retries": ("error", "No call gave a score for {topic}"),
+    "judge_rejected_below_threshold": ("warn", "{topic} rejected: {score} is under {threshold}"),
+    "category_attempt_limit_reached": ("error", "{category}: all attempts made, {completed} of {target}"),
+    "example_accepted": ("info", "{category}: accepted with {score}"),
+    "example_accepted_no_judge": ("info", "{category}: accepted"),
     "job_completed": ("info", "Run finished with {completed} examples"),
+    "job_resumed": ("info", "Run goes on from {completed} of {target}"),
+    "merge_started": ("info", "Merge of {source_count} jobs, {total} examples"),
+    "merge_copy_batch": ("info", "{done} of {total} examples copied"),
+    "merge_export_start": ("info", "Lines are written"),
+    "merge_stats_start": ("info", "Statistics are taken"),
+    "merge_completed": ("info", "Merge finished with {total} examples"),
+    "merge_failed": ("error", "Merge failed: {error}"),
+    "merge_shuffle_skipped_large": ("warn", "Not shuffled: {total} is over {threshold}"),
+    "merge_strip_extra_keys": ("warn", "{rows_affected} rows lost keys that do not belong to them"),
+    "provider_unreachable": ("warn", "{provider} cannot be reached ({status_code})"),
+    "provider_response_invalid": ("warn", "{provider} answers in a wrong form"),
+    "reasoning_started": ("info", "Reasoning for {total} examples, as {format}"),
+    "reasoning_copy_batch": ("info", "{done} of {total} examples copied for reasoning"),
+    "reasoning_category_start": ("info", "{category}: reasoning for {count} examples"),
+    "reasoning_api_error": ("warn", "{category}: reasoning call failed (attempt {attempt})"),
+    "reasoning_invalid_prose": ("warn", "{category}: reasoning refused for {reason} (attempt {attempt})"),
+    "reasoning_skipped": ("warn", "{category}: one example stays without reasoning"),
+    "reasoning_export_start": ("info", "Lines with reasoning are written"),
+    "reasoning_stats_start": ("info", "Statistics with reasoning are taken"),
+    "reasoning_completed": ("info", "Reasoning finished for {total} examples, {skipped} left out"),
+    "reasoning_failed": ("error", "Reasoning failed: {error}"),
+    "reasoning_resumed": ("info", "Reasoning goes on, {copied} of {target} copied"),
 }
 
 
@@ -26,9 +60,15 @@ def sequenced(log: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts
 
 
 def tail(log: DataFrame, n: int = RING, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """The last n events of every job, with the sequence numbers of the whole log."""
-    of_job = W.partitionBy(job)
-    return sequenced(log, job, order).withColumn("__last", F.max("seq").over(of_job)).where(F.col("seq") > F.col("__last") - n).drop("__last")
+    """The last n events of every job, with the sequence numbers of the whole log.
+
+    The newest n are found by a limited rank, so that no task sorts a whole job; the numbers follow from the jobs' counts.
+    """
+    newest = W.partitionBy(job).orderBy(*[F.desc(c) for c in order])
+    last = log.withColumn("__place", F.row_number().over(newest)).where(F.col("__place") <= n)
+    counts = log.groupBy(F.col(job).alias("__job")).agg(F.count("*").alias("__n"))
+    both = last.join(counts, F.col(job).eqNullSafe(F.col("__job")))
+    return both.withColumn("seq", (F.col("__n") - F.col("__place") + 1).cast("int")).drop("__place", "__n", "__job")
 
 
 def after(log: DataFrame, cursor: int) -> DataFrame:
@@ -42,18 +82,20 @@ def latest(rows: DataFrame, n: int = 5, job: str = "job_id", order: tuple[str, .
 
 
 def level_of(kind: Column) -> Column:
-    out = None
-    for name, (level, _) in TEMPLATES.items():
-        out = F.when(kind == name, level) if out is None else out.when(kind == name, level)
-    return out.otherwise("info")
+    levels = F.create_map(*[F.lit(x) for name, (level, _) in TEMPLATES.items() for x in (name, level)])
+    return F.coalesce(levels[kind], F.lit("warn"))
 
 
 def message_of(kind: Column, meta: Column) -> Column:
-    """The kind's template with the values of `meta` (map of strings); unknown kinds are their own message, a name
-    without a value stays in braces."""
+    """The kind's template with the values of `meta` (map of strings).
+
+    An unknown kind, and one whose template names what meta has not, is shown as the kind and all of meta.
+    """
+    entries = F.transform(F.map_entries(meta), lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), F.coalesce(F.concat(F.lit("'"), e["value"], F.lit("'")), F.lit("None"))))
+    plain = F.concat(kind, F.lit(" {"), F.coalesce(F.array_join(entries, ", "), F.lit("")), F.lit("}"))
     out = None
     for name, (_, template) in TEMPLATES.items():
-        filled = F.aggregate(F.map_entries(meta), F.lit(template), lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
-        filled = F.coalesce(filled, F.lit(template))
+        parts = [F.lit(x) if i % 2 == 0 else F.try_element_at(meta, F.lit(x)) for i, x in enumerate(re.split(r"\{(\w+)\}", template))]
+        filled = F.concat(*parts)  # null if a part is missing
         out = F.when(kind == name, filled) if out is None else out.when(kind == name, filled)
-    return out.otherwise(kind)
+    return F.coalesce(out, plain)

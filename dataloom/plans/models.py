@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from dataloom.functions import codec
 from dataloom.functions.text import net_completion_tokens, salvage_json, valid_score, without_thinking
+from dataloom.session import checkpointed
 
 
 class ModelClient(Protocol):
@@ -109,17 +110,25 @@ def embed(rows: DataFrame, text: str = "text", factory: Callable[[], ModelClient
 
 def parsed_examples(answers: DataFrame, fmt: str, expected_turns: int | None = None) -> DataFrame:
     """Answers with the JSON salvaged from them and its verdict."""
-    content = salvage_json(without_thinking(F.col("content")))
+    # salvaged once, in a projection of its own: the verdict reads it many times
+    answers = checkpointed(answers.withColumn("content_json", salvage_json(without_thinking(F.col("content")))))
     turns = None if expected_turns is None else F.lit(expected_turns)
-    return answers.withColumn("content_json", content).withColumn(
+    return answers.withColumn(
         "reason", F.when(F.col("error").isNotNull(), "call_failed").otherwise(F.coalesce(codec.validation_reason(F.col("content_json"), F.lit(fmt), turns), F.lit("not_dict")))
     )
 
 
+def json_score(answer: Column) -> Column:
+    """The score of a judge's JSON: a number (a boolean counts as 1 or 0) from 0 to 100; text and the like are null."""
+    json = F.try_parse_json(answer)
+    kind = F.schema_of_variant(F.try_variant_get(json, "$.score", "variant"))
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(json, "$.score", "double"))
+    return valid_score(number.when(kind == "BOOLEAN", F.try_variant_get(json, "$.score", "boolean").cast("double")))
+
+
 def scores(answers: DataFrame) -> DataFrame:
     """Answers of judge calls with their score; no number from 0 to 100 is null."""
-    found = F.expr("try_cast(get_json_object(__json, '$.score') as double)")
-    return answers.withColumn("__json", salvage_json(without_thinking(F.col("content")))).withColumn("score", valid_score(found)).drop("__json")
+    return answers.withColumn("score", json_score(salvage_json(without_thinking(F.col("content")))))
 
 
 def topic_prompt(category, description, count) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dataloom.functions import codec
@@ -12,25 +13,51 @@ from dataloom.functions.text import rationales
 from dataloom.operators import curate, dedup, merge
 from dataloom.plans import models
 from dataloom.plans.models import StubClient
+from dataloom.session import checkpointed
 
 
-def generate(topics: DataFrame, fmt: str, threshold: int, factory: Callable = StubClient, attempts: int = 2, judge_calls: int = 3) -> DataFrame:
-    """Attempt log of rows (category, attempt, topic, target): each topic is asked for up to `attempts` times until an
-    answer is valid, then judged; what a run up to its targets makes is kept.
+def generate(
+    topics: DataFrame, fmt: str, threshold: int, factory: Callable = StubClient, attempts: int = 2, judge_calls: int = 3, budget: int = 5
+) -> DataFrame:
+    """Attempt log of the rows (category, attempt, topic, target) that a run makes: each topic is asked for up to `attempts` times until
+    an answer is valid, then judged up to `judge_calls` times until it is accepted; a category ends with `target`
+    accepted or `budget` times as many topics tried.
 
-    All calls are made as tables, so that what depends on earlier outcomes is a filter on the log.
+    Runs in rounds: each takes, in order, as many further topics of a category as it still lacks, so that no call is made
+    that one topic after another would not make. Within a round only what failed is asked again. Answers are
+    checkpointed: a lost executor asks nobody twice for what has been answered.
     """
-    rows = topics.withColumn("id", F.concat_ws("/", "category", F.col("attempt").cast("string")))
+    place = F.row_number().over(W.partitionBy("category").orderBy("attempt"))
+    rows = topics.withColumn("id", F.concat_ws("/", "category", F.col("attempt").cast("string"))).withColumn("__n", place)
+    rows = checkpointed(rows.where(F.col("__n") <= budget * F.col("target")))
+    log = None
+    while True:
+        made = rows.select("category").distinct().withColumns({"__made": F.lit(0), "__accepted": F.lit(0)})
+        if log is not None:
+            made = log.groupBy("category").agg(F.count("*").alias("__made"), F.count_if("accepted").alias("__accepted"))
+        due = rows.join(made, "category").where((F.col("__n") > F.col("__made")) & (F.col("__n") <= F.col("__made") + F.col("target") - F.col("__accepted")))
+        due = checkpointed(due.drop("__made", "__accepted").coalesce(8 if log is not None else rows.rdd.getNumPartitions()))
+        if due.isEmpty():
+            return (due.withColumns({"content_json": F.lit(None).cast("string"), "accepted": F.lit(False), "score": F.lit(None).cast("int")}) if log is None else log).drop("__n")
+        done = _round(due, fmt, threshold, factory, attempts, judge_calls)
+        log = done if log is None else checkpointed(log.union(done))
+
+
+def _round(due: DataFrame, fmt: str, threshold: int, factory: Callable, attempts: int, judge_calls: int) -> DataFrame:
+    """Outcome of one try of each topic."""
     prompt = models.example_prompt(F.col("topic"), F.lit(fmt), F.lit(1), F.lit(2048))
-    tries = F.explode(F.sequence(F.lit(1), F.lit(attempts)))
-    asked = rows.select("id", F.lit("example").alias("purpose"), prompt.alias("prompt"), tries.alias("attempt"))
-    parsed = models.parsed_examples(models.chat(asked, factory), fmt)
-    valid = parsed.where("reason = 'ok'").groupBy("id").agg(F.min_by("content_json", "attempt").alias("content_json"))
-    calls = F.explode(F.sequence(F.lit(1), F.lit(judge_calls)))
-    judge = valid.select("id", F.lit("judge").alias("purpose"), models.judge_prompt(F.col("content_json")).alias("prompt"), calls.alias("attempt"))
-    scored = models.scores(models.chat(judge, factory)).select("id", F.col("attempt").alias("call"), "score")
-    log = curate.judged(rows.join(valid, "id", "left"), scored, threshold, judge_calls)
-    return curate.seek_target(log)
+    open_, valid = due.select("id", F.lit("example").alias("purpose"), prompt.alias("prompt")), None
+    for attempt in range(1, attempts + 1):
+        parsed = models.parsed_examples(models.chat(open_.withColumn("attempt", F.lit(attempt)), factory), fmt)
+        good = checkpointed(parsed.where("reason = 'ok'").select("id", "content_json"))
+        valid = good if valid is None else valid.union(good)
+        open_ = open_.join(good, "id", "left_anti")
+    open_, scored = valid.select("id", F.lit("judge").alias("purpose"), models.judge_prompt(F.col("content_json")).alias("prompt")), None
+    for call in range(1, judge_calls + 1):
+        found = checkpointed(models.scores(models.chat(open_.withColumn("attempt", F.lit(call)), factory)).select("id", F.lit(call).alias("call"), "score"))
+        scored = found if scored is None else scored.union(found)
+        open_ = open_.join(found.where(F.col("score") >= threshold), "id", "left_anti")
+    return checkpointed(curate.judged(due.join(valid, "id", "left"), scored, threshold, judge_calls))
 
 
 def merge_jobs(jobs: DataFrame, examples: DataFrame, source_ids: list[str], job_id: str, shuffle_seed: int | None = None) -> DataFrame:

@@ -355,11 +355,11 @@ def j10_live_sources(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(live, "o_custkey", "left_semi").agg(F.count("*").alias("n"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT doc_id AS id, doc_id // 3 AS source FROM documents WHERE doc_id > 2 AND doc_id < 1000000000),
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS id, doc_id // 3 AS source FROM documents WHERE doc_id > 2),
 w AS (SELECT id AS root, source AS node FROM e UNION SELECT w.root, e.source FROM w JOIN e ON w.node = e.id)
 SELECT root, node AS leaf FROM w WHERE node NOT IN (SELECT id FROM e)""")
 def j11_lineage_leaves(spark, sf_dir):
-    edges = table(spark, sf_dir, "documents").where("doc_id > 2 and doc_id < 1000000000")
+    edges = table(spark, sf_dir, "documents").where("doc_id > 2")
     return catalog.lineage_leaves(edges.select(F.col("doc_id").alias("id"), F.expr("doc_id div 3").alias("source")))
 
 
@@ -505,11 +505,15 @@ def f02_dropped_keys(spark, sf_dir):
     return conversations(spark, sf_dir).select("conv_id", F.array_join(codec.dropped_keys(F.col("content_json"), F.col("format")), ",").alias("dropped"))
 
 
-@query("SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM conversations WHERE conv_id % 10 < 6 GROUP BY 1")
+@query("""SELECT conv_id, CASE WHEN conv_id % 10 < 8 THEN count(*) FILTER (conv_id % 10 <> 6 OR turn = least_turn) END AS n_turns,
+       CASE WHEN conv_id % 10 < 8 THEN md5(string_agg(role || ':' || text, '|' ORDER BY turn) FILTER (conv_id % 10 <> 6 OR turn = least_turn)) END AS digest
+FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS least_turn FROM conversations) GROUP BY 1""")
 def f03_round_trip(spark, sf_dir):
-    rows = conversations(spark, sf_dir).where("conv_id % 10 < 6")
+    """Malformed content has no turns; what is cut to one turn has that, extra keys go."""
+    rows = conversations(spark, sf_dir)
     back = codec.decode_turns(codec.pruned(F.col("content_json"), F.col("format")), F.col("format"))
-    return rows.select("conv_id", F.size(back).cast("long").alias("n_turns"), F.aggregate(back, F.lit(0).cast("long"), lambda s, t: s + F.length(t["text"])).alias("n_chars"))
+    digest = F.md5(F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "|"))
+    return rows.select("conv_id", F.when(F.size(back) > 0, F.size(back)).cast("long").alias("n_turns"), F.when(F.size(back) > 0, digest).alias("digest"))
 
 
 @query("SELECT conv_id, count(*) FILTER (role = 'assistant') AS n FROM conversations GROUP BY 1")
@@ -592,9 +596,36 @@ def f19_largest_remainder(spark, sf_dir):
     return numbers.allocate(c, F.lit(100), ["job_id"], "n", "category").select("job_id", "category", "allocated")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice / 4000 BETWEEN 0 AND 100 THEN CAST(floor(o_totalprice / 4000) AS INTEGER) END AS score FROM orders")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN 1 WHEN 0 THEN CASE WHEN floor(o_totalprice / 4000) <= 100 THEN CAST(floor(o_totalprice / 4000) AS INTEGER) END
+       WHEN 1 THEN CASE WHEN o_totalprice / 4000 <= 100 THEN CAST(floor(o_totalprice / 4000) AS INTEGER) END END AS score FROM orders""")
 def f21_valid_score(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.valid_score(F.col("o_totalprice") / 4000).alias("score"))
+    """Whole numbers, fractions, true and text."""
+    price = F.col("o_totalprice") / 4000
+    value = F.when(F.col("o_orderkey") % 4 == 0, F.floor(price).cast("string")).when(F.col("o_orderkey") % 4 == 1, price.cast("decimal(20,9)").cast("string"))
+    value = value.when(F.col("o_orderkey") % 4 == 2, "true").otherwise('"85"')
+    return table(spark, sf_dir, "orders").select("o_orderkey", models.json_score(F.concat(F.lit('{"score": '), value, F.lit("}"))).alias("score"))
+
+
+PERCENTS_SQL = f"""WITH {EXAMPLES_SQL}, c AS (SELECT job_id, category, count(*) AS n FROM ex GROUP BY 1, 2),
+e AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS k, row_number() OVER (PARTITION BY job_id ORDER BY category) - 1 AS i FROM c),
+p AS (SELECT *, 100 // k + CASE WHEN i < 100 % k THEN 1 ELSE 0 END AS even, n % 60 AS now, i = 1 AS chosen, least(greatest(30 + len(job_id) % 40, 1), 100 - (k - CASE WHEN k > 1 THEN 1 ELSE 0 END)) AS value FROM e)"""
+
+
+@query(PERCENTS_SQL + """,
+s AS (SELECT *, 100 - value AS remain, greatest(100 - value - (k - 1), 0) AS extra, sum(CASE WHEN chosen THEN 0 ELSE now END) OVER (PARTITION BY job_id) AS present FROM p),
+f AS (SELECT *, round(now::DOUBLE / present * extra, 9) AS share FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY job_id, chosen ORDER BY round(share - floor(share), 9) DESC, category) AS place,
+             extra - sum(CASE WHEN chosen THEN 0 ELSE floor(share) END) OVER (PARTITION BY job_id) AS more FROM f)
+SELECT job_id, category, CAST(even AS BIGINT) AS even,
+       CAST(CASE WHEN k = 1 THEN even WHEN chosen THEN value ELSE 1 + floor(share) + CASE WHEN place <= more THEN 1 ELSE 0 END END AS BIGINT) AS adjusted FROM r""")
+def f20_percents(spark, sf_dir):
+    c = scored_documents(spark, sf_dir).groupBy("job_id", "category").agg(F.count("*").alias("n"))
+    even = numbers.even_percents(c, ["job_id"], "category", "even")
+    second = F.row_number().over(W.partitionBy("job_id").orderBy("category")) == 2
+    rows = even.withColumn("chosen", second).withColumn("adjusted", F.col("n") % 60)
+    single = F.count("*").over(W.partitionBy("job_id")) == 1
+    out = numbers.adjusted_percents(rows.withColumn("single", single), ["job_id"], "category", "chosen", 30 + F.length("job_id") % 40, "adjusted")
+    return out.select("job_id", "category", "even", F.when(F.col("single"), F.col("even")).otherwise(F.col("adjusted")).alias("adjusted"))
 
 
 @query("""WITH t AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\\p{L}\\p{M}]+|\\p{N}+|[^\\s\\p{L}\\p{M}\\p{N}]')) AS n FROM documents)
@@ -656,12 +687,14 @@ def f33_cost_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", numbers.cost_text(F.col("n_chars") * 1.2345678e-6).alias("cost"))
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'click' THEN 'Example ' || json_extract_string(props, '$.k') || ' of 9 saved' WHEN 'error' THEN 'Run failed: {reason}' ELSE event_type END AS message,
-       CASE event_type WHEN 'error' THEN 'error' ELSE 'info' END AS level FROM events""")
+@query("""SELECT event_id, CASE event_type WHEN 'click' THEN json_extract_string(props, '$.k') || ' of 9 examples copied' WHEN 'error' THEN 'merge_failed {''reason'': ''none''}' ELSE event_type || ' {}' END AS message,
+       CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'info' ELSE 'warn' END AS level FROM events""")
 def f35_event_messages(spark, sf_dir):
+    """A known kind, one without a name of its template, and unknown ones."""
     e = event_log(spark, sf_dir)
-    kind = F.when(F.col("kind") == "click", "example_saved").when(F.col("kind") == "error", "job_failed").otherwise(F.col("kind"))
-    meta = F.when(F.col("kind") == "click", F.create_map(F.lit("n"), F.get_json_object("props", "$.k"), F.lit("total"), F.lit("9"))).otherwise(F.create_map().cast("map<string,string>"))
+    kind = F.when(F.col("kind") == "click", "merge_copy_batch").when(F.col("kind") == "error", "merge_failed").otherwise(F.col("kind"))
+    meta = F.when(F.col("kind") == "click", F.create_map(F.lit("done"), F.get_json_object("props", "$.k"), F.lit("total"), F.lit("9")))
+    meta = meta.when(F.col("kind") == "error", F.create_map(F.lit("reason"), F.lit("none"))).otherwise(F.create_map().cast("map<string,string>"))
     return e.select("event_id", events.message_of(kind, meta).alias("message"), events.level_of(kind).alias("level"))
 
 

@@ -116,11 +116,13 @@ def f05_stored_reasoning(spark, sf_dir):
     return conversations(spark, sf_dir).select("conv_id", F.size(codec.stored_reasoning(stored)).cast("long").alias("n"))
 
 
-@query("""SELECT conv_id, md5(string_agg(CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'system' END || ':' || text, '|' ORDER BY turn)) AS digest FROM conversations WHERE conv_id % 10 < 6 GROUP BY 1""")
+@query("""SELECT conv_id, CASE WHEN conv_id % 10 < 8 THEN md5(string_agg(CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'system' END || ':' || text, '|' ORDER BY turn)
+       FILTER (conv_id % 10 <> 6 OR turn = least_turn)) END AS digest FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS least_turn FROM conversations) GROUP BY 1""")
 def f11_canonical_turns(spark, sf_dir):
-    rows = conversations(spark, sf_dir).where("conv_id % 10 < 6")
+    """Malformed content has no turns."""
     turns = codec.decode_turns(F.col("content_json"), F.col("format"))
-    return rows.select("conv_id", F.md5(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "|")).alias("digest"))
+    digest = F.md5(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "|"))
+    return conversations(spark, sf_dir).select("conv_id", F.when(F.size(turns) > 0, digest).alias("digest"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN CAST(len(regexp_extract_all(text, '[\\p{L}\\p{M}]+|\\p{N}+|[^\\s\\p{L}\\p{M}\\p{N}]')) AS BIGINT) ELSE n_chars END AS tokens FROM documents""")
@@ -211,10 +213,13 @@ def l02_merge_jobs(spark, sf_dir):
     return pipelines.merge_jobs(jobs, ex, ["src2", "src1"], "m").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@query("""SELECT conv_id, count(*) FILTER (role = 'assistant' AND n <= 1) AS thoughts FROM (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE conv_id % 10 < 6) GROUP BY 1""")
+@query("""SELECT conv_id, CASE WHEN conv_id % 10 < 8 THEN count(*) FILTER (role = 'assistant' AND n <= 1 AND (conv_id % 10 <> 6 OR turn = least_turn)) ELSE 0 END AS thoughts
+FROM (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n, min(turn) OVER (PARTITION BY conv_id) AS least_turn FROM conversations) GROUP BY 1""")
 def l07_exported_lines(spark, sf_dir):
-    rows = conversations(spark, sf_dir).where("conv_id % 10 < 6").select(F.col("conv_id").alias("seq"), "content_json", "format", F.lit('["why"]').alias("reasoning"))
-    return io.jsonl_lines(rows, "inline").select(F.col("seq").alias("conv_id"), F.regexp_count("line", F.lit("<think>")).cast("long").alias("thoughts"))
+    """Malformed content has no line to think in."""
+    rows = conversations(spark, sf_dir).select(F.col("conv_id").alias("seq"), "content_json", "format", F.lit('["why"]').alias("reasoning"))
+    thoughts = F.coalesce(F.regexp_count("line", F.lit("<think>")), F.lit(0)).cast("long")
+    return io.jsonl_lines(rows, "inline").select(F.col("seq").alias("conv_id"), thoughts.alias("thoughts"))
 
 
 @query()

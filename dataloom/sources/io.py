@@ -16,7 +16,8 @@ def read_examples(spark: SparkSession, path: str, job_ids: list[str] | None = No
 
 
 def write_examples(examples: DataFrame, path: str, mode: str = "append") -> None:
-    examples.repartition("job_id").write.mode(mode).partitionBy("job_id").parquet(path)
+    """Partitions by job; a large job is rebalanced over several tasks and files, small ones share a task."""
+    examples.hint("rebalance", "job_id").write.mode(mode).partitionBy("job_id").parquet(path)
 
 
 def oldest_first(examples: DataFrame) -> DataFrame:

@@ -74,9 +74,11 @@ def snapshots(events: DataFrame, window: str = "10 minutes", late: str = "1 hour
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "job_id", "kind").agg(F.count("*").alias("n"))
 
 
-def drain(query_of: Callable[[], object], timeout_s: int = 120) -> None:
-    """Runs an available-now query to its end."""
+def drain(query_of: Callable[[], object], timeout_s: int | None = None) -> None:
+    """Runs an available-now query to its end. One that is not done in time is stopped, and that is an error."""
     query = query_of()
-    query.awaitTermination(timeout_s)
+    if not (query.awaitTermination() if timeout_s is None else query.awaitTermination(timeout_s)) and timeout_s is not None:
+        query.stop()
+        raise TimeoutError(f"the query did not end within {timeout_s} s")
     if query.exception():
         raise query.exception()

@@ -1,4 +1,8 @@
 import json
+import os
+import random
+import uuid
+from fractions import Fraction
 
 import pytest
 from hypothesis import given, settings
@@ -6,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dataloom.functions import numbers
-from dataloom.operators import catalog, curate, dedup, merge, mutations, report
+from dataloom.operators import catalog, curate, dedup, events, merge, mutations, report
+from dataloom.plans import models, pipelines
 from dataloom.schemas import CategoryConfig, JobConfig
 from dataloom.sources import io
 
@@ -32,12 +37,111 @@ def test_efficiency_without_attempts(spark):
     assert report.efficiency(spark.createDataFrame([("a", 0, 0), ("b", 1, 2)], "category string, completed int, skipped int")).collect()[0]["success_rate"] == 100.0
 
 
-@given(st.lists(st.integers(1, 50), min_size=1, max_size=30))
-def test_percents_sum_to_hundred(weights):
-    out = numbers.proportional_percents(weights, 100)
-    assert sum(out) == 100 and min(out) >= 1
-    assert sum(numbers.adjust_percent(out, 0, 40)) == 100
-    assert sum(numbers.remove_part(numbers.add_part(out), 0)) == 100
+def brute_adjusted(percents, index, value):
+    n = len(percents)
+    value = max(1, min(100 - (n - 1), int(value + 0.5)))
+    others = [p for i, p in enumerate(percents) if i != index]
+    left, k = 100 - value, n - 1
+    if not k:
+        return [value]
+    if not sum(others):
+        new = [left // k + (i < left % k) for i in range(k)]
+    else:
+        extra = max(0, left - k)
+        shares = [Fraction(p * extra, sum(others)) for p in others]
+        new = [int(s) for s in shares]
+        for i in sorted(range(k), key=lambda i: (new[i] - shares[i], i))[: extra - sum(new)]:
+            new[i] += 1
+        new = [x + 1 for x in new]
+    return [*new[:index], value, *new[index:]]
+
+
+def test_percents(spark):
+    rng = random.Random(3)
+    cases = [([90, 9, 1], 0, 50.0), ([60, 40], 1, 99.5), ([100], 0, 30.0), ([5, 0, 0], 0, 20.0), ([1] * 60, 5, 100.0)]
+    cases += [([rng.randrange(50) for _ in range(rng.randrange(1, 12))], 0, rng.random() * 120) for _ in range(60)]
+    rows = [(g, i, p, i == chosen, value) for g, (percents, chosen, value) in enumerate(cases) for i, p in enumerate(percents)]
+    df = spark.createDataFrame(rows, "g int, i int, percent long, chosen boolean, value double")
+    got = {}
+    for r in numbers.adjusted_percents(df, ["g"], "i", "chosen", F.col("value")).orderBy("g", "i").collect():
+        got.setdefault(r["g"], []).append(r["percent"])
+    assert got[0] == [50, 44, 6]
+    assert [got[g] for g in range(len(cases))] == [brute_adjusted(*c) for c in cases]
+    even = numbers.even_percents(spark.range(3).withColumn("g", F.lit(1)), ["g"], "id").orderBy("id")
+    assert [r["percent"] for r in even.collect()] == [34, 33, 33]
+
+
+@pytest.mark.parametrize("json,score", [
+    ('{"score": 85}', 85), ('{"score": 84.9}', 84), ('{"score": true}', 1), ('{"score": "85"}', None), ('{"score": 101}', None), ('{"score": -1}', None), ('{"score": null}', None),
+    ('{"score": [5]}', None), ("[85]", None), ("no json", None), ('{"score": 1e1}', 10), (None, None),
+])
+def test_scores_by_type(spark, json, score):
+    assert spark.createDataFrame([(json,)], "j string").select(models.json_score(F.col("j"))).first()[0] == score
+
+
+def counting(folder):
+    """A factory of clients that answer like the stub and leave a file for every request."""
+
+    class Counting(models.StubClient):
+        def chat(self, requests):
+            for r in requests:
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(f"{r['purpose']} {r['attempt']} {r['prompt'][:40]}")
+            return super().chat(requests)
+
+    return Counting
+
+
+def test_generation_asks_for_no_more_than_one_topic_after_another_would(spark, tmp_path):
+    folder = str(tmp_path)
+    topics = spark.createDataFrame([(c, i, f"topic {c} {i}", 3) for c in "ab" for i in range(1, 41)], "category string, attempt int, topic string, target int")
+    log = pipelines.generate(topics, "chatml", 80, counting(folder)).collect()
+    asked = [(tmp_path / f).read_text().split(" ")[0] for f in os.listdir(folder)]
+    stub, calls, expected = models.StubClient(), {"example": 0, "judge": 0}, []
+    rows = {r["id"]: r for r in _sequential(spark, topics, stub)}
+    for c in "ab":
+        accepted = 0
+        for i in range(1, 41):
+            if accepted == 3 or i > 15:
+                break
+            r = rows[f"{c}/{i}"]
+            calls["example"] += r["n_example"]
+            calls["judge"] += r["n_judge"]
+            accepted += r["accepted"]
+            expected.append((c, i, r["accepted"]))
+    assert sorted((r["category"], r["attempt"], r["accepted"]) for r in log) == expected
+    assert {k: asked.count(k) for k in calls} == calls
+
+
+def _sequential(spark, topics, stub):
+    """Every topic on its own, one call after another."""
+    prompts = topics.select(F.concat_ws("/", "category", "attempt").alias("id"), models.example_prompt(F.col("topic"), F.lit("chatml"), F.lit(1), F.lit(2048)).alias("prompt")).collect()
+    answers = [(p["id"], n, *(a.get(k) for k in ("content", "error"))) for p in prompts for n in (1, 2) for a in stub.chat([{"purpose": "example", "prompt": p["prompt"], "attempt": n}])]
+    parsed = models.parsed_examples(spark.createDataFrame(answers, "id string, attempt int, content string, error string"), "chatml")
+    found = {(r["id"], r["attempt"]): r["content_json"] if r["reason"] == "ok" else None for r in parsed.collect()}
+    judging = spark.range(1).select(models.judge_prompt(F.lit(""))).first()[0]
+    for p in prompts:
+        first = found[p["id"], 1]
+        content, n_example, n_judge, accepted = first or found[p["id"], 2], 1 if first else 2, 0, False
+        for call in (1, 2, 3) if content else ():
+            n_judge += 1
+            if json.loads(stub.chat([{"purpose": "judge", "prompt": judging + content, "attempt": call}])[0]["content"])["score"] >= 80:
+                accepted = True
+                break
+        yield {"id": p["id"], "n_example": n_example, "n_judge": n_judge, "accepted": accepted}
+
+
+def test_messages(spark):
+    rows = [("merge_copy_batch", {"done": "3", "total": "9"}), ("merge_copy_batch", {"done": "3"}), ("no_such_kind", {"a": "b", "c": None}), ("merge_export_start", None), ("job_completed", {})]
+    df = spark.createDataFrame(rows, "kind string, meta map<string,string>").select(events.message_of(F.col("kind"), F.col("meta")), events.level_of(F.col("kind")))
+    assert [tuple(r) for r in df.collect()] == [
+        ("3 of 9 examples copied", "info"), ("merge_copy_batch {'done': '3'}", "info"), ("no_such_kind {'a': 'b', 'c': None}", "warn"), ("Lines are written", "info"), ("job_completed {}", "info"),
+    ]
+
+
+def test_chain_of_two_hundred_merges(spark):
+    edges = spark.range(1, 201).select(F.col("id"), (F.col("id") - 1).alias("source"))
+    assert {(r["root"], r["leaf"]) for r in catalog.lineage_leaves(edges).where("root in (1, 100, 200)").collect()} == {(1, 0), (100, 0), (200, 0)}
 
 
 def test_largest_remainder(spark):

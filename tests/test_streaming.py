@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from dataloom.operators import events
@@ -24,10 +25,18 @@ def test_ring_log_equals_batch_tail(spark, sf_dir, tmp_path):
     log = staged(spark, sf_dir, tmp_path)
     stream = feed.ring_log(feed.read_stream(spark, str(tmp_path / "in"), log.schema, 1), 5)
     query = stream.writeStream.format("memory").queryName("ring").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     rows = spark.table("ring").collect()
     newest = {}
     for r in rows:
         newest.setdefault(r["job_id"], {})[r["seq"]] = r["kind"]
     for r in events.tail(log, 5).collect():
         assert newest[r["job_id"]][r["seq"]] == r["kind"]
+
+
+def test_a_stream_that_does_not_end_in_time_is_an_error(spark, sf_dir, tmp_path):
+    log = staged(spark, sf_dir, tmp_path)
+    stream = feed.read_stream(spark, str(tmp_path / "in"), log.schema, 1)
+    with pytest.raises(TimeoutError):
+        feed.drain(lambda: feed.publish(feed.running_counters(stream), str(tmp_path / "out"), str(tmp_path / "cp"), available_now=False), timeout_s=5)
+    assert not spark.streams.active
