@@ -53,7 +53,7 @@ def merged(examples: DataFrame, source_ids: list[str], job_id: str, shuffle_seed
         rows = rows.withColumn("category", category_or_unknown(F.col("category")))
     order = [c for c in ("created_at", "seq") if c in rows.columns] + ["source_id"] if shuffle_seed is None else []
     if shuffle_seed is not None:
-        rows, order = rows.withColumn("__place", F.xxhash64(F.lit(shuffle_seed), "id")), ["__place", "id"]
+        rows, order = rows.withColumn("__place", F.md5(F.concat(F.lit(f"{shuffle_seed}:"), "id"))), ["__place", "id"]
     return numbered(rows, order, "seq").drop("__place")
 
 

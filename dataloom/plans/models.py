@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -46,7 +47,7 @@ class StubClient:
                 content = "=== TURN 1 ===\n" + " ".join(f"step{digest[i]}" for i in range(24))
             else:
                 turns = [{"role": "user", "content": f"About {r['prompt']}?"}, {"role": "assistant", "content": f"Answer {digest[:4].hex()}."}]
-                content = "Here:\n```json\n" + json.dumps({"messages": turns if digest[1] % 8 else turns[:1]}) + "\n```"
+                content = "Here:\n```json\n" + json.dumps({"messages": turns if digest[1] % 8 else turns[:1]}, ensure_ascii=False) + "\n```"
             out.append({"content": content, "prompt_tokens": len(r["prompt"]) // 4 + 1, "completion_tokens": len(content) // 4 + 1, "reasoning_tokens": 0, "error": None})
         return out
 
@@ -64,11 +65,30 @@ def hashing_embedding(text: str, dim: int = 32) -> list[float]:
     return [x / n for x in v]
 
 
-def chat(requests: DataFrame, factory: Callable[[], ModelClient] = StubClient, parallel: int | None = None, batch: int = 50) -> DataFrame:
+#: Statuses of a failed call after which it is made again.
+RETRIED = (429, 500, 502, 503, 504)
+
+
+def _answer(client: ModelClient, request: dict, retries: int, wait_s: float) -> dict:
+    """One call, made again while it fails with a status of `RETRIED`; what fails at last is an error."""
+    for n in range(retries + 1):
+        try:
+            return client.chat([request])[0]
+        except Exception as problem:  # the answer of a failed call is its error
+            if n == retries or getattr(problem, "status", None) not in RETRIED:
+                return {"content": None, "prompt_tokens": 0, "completion_tokens": 0, "reasoning_tokens": 0, "error": str(problem) or type(problem).__name__}
+            time.sleep(wait_s * 2**n)
+    raise AssertionError
+
+
+def chat(
+    requests: DataFrame, factory: Callable[[], ModelClient] = StubClient, parallel: int | None = None, batch: int = 50, retries: int = 3, wait_s: float = 1.0
+) -> DataFrame:
     """Answers (id, attempt, content, prompt_tokens, completion_tokens, error) of requests (id, purpose, prompt, attempt).
 
-    At most `parallel` calls are open at once, one per partition. Completion tokens are net of reasoning. A call that
-    raises becomes a row with an error, no content and no usage.
+    At most `parallel` calls are open at once, one per partition. Completion tokens are net of reasoning. Where a batch
+    fails its requests are made one by one, again after a passing failure; a call that fails for good becomes a row with
+    an error, no content and no usage, and takes no other with it. A null prompt is not sent and is an error.
     """
     rows = requests.select(F.col("id").cast("string").alias("id"), "purpose", "prompt", F.col("attempt").cast("int").alias("attempt"))
     if parallel:
@@ -78,14 +98,17 @@ def chat(requests: DataFrame, factory: Callable[[], ModelClient] = StubClient, p
         client = factory()
         names = ["id", "attempt", "content", "prompt_tokens", "completion_tokens", "reasoning_tokens", "error"]
         types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        nothing = {"content": None, "prompt_tokens": 0, "completion_tokens": 0, "reasoning_tokens": 0, "error": "no prompt"}
         for part in batches:
             for at in range(0, part.num_rows, batch):
                 asked = part.slice(at, batch).to_pylist()
+                sent = [r for r in asked if r["prompt"] is not None]
                 try:
-                    answers = client.chat(asked)
-                except Exception as problem:  # the answer of a failed call is its error
-                    answers = [{"content": None, "prompt_tokens": 0, "completion_tokens": 0, "reasoning_tokens": 0, "error": str(problem)}] * len(asked)
-                rows = [{**a, "id": r["id"], "attempt": r["attempt"]} for r, a in zip(asked, answers)]
+                    answers = client.chat(sent) if sent else []
+                except Exception:
+                    answers = [_answer(client, r, retries, wait_s) for r in sent]
+                answers = iter(answers)
+                rows = [{**(nothing if r["prompt"] is None else next(answers)), "id": r["id"], "attempt": r["attempt"]} for r in asked]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
 
     answers = rows.mapInArrow(run, "id string, attempt int, content string, prompt_tokens long, completion_tokens long, reasoning_tokens long, error string")

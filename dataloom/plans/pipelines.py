@@ -36,11 +36,11 @@ def generate(
         if log is not None:
             made = log.groupBy("category").agg(F.count("*").alias("__made"), F.count_if("accepted").alias("__accepted"))
         due = rows.join(made, "category").where((F.col("__n") > F.col("__made")) & (F.col("__n") <= F.col("__made") + F.col("target") - F.col("__accepted")))
-        due = checkpointed(due.drop("__made", "__accepted").coalesce(8 if log is not None else rows.rdd.getNumPartitions()))
+        due = checkpointed(due.drop("__made", "__accepted"))
         if due.isEmpty():
             return (due.withColumns({"content_json": F.lit(None).cast("string"), "accepted": F.lit(False), "score": F.lit(None).cast("int")}) if log is None else log).drop("__n")
         done = _round(due, fmt, threshold, factory, attempts, judge_calls)
-        log = done if log is None else checkpointed(log.union(done))
+        log = checkpointed(done if log is None else log.union(done))
 
 
 def _round(due: DataFrame, fmt: str, threshold: int, factory: Callable, attempts: int, judge_calls: int) -> DataFrame:
@@ -49,7 +49,7 @@ def _round(due: DataFrame, fmt: str, threshold: int, factory: Callable, attempts
     open_, valid = due.select("id", F.lit("example").alias("purpose"), prompt.alias("prompt")), None
     for attempt in range(1, attempts + 1):
         parsed = models.parsed_examples(models.chat(open_.withColumn("attempt", F.lit(attempt)), factory), fmt)
-        good = checkpointed(parsed.where("reason = 'ok'").select("id", "content_json"))
+        good = parsed.where("reason = 'ok'").select("id", "content_json")  # over checkpointed answers
         valid = good if valid is None else valid.union(good)
         open_ = open_.join(good, "id", "left_anti")
     open_, scored = valid.select("id", F.lit("judge").alias("purpose"), models.judge_prompt(F.col("content_json")).alias("prompt")), None
@@ -57,7 +57,7 @@ def _round(due: DataFrame, fmt: str, threshold: int, factory: Callable, attempts
         found = checkpointed(models.scores(models.chat(open_.withColumn("attempt", F.lit(call)), factory)).select("id", F.lit(call).alias("call"), "score"))
         scored = found if scored is None else scored.union(found)
         open_ = open_.join(found.where(F.col("score") >= threshold), "id", "left_anti")
-    return checkpointed(curate.judged(due.join(valid, "id", "left"), scored, threshold, judge_calls))
+    return curate.judged(due.join(valid, "id", "left"), scored, threshold, judge_calls)
 
 
 def merge_jobs(jobs: DataFrame, examples: DataFrame, source_ids: list[str], job_id: str, shuffle_seed: int | None = None) -> DataFrame:

@@ -98,9 +98,29 @@ def a04_efficiency(spark, sf_dir):
     return report.efficiency(_counters(spark, sf_dir))
 
 
-@query()
+SNAPSHOT_SQL = f"""SELECT 'tokens' AS part, category AS name, n, CAST(avg_tokens AS DOUBLE) AS value FROM ({_SQL["a01_token_stats_by_category"]})
+UNION ALL SELECT 'efficiency', category, completed, success_rate FROM ({_SQL["a04_efficiency"]})
+UNION ALL SELECT 'histogram', label, n, CAST(bucket_start AS DOUBLE) FROM ({_SQL["a03_score_histogram"]})
+UNION ALL SELECT 'scores', 'median ' || median_score, n, mean_score FROM ({_SQL["a02_score_summary"]})"""
+_PARTS = {
+    "tokens": ("category string, n long, avg_tokens double", "category", "n", "avg_tokens"), "efficiency": ("category string, completed long, success_rate double", "category", "completed", "success_rate"),
+    "histogram": ("label string, n long, bucket_start double", "label", "n", "bucket_start"), "scores": ("median_score string, n long, mean_score double", "concat('median ', median_score)", "n", "mean_score"),
+}
+
+
+def _snapshot_rows(snapshot, column):
+    """The figures that a snapshot's JSON holds, as rows."""
+    rows = None
+    for part, (schema, name, n, value) in _PARTS.items():
+        entries = snapshot.select(F.inline(F.from_json(F.get_json_object(column, f"$.{part}"), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
+        one = entries.selectExpr(f"'{part}' as part", f"{name} as name", f"{n} as n", f"{value} as value")
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
+@query(SNAPSHOT_SQL)
 def a05_snapshot(spark, sf_dir):
-    return report.snapshot(scored_documents(spark, sf_dir), _counters(spark, sf_dir))
+    return _snapshot_rows(report.snapshot(scored_documents(spark, sf_dir), _counters(spark, sf_dir)), "stats_json")
 
 
 @query(f"""WITH {EXAMPLES_SQL}
@@ -463,7 +483,8 @@ def u01_merge_union(spark, sf_dir):
     return merge.merged(ex, ["src3", "src1", "src5", "src1"], "merged").select("id", "seq", "category", "source_job_id")
 
 
-@query()
+@query(f"""WITH {EXAMPLES_SQL}, m AS (SELECT sha256('shuffled/' || job_id || '/' || id) AS id, {UNKNOWN} AS category FROM ex WHERE job_id IN ('src1', 'src3'))
+SELECT id, row_number() OVER (ORDER BY md5('11:' || id), id) AS seq, category FROM m""")
 def o08_shuffled_merge(spark, sf_dir):
     ex = scored_documents(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
     return merge.merged(ex, ["src1", "src3"], "shuffled", shuffle_seed=11).select("id", "seq", "category")
@@ -799,9 +820,10 @@ def s10_report_lines(spark, sf_dir):
     return io.report_lines([("Events", rows)])
 
 
-@query()
+@query(SNAPSHOT_SQL)
 def s11_report_json(spark, sf_dir):
-    return io.report_json(report.snapshot(scored_documents(spark, sf_dir), _counters(spark, sf_dir)))
+    """The figures of the report, read back from its indented JSON."""
+    return _snapshot_rows(io.report_json(report.snapshot(scored_documents(spark, sf_dir), _counters(spark, sf_dir))), "json")
 
 
 @query("""SELECT coalesce(max(CASE WHEN n_name = 'NATION_1' THEN CAST(n_regionkey AS VARCHAR) END), 'none') AS "NATION_1", coalesce(max(CASE WHEN n_name = 'threshold' THEN '' END), '80') AS threshold FROM nation""")
@@ -838,7 +860,23 @@ def _topics(spark, sf_dir):
     return rows.select("category", F.row_number().over(W.partitionBy("category").orderBy("doc_id")).alias("attempt"), "topic", F.lit(10).alias("target"))
 
 
-@query()
+def _byte(text: str, i: int) -> str:
+    return f"CAST('0x' || substr(sha256({text}), {2 * i + 1}, 2) AS INTEGER)"
+
+
+#: The stub client's answers: which try is valid, what it says, and what three judge calls make of it.
+L01_SQL = f"""WITH t AS (SELECT source AS category, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS attempt, left(text, 40) || CASE WHEN length(text) > 40 THEN '…' ELSE '' END AS topic FROM documents),
+p AS (SELECT *, 'Write one chatml training example of 1 exchanges on: ' || coalesce(topic, 'null') || '. Use at most 1433 tokens. Answer with JSON only.' AS prompt FROM t WHERE attempt <= 50),
+k AS (SELECT *, CASE WHEN {_byte("'example|' || prompt || '|1'", 1)} % 8 > 0 THEN 1 WHEN {_byte("'example|' || prompt || '|2'", 1)} % 8 > 0 THEN 2 END AS good FROM p),
+c AS (SELECT *, 'Score this training example from 0 to 100. Answer as {{"score": n}}.' || chr(10) || chr(10) || '{{"messages": [{{"role": "user", "content": ' || CAST(to_json('About ' || prompt || '?') AS VARCHAR)
+             || '}}, {{"role": "assistant", "content": "Answer ' || substr(sha256('example|' || prompt || '|' || good), 1, 8) || '."}}]}}' AS judging FROM k),
+s AS (SELECT *, {", ".join(f"50 + {_byte(f"'judge|' || judging || '|{i}'", 0)} % 51 AS s{i}" for i in (1, 2, 3))} FROM c),
+o AS (SELECT category, attempt, coalesce(greatest(s1, s2, s3) >= 80, false) AS accepted, CASE WHEN s1 >= 80 THEN s1 WHEN s2 >= 80 THEN s2 ELSE s3 END AS score FROM s),
+r AS (SELECT *, coalesce(sum(accepted::INT) OVER (PARTITION BY category ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+SELECT category, CAST(attempt AS INTEGER) AS attempt, accepted, CAST(score AS INTEGER) AS score FROM r WHERE before < 10"""
+
+
+@query(L01_SQL)
 def l01_generate(spark, sf_dir):
     return pipelines.generate(_topics(spark, sf_dir), "chatml", 80).select("category", "attempt", "accepted", "score")
 

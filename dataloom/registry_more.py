@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dataloom.functions import codec, numbers, text
 from dataloom.operators import catalog, dedup, events, merge, mutations, report
 from dataloom.plans import models, pipelines
-from dataloom.registry import EXAMPLES_SQL, JOBS_SQL, PAIRS_SQL, UNKNOWN, _counters, _lines, _vector_report, query
+from dataloom.registry import EXAMPLES_SQL, JOBS_SQL, PAIRS_SQL, SNAPSHOT_SQL, UNKNOWN, _byte, _counters, _lines, _snapshot_rows, _vector_report, query
 from dataloom.session import ensure_checkpoint_dir
 from dataloom.sources import io
 from dataloom.sources.tables import conversations, event_log, order_jobs, scored_documents, table
@@ -110,10 +110,11 @@ def u04_ordered_distinct(spark, sf_dir):
 # Content and display functions
 
 
-@query("""SELECT conv_id, count(*) FILTER (role = 'assistant') AS n FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, count(*) FILTER (role = 'assistant') AS n, md5(coalesce(string_agg(text, '|' ORDER BY turn) FILTER (role = 'assistant'), '')) AS digest FROM conversations GROUP BY 1""")
 def f05_stored_reasoning(spark, sf_dir):
     stored = F.to_json(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
-    return conversations(spark, sf_dir).select("conv_id", F.size(codec.stored_reasoning(stored)).cast("long").alias("n"))
+    found = codec.stored_reasoning(stored)
+    return conversations(spark, sf_dir).select("conv_id", F.size(found).cast("long").alias("n"), F.md5(F.array_join(found, "|")).alias("digest"))
 
 
 @query("""SELECT conv_id, CASE WHEN conv_id % 10 < 8 THEN md5(string_agg(CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'system' END || ':' || text, '|' ORDER BY turn)
@@ -199,18 +200,20 @@ def m05_deleted_job(spark, sf_dir):
     return mutations.deleted(scored_documents(spark, sf_dir), gone, "job_id").groupBy("job_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(SNAPSHOT_SQL)
 def m08_stored_snapshot(spark, sf_dir):
+    """The figures of a snapshot that was written and read back."""
     folder = f"{ensure_checkpoint_dir(spark)}/snapshot-{uuid.uuid4().hex}"
     report.snapshot(scored_documents(spark, sf_dir), _counters(spark, sf_dir)).write.parquet(folder)
-    return spark.read.parquet(folder)
+    return _snapshot_rows(spark.read.parquet(folder), "stats_json")
 
 
-@query(f"""WITH {EXAMPLES_SQL} SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM ex WHERE job_id IN ('src1', 'src2')""")
+@query(f"""WITH {EXAMPLES_SQL} SELECT sha256('m/' || job_id || '/' || id) AS id, row_number() OVER (ORDER BY ex.seq, CAST(id AS VARCHAR)) AS seq, {UNKNOWN} AS category, job_id AS source_job_id, md5(text) AS digest
+FROM ex WHERE job_id IN ('src1', 'src2')""")
 def l02_merge_jobs(spark, sf_dir):
     ex = scored_documents(spark, sf_dir).withColumn("id", F.col("id").cast("string"))
     jobs = ex.select(F.col("job_id").alias("id")).distinct().select("id", F.lit("completed").alias("status"), F.lit("chatml").alias("format"), F.lit(None).cast("string").alias("reasoning_format"))
-    return pipelines.merge_jobs(jobs, ex, ["src2", "src1"], "m").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+    return pipelines.merge_jobs(jobs, ex, ["src2", "src1"], "m").select("id", "seq", "category", "source_job_id", F.md5("text").alias("digest"))
 
 
 @query("""SELECT conv_id, CASE WHEN conv_id % 10 < 8 THEN count(*) FILTER (role = 'assistant' AND n <= 1 AND (conv_id % 10 <> 6 OR turn = least_turn)) ELSE 0 END AS thoughts
@@ -222,13 +225,15 @@ def l07_exported_lines(spark, sf_dir):
     return io.jsonl_lines(rows, "inline").select(F.col("seq").alias("conv_id"), thoughts.alias("thoughts"))
 
 
-@query()
+@query(f"""SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN {_byte("'example|' || text || '|1'", 1)} % 8 > 0 THEN 'ok' ELSE 'too_few_turns' END AS reason,
+       CASE WHEN {_byte("'example|' || text || '|1'", 1)} % 8 > 0 THEN 'Answer ' || substr(sha256('example|' || text || '|1'), 1, 8) || '.' END AS answer, md5('About ' || text || '?') AS asked FROM benchmark""")
 def x01_generated_and_validated(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("example").alias("purpose"), F.col("text").alias("prompt"), F.lit(1).alias("attempt"))
-    return models.parsed_examples(models.chat(asked), "chatml", 1).select("id", "reason", "completion_tokens")
+    turns = codec.decode_turns(F.col("content_json"), F.lit("chatml"))
+    return models.parsed_examples(models.chat(asked), "chatml", 1).select("id", "reason", F.try_element_at(turns, F.lit(2))["text"].alias("answer"), F.md5(F.try_element_at(turns, F.lit(1))["text"]).alias("asked"))
 
 
-@query()
+@query(f"""SELECT CAST(item_id AS VARCHAR) AS id, 50 + {_byte("'judge|Score this training example from 0 to 100. Answer as {\"score\": n}.' || chr(10) || chr(10) || text || '|1'", 0)} % 51 AS score FROM benchmark""")
 def x04_judged(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.lit("judge").alias("purpose"), models.judge_prompt(F.col("text")).alias("prompt"), F.lit(1).alias("attempt"))
     return models.scores(models.chat(asked, parallel=3)).select("id", "score")

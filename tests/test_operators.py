@@ -79,6 +79,30 @@ def test_scores_by_type(spark, json, score):
     assert spark.createDataFrame([(json,)], "j string").select(models.json_score(F.col("j"))).first()[0] == score
 
 
+def test_a_failing_call_takes_no_other_with_it(spark):
+    def client():
+        class Failing(models.StubClient):
+            tries = 0
+
+            def chat(self, requests):
+                for r in requests:
+                    if r["prompt"] == "bad":
+                        raise ValueError("refused")
+                    if r["prompt"] == "busy":
+                        self.tries += 1
+                        if self.tries < 4:
+                            problem = RuntimeError("busy")
+                            problem.status = 429
+                            raise problem
+                return super().chat(requests)
+
+        return Failing()
+
+    rows = spark.createDataFrame([("1", "judge", "fine", 1), ("2", "judge", "bad", 1), ("3", "judge", None, 1), ("4", "judge", "busy", 1), ("5", "judge", "fine", 1)], "id string, purpose string, prompt string, attempt int")
+    got = {r["id"]: (r["content"] is not None, r["error"]) for r in models.chat(rows.coalesce(1), client, wait_s=0.01).collect()}
+    assert got == {"1": (True, None), "2": (False, "refused"), "3": (False, "no prompt"), "4": (True, None), "5": (True, None)}
+
+
 def counting(folder):
     """A factory of clients that answer like the stub and leave a file for every request."""
 
