@@ -140,6 +140,8 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ascending id (then text); after the last comes the first. Integer ids; rows of equal ids follow each other.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
+    if id_type not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {id_type}; the order of rows needs whole numbers")
 
     def finish(pending: list[tuple], out: list[list]) -> None:
         """pending: (id, text, own); the last one is only looked at."""

@@ -254,6 +254,24 @@ def test_search_equals_brute_force(spark, block):
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, g in got.items() if not g[1]) and clean.columns == df.columns
 
 
+def test_blocks_of_items_do_not_share_a_stage(spark):
+    """Twenty blocks are twenty passes side by side, none fed by another: a task holds one block's tables."""
+    docs = documents(spark, [doc(i, f"text {i} of some words") for i in range(5)])
+    bench = spark.createDataFrame([(i, f"item {i} has words of its own") for i in range(20)], "item_id long, text string")
+    for found in (decontamination.benchmark_hits(docs, bench, block_bytes=1), decontamination.without_contaminated(docs, bench, block_bytes=1)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth = [len(line) - len(line.lstrip(" :+-")) for line in plan if "MapInArrow" in line]
+        assert len(depth) >= 20
+        starts = [i for i, line in enumerate(plan) if "MapInArrow" in line]
+        for i in starts:  # nothing below it, down to its leaf, is another pass
+            below = [line for line in plan[i + 1 :] if line.strip()]
+            own = len(plan[i]) - len(plan[i].lstrip(" :+-"))
+            for line in below:
+                if len(line) - len(line.lstrip(" :+-")) <= own:
+                    break
+                assert "MapInArrow" not in line
+
+
 def test_search_edges(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.benchmark_hits(documents(spark), none).where("size(items) > 0").count() == 0

@@ -105,3 +105,12 @@ def test_language_edges(spark):
     one = language_id.fit(documents(spark, [doc(1, LONG, "en")]))
     assert {r["lang_pred"] for r in language_id.identify(docs, one).collect()} == {"en", "und"}
     assert language_id.identify(documents(spark, []), codes).count() == 0
+
+
+def test_repeated_ids_and_rows_stay_out_of_the_driver(spark, monkeypatch):
+    """20,000 rows of one id: nothing but sums of wrong bits leaves the tasks, and they count as one sample."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 200)
+    rows = spark.range(20_000).selectExpr("cast(8 as long) as doc_id", "concat('the words of number ', id % 50, if(id % 2 = 0, ' and the other', ' und der andere')) as text", "if(id % 2 = 0, 'en', 'de') as lang")
+    codes = language_id.fit(rows, key=F.col("doc_id"))
+    got = language_id.identify(rows, codes).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in got} == {"en": 10_000, "de": 10_000}

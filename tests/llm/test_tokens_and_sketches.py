@@ -109,3 +109,9 @@ def test_edited_pairs_edges(spark):
     prints = sketches.fingerprints(documents(spark)).where("doc_id in (1, 5)").groupBy("fingerprint").agg(F.count("*").alias("n")).collect()
     assert sorted(r["n"] for r in prints) == [1, 3]
     assert np.isclose(sketches.fingerprints(documents(spark)).where("doc_id = 3").first()["n_shingles"], 0)
+
+
+def test_edited_pairs_need_whole_number_ids(spark):
+    docs = spark.createDataFrame([("a", "x"), ("b", "y")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        sketches.edited_pairs(docs)
