@@ -37,6 +37,8 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+#: Estimated bytes of decisions that are broadcast at most.
+BROADCAST_BYTES = 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SEPARATOR = "\r\n\r\n"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f-\xa0  　]")
@@ -195,19 +197,21 @@ def record_id(file: str, offset: int, digest: str) -> str:
 def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, revisit_bytes: int = 1000) -> None:
     """Converts all ARC files of a folder to WARC files, one per partition.
 
-    What revisits what is decided on narrow rows without payloads, in joins that a payload of a third of all pages does not make uneven; every
-    file then meets the few lines about its own revisits, as it was read, still compressed.
+    What revisits what is decided on narrow rows without payloads, in joins that a payload of a third of all pages does
+    not make uneven. The decisions go to the records by file and offset: broadcast while they take at most
+    `BROADCAST_BYTES`, else in a join whose keys are all different.
     """
-    records = read_arc(spark, arc_folder, contents=False)
-    large = records.where(F.col("payload_bytes") >= revisit_bytes).withColumn("content", F.concat_ws(":", "digest", "payload_bytes"))
+    narrow = read_arc(spark, arc_folder, contents=False)
+    large = narrow.where(F.col("payload_bytes") >= revisit_bytes).withColumn("content", F.concat_ws(":", "digest", "payload_bytes"))
     # a group of one needs no entry; the greatest (page id, file, offset) of the others is the original
     original = F.max(F.struct("page_id", "file", "offset", "uri", "archive_date"))
     originals = checkpointed(large.groupBy("content").agg(original.alias("o"), F.count("*").alias("n")).where("n > 1").select("content", "o"))
-    revisits = salted_join(large.select("content", "file", "offset"), originals, "content", F.struct("file", "offset"))
-    revisits = revisits.where("file <> o.file or offset <> o.offset")
-    of_file = revisits.groupBy("file").agg(F.collect_list(F.struct("offset", F.col("o.file").alias("o_file"), F.col("o.offset").alias("o_offset"), F.col("o.uri").alias("o_uri"), F.col("o.archive_date").alias("o_date"))).alias("revisits"))
-    files = _files(spark, arc_folder).withColumn("file", F.substring_index("path", "/", -1))
-    rows = files.join(of_file, "file", "left").select("file", "content", "revisits")
+    revisits = salted_join(large.select("content", "file", "offset"), originals, "content", F.struct("file", "offset")).where("file <> o.file or offset <> o.offset")
+    revisits = checkpointed(revisits.select("file", "offset", F.lit(True).alias("revisit"), F.col("o.file").alias("o_file"), F.col("o.offset").alias("o_offset"), F.col("o.uri").alias("o_uri"), F.col("o.archive_date").alias("o_date")))
+    size = revisits.agg(F.sum(F.lit(200) + F.octet_length("file") + F.octet_length("o_file") + F.octet_length("o_uri"))).first()[0] or 0
+    rows = read_arc(spark, arc_folder).join(F.broadcast(revisits) if size <= BROADCAST_BYTES else revisits, ["file", "offset"], "left")
+    rows = rows.withColumn("revisit", F.coalesce("revisit", F.lit(False))).withColumn("payload", F.when(~F.col("revisit"), F.col("payload")))
+    rows = rows.select("file", "offset", "uri", "archive_date", "head", "payload", "digest", "revisit", "o_file", "o_offset", "o_uri", "o_date")
 
     def warc_date(arc_date: str) -> str:
         d = arc_date
@@ -217,27 +221,20 @@ def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, revisit_
         info = "software: dataloom\r\nformat: WARC File Format 1.1\r\n"
         part = TaskContext.get().partitionId()
         first = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(warc_folder, part, '')}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}"
-        out, held = [first], 0
         for batch in batches:
-            for file, content, revisits in zip(*(c.to_pylist() for c in batch.columns)):
-                of = {r["offset"]: r for r in revisits or ()}
-                for offset, fields, block in arc_records(content):
-                    head, _, payload = block.partition(b"\r\n\r\n")
-                    digest, original = hashlib.sha1(payload).hexdigest(), of.get(offset)
-                    data = head + b"\r\n\r\n" + (payload if original is None else b"")
-                    lines = [
-                        "WARC/1.1", f"WARC-Type: {'response' if original is None else 'revisit'}", f"WARC-Record-ID: {record_id(file, offset, digest)}",
-                        f"WARC-Date: {warc_date(fields['Archive-date'])}", f"WARC-Target-URI: {fields['URL']}", f"WARC-Payload-Digest: sha1:{_base32(digest)}",
-                        f"WARC-Block-Digest: sha1:{_base32(hashlib.sha1(data).hexdigest())}", "Content-Type: application/http;msgtype=response",
-                    ]
-                    if original is not None:
-                        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(original['o_file'], original['o_offset'], digest)}", f"WARC-Refers-To-Target-URI: {original['o_uri']}", f"WARC-Refers-To-Date: {warc_date(original['o_date'])}"]
-                    out.append("\r\n".join([*lines, f"Content-Length: {len(data)}", "", data.decode()]))
-                    held += len(data)
-                    if held >= 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-                        out, held = [], 0
-        if out:
+            out = [first] if first else []
+            first = ""
+            for file, offset, uri, date, head, payload, digest, is_revisit, o_file, o_offset, o_uri, o_date in zip(*(c.to_pylist() for c in batch.columns)):
+                block = f"{head}{SEPARATOR}{'' if is_revisit else payload}"
+                data = block.encode()
+                lines = [
+                    "WARC/1.1", f"WARC-Type: {'revisit' if is_revisit else 'response'}", f"WARC-Record-ID: {record_id(file, offset, digest)}",
+                    f"WARC-Date: {warc_date(date)}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{_base32(digest)}",
+                    f"WARC-Block-Digest: sha1:{_base32(hashlib.sha1(data).hexdigest())}", "Content-Type: application/http;msgtype=response",
+                ]
+                if is_revisit:
+                    lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(o_file, o_offset, digest)}", f"WARC-Refers-To-Target-URI: {o_uri}", f"WARC-Refers-To-Date: {warc_date(o_date)}"]
+                out.append("\r\n".join([*lines, f"Content-Length: {len(data)}", "", block]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     rows.mapInArrow(run, "value string").write.option("lineSep", SEPARATOR).option("compression", "gzip").text(warc_folder)

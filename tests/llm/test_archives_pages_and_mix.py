@@ -28,7 +28,9 @@ def round_trip(spark, pages):
     return warc.resolved_revisits(warc.read_warc(spark, f"{folder}/warc"))
 
 
-def test_archive_edges(spark):
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
+def test_archive_edges(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", broadcast)
     big = "é\r\n\r\nWARC/1.1\r\n" + LONG
     rows = [(1, "http://a/ b\n", big), (2, None, None), (3, "u", ""), (None, "u", big), (4, "u", big), (4, "u", big), (5, "u", "x" * 999), (6, "u", "x" * 999), (7, "u", "x" * 1000), (8, "u", "x" * 1000)]
     pages = spark.createDataFrame([(*r, "e", "p") for r in rows], "page_id long, url string, html string, file string, payload string")
