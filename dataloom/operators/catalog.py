@@ -81,6 +81,45 @@ def first_per(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def last_per(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The last row of each key: the source that a later entry of the same name replaces."""
+    return first_per(rows, key, F.desc(order))
+
+
+#: What states and stages of a job are called.
+STATUS_LABELS = {
+    "pending": "Pending", "running": "Running", "cancelling": "Cancelling…", "cancelled": "Cancelled", "completed": "Completed", "failed": "Failed",
+    "interrupted": "Interrupted",
+}
+STAGE_LABELS = {
+    "pending": "Awaiting start", "generating_topics": "Generating topics", "generating_examples": "Generating examples", "completed": "Completed",
+    "cancelled": "Cancelled", "failed": "Generation error", "interrupted": "Interrupted", "merging_copying": "Copying examples",
+    "merging_exporting": "Writing JSONL", "merging_computing_stats": "Computing statistics", "reasoning_copying": "Copying source examples",
+    "reasoning_generating": "Generating reasoning", "reasoning_exporting": "Writing JSONL", "reasoning_computing_stats": "Computing statistics",
+}
+
+
+def label(name: Column, labels: dict[str, str]) -> Column:
+    """What a state or stage is called; an unknown one by its own name."""
+    return F.coalesce(F.create_map(*[F.lit(x) for entry in labels.items() for x in entry])[name], name)
+
+
+def is_full(n_categories: Column, cap: int = 64) -> Column:
+    """Whether no category can be added: 64 in a request, 10 in a form."""
+    return n_categories >= cap
+
+
+def listed_models(jobs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Jobs (id, model, ...) with `models`: of a merged job the distinct models of its lineage's leaves, by leaf; else its own.
+
+    edges: (id, source) of merged jobs. Sources that are gone count for nothing; if all are, the job's own model stays.
+    """
+    leaves = lineage_leaves(edges.join(jobs.select(F.col("id").alias("source")), "source", "left_semi").select("id", "source"))
+    of_leaf = leaves.join(jobs.select(F.col("id").alias("leaf"), "model"), "leaf")
+    found = joined_models(of_leaf, "root", "model", "leaf")
+    return jobs.join(found, F.col("id") == F.col("root"), "left").withColumn("models", F.coalesce("models", "model")).drop("root")
+
+
 def default_provider(providers: DataFrame) -> DataFrame:
     """The enabled provider marked default, else the first enabled one."""
     return providers.where("enabled").orderBy(F.desc("is_default"), "created_at", "id").limit(1)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dataloom.schemas import TERMINAL
+
 RING = 20
 
 #: Kinds, their levels and the names of their meta; kind: (level, message with {names} of the event's meta).
@@ -81,6 +83,21 @@ def latest(rows: DataFrame, n: int = 5, job: str = "job_id", order: tuple[str, .
     return rows.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= n)
 
 
+def progress_feed(jobs: DataFrame, examples: DataFrame, log: DataFrame, newest: int = 5, n_events: int = RING) -> DataFrame:
+    """What a job's page shows: (id, event, status, examples, events): done or progress, the newest examples' ids, the last events' kinds.
+
+    jobs: (id, status); examples: (id, job_id, created_at); log: (job_id, event_id, ts, kind). Jobs without either have empty lists.
+    """
+    rows = latest(examples, newest).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("examples"))
+    said = tail(log, n_events).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "kind"))), lambda x: x["kind"]).alias("events"))
+    both = jobs.join(rows.withColumnRenamed("job_id", "id"), "id", "left").join(said.withColumnRenamed("job_id", "id"), "id", "left")
+    ids = rows.schema["examples"].dataType.simpleString()
+    return both.select(
+        "id", F.when(F.col("status").isin(*TERMINAL), "done").otherwise("progress").alias("event"), "status",
+        F.coalesce("examples", F.expr(f"cast(array() as {ids})")).alias("examples"), F.coalesce("events", F.expr("cast(array() as array<string>)")).alias("events"),
+    )
+
+
 def level_of(kind: Column) -> Column:
     levels = F.create_map(*[F.lit(x) for name, (level, _) in TEMPLATES.items() for x in (name, level)])
     return F.coalesce(levels[kind], F.lit("warn"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dataloom.functions import codec
-from dataloom.functions.text import rationales
+from dataloom.functions.text import rationales, salvage_json, topic_list, without_thinking
 from dataloom.operators import curate, dedup, merge
 from dataloom.plans import models
 from dataloom.plans.models import StubClient
@@ -60,6 +60,15 @@ def _round(due: DataFrame, fmt: str, threshold: int, factory: Callable, attempts
     return curate.judged(due.join(valid, "id", "left"), scored, threshold, judge_calls)
 
 
+def topics(categories: DataFrame, factory: Callable = StubClient) -> DataFrame:
+    """Topics (category, topics) of rows (category, description, count): what the model lists, cut or filled up to the count."""
+    prompt = models.topic_prompt(F.col("category"), F.col("description"), F.col("count"))
+    asked = categories.select(F.col("category").alias("id"), F.lit("topics").alias("purpose"), prompt.alias("prompt"), F.lit(1).alias("attempt"))
+    answers = models.chat(asked, factory).select(F.col("id").alias("category"), F.from_json(salvage_json(without_thinking(F.col("content"))), "array<string>").alias("listed"))
+    listed = F.filter(F.coalesce("listed", F.expr("cast(array() as array<string>)")), lambda t: t.isNotNull() & (F.trim(t) != ""))
+    return categories.join(answers, "category").select("category", topic_list(listed, F.col("count"), F.col("category")).alias("topics"))
+
+
 def merge_jobs(jobs: DataFrame, examples: DataFrame, source_ids: list[str], job_id: str, shuffle_seed: int | None = None) -> DataFrame:
     merge.check_sources(jobs, source_ids, examples)
     return merge.merged(examples, source_ids, job_id, shuffle_seed)

@@ -75,10 +75,43 @@ def p17_list_items(spark, sf_dir):
     return rows.select("id", "status", "format", "n_examples", F.round("cost", 2).alias("cost"), terminal.alias("is_terminal"))
 
 
-@query("SELECT c_nationkey, count(DISTINCT c_mktsegment) >= 5 AS is_full, bool_or(c_mktsegment = 'AUTOMOBILE') AS has_preset FROM customer GROUP BY 1")
+@query("SELECT c_nationkey, count(DISTINCT c_custkey) >= 64 AS is_full, count(DISTINCT c_mktsegment) >= 10 AS form_is_full, bool_or(c_mktsegment = 'AUTOMOBILE') AS has_preset FROM customer GROUP BY 1")
 def p19_category_caps(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.collect_set("c_mktsegment").alias("s"))
-    return names.select("c_nationkey", (F.size("s") >= 5).alias("is_full"), F.exists("s", lambda x: x == "AUTOMOBILE").alias("has_preset"))
+    names = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count_distinct("c_custkey").alias("n"), F.collect_set("c_mktsegment").alias("s"))
+    return names.select("c_nationkey", catalog.is_full(F.col("n")).alias("is_full"), catalog.is_full(F.size("s"), 10).alias("form_is_full"), F.exists("s", lambda x: x == "AUTOMOBILE").alias("has_preset"))
+
+
+@query(f"""WITH {JOBS_SQL} SELECT id, CASE status WHEN 'completed' THEN 'Completed' WHEN 'interrupted' THEN 'Interrupted' ELSE 'Running' END AS status,
+       CASE id % 3 WHEN 0 THEN 'Generating topics' WHEN 1 THEN 'Writing JSONL' ELSE 'other' END AS stage FROM jobs""")
+def f43_status_labels(spark, sf_dir):
+    stage = F.when(F.col("id") % 3 == 0, "generating_topics").when(F.col("id") % 3 == 1, "merging_exporting").otherwise("other")
+    return order_jobs(spark, sf_dir).select("id", catalog.label(F.col("status"), catalog.STATUS_LABELS).alias("status"), catalog.label(stage, catalog.STAGE_LABELS).alias("stage"))
+
+
+@query("""SELECT l_suppkey, arg_max(l_orderkey, l_orderkey * 10 + l_linenumber) AS last_order FROM lineitem GROUP BY 1""")
+def j12_last_match(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"))
+    return catalog.last_per(lines, "l_suppkey", "place").select("l_suppkey", F.col("l_orderkey").alias("last_order"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS id, s_suppkey // 2 AS source FROM supplier WHERE s_suppkey > 6 UNION SELECT s_suppkey, s_suppkey // 3 FROM supplier WHERE s_suppkey > 6),
+w AS (SELECT id AS root, source AS node FROM e UNION SELECT w.root, e.source FROM w JOIN e ON w.node = e.id),
+m AS (SELECT root, 'm' || (node % 3) AS model, min(node) AS place FROM w WHERE node NOT IN (SELECT id FROM e) GROUP BY 1, 2)
+SELECT s_suppkey AS id, coalesce((SELECT string_agg(model, ', ' ORDER BY place) FROM m WHERE root = s_suppkey), 'm' || (s_suppkey % 3)) AS models FROM supplier""")
+def l03_listed_models(spark, sf_dir):
+    k = F.col("s_suppkey")
+    jobs = table(spark, sf_dir, "supplier").select(k.alias("id"), F.concat(F.lit("m"), (k % 3).cast("string")).alias("model"))
+    merged = jobs.where("id > 6")
+    edges = merged.selectExpr("id", "id div 2 as source").union(merged.selectExpr("id", "id div 3 as source")).distinct()
+    return catalog.listed_models(jobs, edges).select("id", "models")
+
+
+@query(f"""WITH p AS (SELECT n_name, 'List 5 distinct topics for the category ' || n_name || ' (of region ' || n_regionkey || ') as a JSON array of strings.' AS prompt FROM nation),
+k AS (SELECT *, {_byte("'topics|' || prompt || '|1'", 0)} % 8 AS given FROM p)
+SELECT n_name AS category, string_agg(CASE WHEN i <= given THEN left(prompt, 20) || ' topic ' || i ELSE n_name || ' ' || i END, ',' ORDER BY i) AS topics FROM k, range(1, 6) r(i) GROUP BY 1""")
+def x03_topics(spark, sf_dir):
+    asked = table(spark, sf_dir, "nation").select(F.col("n_name").alias("category"), F.concat(F.lit("of region "), F.col("n_regionkey").cast("string")).alias("description"), F.lit(5).alias("count"))
+    return pipelines.topics(asked).select("category", F.array_join("topics", ",").alias("topics"))
 
 
 @query(f"WITH {JOBS_SQL} SELECT count(*) FILTER (status = 'interrupted') AS n FROM jobs")
@@ -171,12 +204,13 @@ def f40_brevity_hint(spark, sf_dir):
     return conversations(spark, sf_dir).select("conv_id", F.array_max(F.transform(hinted, lambda t, i: F.when(t["text"].endswith("300 tokens."), i.cast("long")))).alias("hinted"))
 
 
-@query("""SELECT s_nationkey, 5 AS n, string_agg(s_name, ',' ORDER BY s_suppkey) FILTER (place <= 5) AS given FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier) GROUP BY 1""")
+@query("""SELECT s_nationkey, 5 AS n, concat_ws(',', string_agg(s_name, ',' ORDER BY s_suppkey) FILTER (place <= 5),
+       CASE WHEN count(*) < 5 THEN array_to_string(list_transform(range(count(*) + 1, 6), lambda i: 'Extra ' || i), ',') END) AS given FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place FROM supplier) GROUP BY 1""")
 def f42_topic_lists(spark, sf_dir):
     names = F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: x["s_name"])
     rows = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(names.alias("t"))
     filled = text.topic_list(F.col("t"), F.lit(5), F.lit("Extra"))
-    return rows.select("s_nationkey", F.size(filled).alias("n"), F.array_join(F.filter(filled, lambda x: ~x.startswith("Extra")), ",").alias("given"))
+    return rows.select("s_nationkey", F.size(filled).alias("n"), F.array_join(filled, ",").alias("given"))
 
 
 @query(f"""WITH {EXAMPLES_SQL}, r AS (SELECT job_id, count(*) FILTER (judge_score >= 60) * 100.0::DOUBLE / count(judge_score) AS p FROM ex GROUP BY 1)
@@ -266,10 +300,17 @@ def t02_streamed_ring(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("job_id", "seq", "kind")
 
 
-@query("""SELECT user_id % 50 AS job_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1""")
+@query("""WITH j AS (SELECT i AS id, CASE i % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'running' ELSE 'failed' END AS status FROM range(60) r(i)),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 40 ORDER BY n_chars DESC, doc_id DESC) AS place FROM documents),
+n AS (SELECT doc_id % 40 AS id, string_agg(doc_id, ',' ORDER BY place) AS examples FROM x WHERE place <= 5 GROUP BY 1),
+s AS (SELECT *, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts DESC, event_id DESC) AS place FROM events),
+v AS (SELECT user_id % 50 AS id, string_agg(event_type, ',' ORDER BY place DESC) AS events FROM s WHERE place <= 20 GROUP BY 1)
+SELECT id, CASE WHEN status = 'running' THEN 'progress' ELSE 'done' END AS event, status, coalesce(examples, '') AS examples, coalesce(events, '') AS events FROM j LEFT JOIN n USING (id) LEFT JOIN v USING (id)""")
 def t01_progress_snapshot(spark, sf_dir):
-    ring = events.tail(event_log(spark, sf_dir), 1)
-    return ring.select("job_id", F.col("seq").cast("long").alias("n"), F.col("event_id").alias("last"))
+    jobs = spark.range(60).select("id", F.when(F.col("id") % 3 == 0, "completed").when(F.col("id") % 3 == 1, "running").otherwise("failed").alias("status"))
+    examples = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("job_id"), F.col("n_chars").alias("created_at"))
+    feed_rows = events.progress_feed(jobs, examples, event_log(spark, sf_dir))
+    return feed_rows.select("id", "event", "status", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",").alias("examples"), F.array_join("events", ",").alias("events"))
 
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS place FROM orders")
