@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Attempts of one category that are summed up in one task.
+SPAN = 10_000
+
+
 def judged(attempts: DataFrame, calls: DataFrame, threshold: int, max_calls: int = 3) -> DataFrame:
     """Attempts (id) with the outcome of their judge calls (id, call, score), of which the first `max_calls` count.
 
@@ -27,11 +31,16 @@ def seek_target(attempts: DataFrame, target: str = "target", budget: int = 5) ->
 
     `attempts` has (category, attempt, accepted, target); what follows the last attempt made is left out.
     """
-    order = W.partitionBy("category").orderBy("attempt")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    so_far = F.coalesce(F.sum(F.col("accepted").cast("int")).over(before), F.lit(0))
-    made = attempts.withColumn("__so_far", so_far).withColumn("__n", F.row_number().over(order))
-    return made.where((F.col("__so_far") < F.col(target)) & (F.col("__n") <= budget * F.col(target))).drop("__so_far", "__n")
+    # running sums in two levels, over spans of attempts and within one, so that a category of any length fills no task
+    span = F.floor(F.col("attempt") / SPAN).cast("long")
+    spans = attempts.groupBy(F.col("category").alias("__of"), span.alias("__at")).agg(F.count_if("accepted").alias("__a"), F.count("*").alias("__c"))
+    earlier = W.partitionBy("__of").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    starts = spans.select("__of", "__at", F.coalesce(F.sum("__a").over(earlier), F.lit(0)).alias("__a"), F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__c"))
+    rows = attempts.withColumn("__span", span).join(starts, F.col("category").eqNullSafe(F.col("__of")) & (F.col("__span") == F.col("__at")))
+    order = W.partitionBy("category", "__span").orderBy("attempt")
+    so_far = F.coalesce(F.sum(F.col("accepted").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    made = rows.withColumn("__so_far", F.col("__a") + so_far).withColumn("__n", F.col("__c") + F.row_number().over(order))
+    return made.where((F.col("__so_far") < F.col(target)) & (F.col("__n") <= budget * F.col(target))).select(*attempts.columns)
 
 
 def counters(attempts: DataFrame) -> DataFrame:

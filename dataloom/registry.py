@@ -240,7 +240,9 @@ def _attempts(spark, sf_dir):
 SELECT category, count(score) AS evaluated, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted AND score IS NOT NULL) AS rejected,
        count(*) FILTER (NOT accepted) AS skipped FROM attempts GROUP BY 1""")
 def a18_judge_counters(spark, sf_dir):
-    return curate.counters(_attempts(spark, sf_dir))
+    score = F.col("judge_score")
+    outcomes = scored_documents(spark, sf_dir).select(report.category_or_unknown(F.col("category")).alias("category"), score.alias("score"), F.coalesce(score >= 80, F.lit(False)).alias("accepted"))
+    return curate.counters(outcomes)
 
 
 @query(f"""WITH {EXAMPLES_SQL}

@@ -229,7 +229,9 @@ def test_judging_takes_first_hit_and_null_on_three_failures(spark):
     assert got == {"x": (True, 90), "y": (False, None), "z": (False, 10)}
 
 
-def test_seek_target_stops_at_target_and_budget(spark):
+@pytest.mark.parametrize("span", [10_000, 3])
+def test_seek_target_stops_at_target_and_budget(spark, monkeypatch, span):
+    monkeypatch.setattr(curate, "SPAN", span)
     log = spark.createDataFrame([("a", i, i % 2 == 0, 2) for i in range(1, 30)] + [("b", i, False, 2) for i in range(1, 30)], "category string, attempt int, accepted boolean, target int")
     made = curate.seek_target(log).groupBy("category").count().collect()
     assert {r["category"]: r["count"] for r in made} == {"a": 4, "b": 10}
