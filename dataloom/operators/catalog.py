@@ -147,16 +147,16 @@ def set_sizes(jobs: DataFrame) -> DataFrame:
 def lineage_leaves(edges: DataFrame) -> DataFrame:
     """Rows (root, leaf) of the closure of edges (id, source); sources that have sources are no leaves.
 
-    A breadth-first fixpoint of joins; pairs seen before are not followed again, so cycles end. A source that is not
-    among `ids` of the edges is a leaf.
+    Every node holds the ends it has reached; each round replaces the ends that have sources by what those have
+    reached, so that the distance doubles and the whole closure is never held. After as many rounds as the number of nodes has
+    binary digits only cycles are left, which lead nowhere. A source that is not among the ids of the edges is a leaf.
     """
-    reached = edges.select(F.col("id").alias("root"), F.col("source").alias("at")).distinct()
-    frontier = reached
-    while True:
-        step = frontier.join(edges, frontier["at"] == edges["id"]).select("root", F.col("source").alias("at")).distinct()
-        frontier = checkpointed(step.join(reached, ["root", "at"], "left_anti"))
-        if frontier.isEmpty():
+    inner = checkpointed(edges.select(F.col("id").alias("at")).distinct())
+    ends = checkpointed(edges.select(F.col("id").alias("root"), F.col("source").alias("at")).distinct())
+    for _ in range(inner.count().bit_length() + 1):
+        open_ = ends.join(inner, "at", "left_semi")
+        if open_.isEmpty():
             break
-        reached = checkpointed(reached.unionAll(frontier))
-    inner = edges.select(F.col("id").alias("at")).distinct()
-    return reached.join(inner, "at", "left_anti").select("root", F.col("at").alias("leaf"))
+        further = open_.join(ends.select(F.col("root").alias("at"), F.col("at").alias("next")), "at").select("root", F.col("next").alias("at"))
+        ends = checkpointed(ends.join(inner, "at", "left_anti").select("root", "at").union(further).distinct())
+    return ends.join(inner, "at", "left_anti").select("root", F.col("at").alias("leaf"))
