@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataloom.llm import decontamination, html_text, language_id, mixing, passages, quality, simhash, sketches, token_counts, warc
+from dataloom.llm import decontamination, filter_audit, html_text, language_id, mixing, passages, quality, simhash, sketches, token_counts, warc
 from dataloom.llm.common import shared_folder, table
 
 
@@ -107,13 +107,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_quality_classifier, op3_substring_dedup, op4_decontamination, op5_warc, op6_language_id,
-        op7_simhash_near_dedup, op8_html_extraction, op9_mixing, op10_document_fingerprints,
+        op7_simhash_near_dedup, op8_html_extraction, op9_mixing, op10_document_fingerprints, op12_filter_audit,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
