@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataloom.llm import decontamination, filter_audit, html_text, language_id, mixing, passages, quality, simhash, sketches, token_counts, warc
+from dataloom.llm import decontamination, filter_audit, html_text, language_id, license_scan, mixing, passages, prefix_trie, quality, simhash, sketches, token_counts, warc
 from dataloom.llm.common import shared_folder, table
 
 
@@ -107,17 +107,37 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), [*license_scan.PHRASES, *license_scan.NOTICES])
+    matches, places = F.col("matches"), license_scan.places_of(F.col("matches"))
+    return found.select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"),
+        license_scan.labels_of(license_scan.phrase_matches(matches)).alias("base_labels"), license_scan.labels_of(matches).alias("labels"),
+        license_scan.best_containment(matches).alias("score"),
+    )
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    turns = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    rebuilt = prefix_trie.with_borrowed_beginnings(turns, conv - conv % 5, F.crc32(conv.cast("string")) % 9, 8)
+    return prefix_trie.prefix_trie(rebuilt).withColumnRenamed("saved_bytes", "saved_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_token_counts, op2_quality_classifier, op3_substring_dedup, op4_decontamination, op5_warc, op6_language_id,
-        op7_simhash_near_dedup, op8_html_extraction, op9_mixing, op10_document_fingerprints, op12_filter_audit,
+        op7_simhash_near_dedup, op8_html_extraction, op9_mixing, op10_document_fingerprints, op11_license_scan, op12_filter_audit, op13_conversation_trie,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
+    return {
+        "op4_decontamination": OP4_SQL, "op5_warc": OP5_SQL, "op9_mixing": mixing.ORACLE_SQL, "op11_license_scan": license_scan.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL,
+        "op13_conversation_trie": prefix_trie.ORACLE_SQL,
+    }
