@@ -1,24 +1,47 @@
 """Embedding near-duplicates: all pairs above a cosine threshold, and their resolution.
 
-The pairs are exact. Rows are dealt to blocks by hash; each unordered pair of blocks is one group of bounded size
-(`block_rows` vectors from each side), compared with one matrix product in a task, and only pairs at or above the
-threshold leave it. Work grows with the square of the rows, as an exact all-pairs join must, but no task, broadcast or
-driver holds more than two blocks.
+The pairs are exact, and found by metric pruning. Angles between vectors obey the triangle inequality, so with `t` the
+angle of the threshold:
+
+* centres are vectors of a hashed sample that lie far apart; every vector is at home in the cell of its nearest one, and each cell has
+  a radius, the largest angle of its vectors to its centre;
+* a vector at home in cell i is a guest of a lesser cell j only where its angle to centre j is at most the radius of j plus t, and
+  at most its angle to its own centre plus 2 t: further away nothing of cell j can be within t of it;
+* a cell of more than one block is cut into rings by the angle to the centre, each at least t wide: only neighbouring rings
+  can hold pairs. A ring of more than one block is dealt to blocks by hash.
+
+Each unordered pair of blocks that can hold pairs is one group of bounded size, compared with one matrix product in a task; a cell of
+at most a block goes to its group once. Only pairs at or above the threshold leave a task. On clustered vectors the compared
+pairs grow with the clusters' sizes; where nothing can be pruned they are those of an all-pairs join in blocks. What
+the driver gets and sends is bounded: at most `MAX_CENTRES` centres and radii, and the sizes of their rings.
+
+Null vectors, and vectors with NaN, match nothing. All vectors have one dimension. Vectors shorter than `FLOOR` count as that
+long. Rows of one id are no pair.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataloom.functions.text import preview
+from dataloom.session import checkpointed
 
 FLOOR = 1e-10
+#: Centres, at most; centres for each block of all rows; vectors of the sample for each centre; rings of a cell, at most.
+MAX_CENTRES, CENTRES_PER_BLOCK, SAMPLE_PER_CENTRE, MAX_RINGS = 1024, 4, 8, 32
+#: Angle by which bounds are widened, so that rounding prunes nothing.
+SLACK = 1e-5
+#: Rows whose angles to all centres are in memory at once.
+TILE = 2048
 
 
 def norm(vector: Column) -> Column:
@@ -36,45 +59,221 @@ def block_rows(dim: int, budget_bytes: int = 64 << 20) -> int:
     return max(128, min(4000, int(math.sqrt(budget_bytes / 8)), budget_bytes // (16 * max(dim, 1))))
 
 
-def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: int | None = None) -> DataFrame:
-    """Rows (id_a < id_b, similarity) of all pairs at or above the threshold; null vectors match nothing."""
+def _unit(vectors: pa.Array) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
+    v = flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), FLOOR)
+
+
+def _far_apart(v: np.ndarray, k: int) -> np.ndarray:
+    """k of the vectors as units, each the farthest from those before it: every cluster has one before any has two."""
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), FLOOR)
+    chosen, nearest = [0], unit @ unit[0]
+    while len(chosen) < min(k, len(unit)):
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ centres.T, -1.0, 1.0))
+
+
+@dataclass(frozen=True)
+class PairPlan:
+    """Which blocks meet: cells with their radii, and the sizes of their rings (by cell, ring, and home or guest)."""
+
+    threshold: float
+    centres: np.ndarray
+    radii: np.ndarray
+    size: int
+    sizes: np.ndarray | None = None
+
+    @property
+    def angle(self) -> float:
+        return math.acos(min(1.0, max(-1.0, self.threshold)))
+
+    @property
+    def ring_width(self) -> float:
+        return max(self.angle + SLACK, math.pi / MAX_RINGS)
+
+    def places(self, unit: np.ndarray, home: np.ndarray, to_home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, ring, guest) of every cell that a row is in."""
+        angles = _angles(unit, self.centres)
+        reach = np.minimum(self.radii + self.angle, to_home[:, None] + 2 * self.angle) + SLACK
+        guest = (angles <= reach) & (np.arange(len(self.centres)) < home[:, None])
+        row, cell = np.nonzero(guest)
+        every = np.arange(len(unit))
+        rows, cells = np.concatenate([every, row]), np.concatenate([home, cell])
+        ring = (np.concatenate([to_home, angles[row, cell]]) / self.ring_width).astype(np.int64)
+        return rows, cells, ring, np.repeat([0, 1], [len(every), len(row)])
+
+    @property
+    def whole(self) -> np.ndarray:
+        """Cells that are one group."""
+        return self.sizes.sum(axis=(1, 2)) <= self.size
+
+    def splits(self) -> np.ndarray:
+        """Blocks of each ring; none where neither it nor a neighbour, from which rounding may move a row, has rows."""
+        blocks = np.maximum(1, -(-self.sizes // self.size))
+        near = self.sizes.copy()
+        near[:, 1:] += self.sizes[:, :-1]
+        near[:, :-1] += self.sizes[:, 1:]
+        return np.where(near > 0, blocks, 0)
+
+    def compared(self) -> int:
+        """Pairs of rows that are compared."""
+        home, guest = self.sizes[:, :, 0].astype(object), self.sizes[:, :, 1].astype(object)
+        total = 0
+        for c, whole in enumerate(self.whole):
+            h, g = home[c], guest[c]
+            if whole:
+                total += h.sum() * (h.sum() - 1) // 2 + h.sum() * g.sum()
+                continue
+            total += sum(x * (x - 1) // 2 + x * y for x, y in zip(h, g))
+            total += sum(h[i] * h[i + 1] + h[i] * g[i + 1] + h[i + 1] * g[i] for i in range(len(h) - 1))
+        return int(total)
+
+
+_PLACED = "cell int, angle double, id {}, v array<double>"
+
+
+def _at_home(present: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Rows (cell, angle, id, v): every vector with its nearest centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, TILE):
+                part = batch.slice(start, TILE)
+                angles = _angles(_unit(part.column(1)), centres)
+                home = angles.argmin(axis=1)
+                nearest = angles[np.arange(len(home)), home]
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(nearest), part.column(0), part.column(1)], ["cell", "angle", "id", "v"])
+
+    return present.mapInArrow(run, _PLACED.format(present.schema["id"].dataType.simpleString()))
+
+
+def _tiles(plan: PairPlan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, TILE):
+            part = batch.slice(start, TILE)
+            yield part, plan.places(_unit(part.column(3)), part.column(0).to_numpy().astype(np.int64), part.column(1).to_numpy())
+
+
+def _ring_sizes(placed: DataFrame, plan: PairPlan) -> np.ndarray:
+    """Rows by cell, ring, and home or guest; at most MAX_CENTRES * (MAX_RINGS + 1) * 2 numbers."""
+    shape = (len(plan.centres), MAX_RINGS + 1, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
+        for _, (_, cell, ring, guest) in _tiles(plan, batches):
+            np.add.at(total, (cell, ring, guest), 1)
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+
+    counted = placed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sizes = np.zeros(math.prod(shape), np.int64)
+    sizes[counted["at"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    return sizes.reshape(shape)
+
+
+def pair_plan(rows: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: int | None = None) -> tuple[PairPlan, DataFrame]:
+    """The plan of a join, and the vectors in their home cells."""
     present = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    first = present.select(F.size("v").alias("d")).first()
-    size = block or block_rows(first["d"] if first else 1)
-    blocks = max(1, math.ceil(present.count() / size))
-    placed = present.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: F.struct(F.least(x, F.col("own")).alias("i"), F.greatest(x, F.col("own")).alias("j")))
-    dealt = placed.withColumn("p", F.explode(meets)).select("p.i", "p.j", "own", "id", "v").repartition("i", "j").sortWithinPartitions("i", "j")
-    id_type = present.schema["id"].dataType.simpleString()
+    present = checkpointed(present.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    # a vector under the floor has no angle; it can reach the threshold only where that is nearly nothing
+    short = F.max(((length < FLOOR) & (length >= threshold * FLOOR)).cast("int"))
+    n, dim, unmetric = present.agg(F.count("*"), F.max(F.size("v")), short).first()
+    size = block or block_rows(dim or 1)
+    k = 1 if unmetric or threshold <= 0 else max(1, min(MAX_CENTRES, math.ceil(CENTRES_PER_BLOCK * n / size)))
+    sample = present.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CENTRE * k).select("v").toPandas()["v"] if k > 1 else []
+    # one centre of zero: every angle is a right one, and all meet in one cell and ring
+    centres = _far_apart(np.stack([np.asarray(v, float) for v in sample]), k) if k > 1 else np.zeros((1, dim or 1))
+    placed = checkpointed(_at_home(present, centres))
+    found = placed.groupBy("cell").agg(F.max("angle").alias("radius")).toPandas()
+    radii = np.full(len(centres), -np.inf)
+    radii[found["cell"].to_numpy(np.int64)] = found["radius"].to_numpy(float)
+    plan = PairPlan(threshold, centres, radii, size)
+    return PairPlan(threshold, centres, radii, size, _ring_sizes(placed, plan)), placed
+
+
+def _spread_of(text: str | None) -> int:
+    """A number that is the same in every process."""
+    return zlib.crc32(text.encode()) if text is not None else 0
+
+
+def _deal(placed: DataFrame, plan: PairPlan) -> DataFrame:
+    """Rows (cell, x, y, side, id, v): every row for each pair of blocks (x, y) of a cell that it is in; side has bit 1 for x, 2 for y."""
+    id_type = placed.schema["id"].dataType.simpleString()
+    shared = placed.sparkSession.sparkContext.broadcast(plan)  # bounded, see the module
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        whole, splits = plan.whole, plan.splits()
+        for part, (row, cell, ring, guest) in _tiles(plan, batches):
+            ids = part.column(2)
+            spread = np.fromiter(map(_spread_of, pc.cast(ids, pa.string()).to_pylist()), np.int64, len(ids))
+            alone = whole[cell]
+            out = [(row[alone], cell[alone], np.zeros(alone.sum(), np.int64), np.zeros(alone.sum(), np.int64), np.where(guest[alone] == 1, 2, 3))]
+            row, cell, ring, guest = (x[~alone] for x in (row, cell, ring, guest))
+            own_split = spread[row] % np.maximum(splits[cell, ring, guest], 1)
+            own = (ring * 2 + guest) << 32 | own_split
+            for step in (-1, 0, 1):
+                for other in (0, 1):
+                    meets = (ring + step >= 0) & (ring + step <= MAX_RINGS) & ((guest == 0) | (other == 0))
+                    at = np.flatnonzero(meets)
+                    n = splits[cell[at], ring[at] + step, other]
+                    at, k = np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    theirs = ((ring[at] + step) * 2 + other) << 32 | k
+                    mine = own[at]
+                    out.append((row[at], cell[at], np.minimum(mine, theirs), np.maximum(mine, theirs), np.where(mine == theirs, 3, np.where(mine < theirs, 1, 2))))
+            row, cell, x, y, side = (np.concatenate(c) for c in zip(*out))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell.astype(np.int32)), pa.array(x), pa.array(y), pa.array(side.astype(np.int32)), ids.take(at), part.column(3).take(at)], ["cell", "x", "y", "side", "id", "v"]
+            )
+
+    return placed.mapInArrow(run, f"cell int, x long, y long, side int, id {id_type}, v array<double>")
+
+
+def _compared(threshold: float, side: np.ndarray, ids: pa.Array, unit: np.ndarray) -> pa.RecordBatch:
+    """The pairs of one group at or above the threshold."""
+    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+    x, y = np.nonzero((scores := unit[left] @ unit[right].T) >= threshold)
+    score = scores[x, y]
+    x, y = left[x], right[y]
+    once = (side[x] != 3) | (side[y] != 3) | (x < y)  # rows of both sides meet twice
+    a, b, score = ids.take(pa.array(x[once])), ids.take(pa.array(y[once])), pa.array(score[once])
+    swap = pc.greater(a, b)
+    pairs = pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), score], ["id_a", "id_b", "similarity"])
+    return pairs.filter(pc.not_equal(a, b))
+
+
+def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: int | None = None) -> DataFrame:
+    """Rows (id_a < id_b, similarity) of all pairs at or above the threshold; see the module."""
+    plan, placed = pair_plan(rows, threshold, id_col, vector, block)
+    group = ["cell", "x", "y"]
+    dealt = _deal(placed, plan).repartition(*group).sortWithinPartitions(*group)
+    id_type = placed.schema["id"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, arrow_type = None, [], pa.int64()
-
-        def pairs():
-            ids = [x for part in held for x in part.column(3).to_pylist()]
-            own = np.concatenate([part.column(2).to_numpy() for part in held])
-            v = np.stack([np.asarray(x, float) for part in held for x in part.column(4).to_pylist()])
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), FLOOR)
-            left, right = np.flatnonzero(own == group[0]), np.flatnonzero(own == group[1])
-            x, y = np.nonzero((scores := v[left] @ v[right].T) >= threshold - 1e-12)
-            found = [(ids[left[p]], ids[right[q]], float(scores[p, q])) for p, q in zip(x, y)]
-            # within a block each pair appears from both sides
-            found = [(min(a, b), max(a, b), s) for a, b, s in found if (a < b if group[0] == group[1] else a != b) and s >= threshold]
-            columns = list(zip(*found)) if found else ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], arrow_type), pa.array(columns[1], arrow_type), pa.array(columns[2], pa.float64())], ["id_a", "id_b", "similarity"])
+        name, held = None, []
+
+        def pairs() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return _compared(threshold, whole.column(3).to_numpy(), whole.column(4), _unit(whole.column(5)))
 
         for batch in batches:
-            arrow_type = batch.column(3).type
-            i, j = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0)) + 1), batch.num_rows]
+            names = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
                     continue
-                name = (int(i[a]), int(j[a]))
-                if name != group and held:
+                if name is not None and tuple(names[a]) != name:
                     yield pairs()
                     held.clear()
-                group = name
+                name = tuple(names[a])
                 held.append(batch.slice(a, b - a))
         if held:
             yield pairs()
