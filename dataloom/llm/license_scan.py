@@ -67,7 +67,7 @@ PHRASES = (
 
 #: Sentences of public license notices, with the names by which the licenses are known.
 NOTICES = (
-    Template("agpl", "licensed under the GNU Affero General Public License, version 3", 0.9),
+    Template("agpl", "licensed under the GNU Affero General Public License, version 3", 1.0),
     Template("apache-2.0", "licensed under the Apache License, Version 2.0", 0.9),
     Template("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
