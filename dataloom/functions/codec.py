@@ -143,6 +143,11 @@ def encode_turns(turns: Column, fmt: Column) -> Column:
     return out
 
 
+def is_object(content: Column) -> Column:
+    """Whether the content is a JSON object."""
+    return F.coalesce(_is_object(F.try_parse_json(content)), F.lit(False))
+
+
 def pruned(content: Column, fmt: Column) -> Column:
     """The content with the keys of its format only, in canonical order, as minified JSON; unknown formats stay."""
     value = F.try_parse_json(content)

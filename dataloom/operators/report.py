@@ -30,8 +30,16 @@ def score_summary(examples: DataFrame, score: str = "judge_score") -> DataFrame:
 
     The median is taken from the counts of each score (a bounded number of integers), not from sorted rows.
     """
+    return summary_of(score_counts(examples, score))
+
+
+def score_counts(examples: DataFrame, score: str = "judge_score") -> DataFrame:
+    """Rows (s, c): how often each whole score is there."""
     s = F.col(score)
-    counts = examples.where(s.isNotNull()).groupBy(s.cast("int").alias("s")).agg(F.count("*").alias("c"))
+    return examples.where(s.isNotNull()).groupBy(s.cast("int").alias("s")).agg(F.count("*").alias("c"))
+
+
+def summary_of(counts: DataFrame) -> DataFrame:
     return counts.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.min("s").alias("min_score"), F.max("s").alias("max_score"),
         F.round(F.sum(F.col("s") * F.col("c")) / F.sum("c"), 1).alias("mean_score"),
@@ -42,7 +50,10 @@ def score_summary(examples: DataFrame, score: str = "judge_score") -> DataFrame:
 def score_histogram(examples: DataFrame, score: str = "judge_score") -> DataFrame:
     """Non-empty buckets of width 1, 5 or 10 (range up to 10, up to 25, beyond), aligned to the width; the last label
     ends at the greatest score."""
-    counts = examples.where(F.col(score).isNotNull()).groupBy(F.col(score).cast("int").alias("s")).agg(F.count("*").alias("c"))
+    return histogram_of(score_counts(examples, score))
+
+
+def histogram_of(counts: DataFrame) -> DataFrame:
     every = W.partitionBy()  # of at most as many rows as there are whole scores
     bounded = counts.withColumn("lo", F.min("s").over(every)).withColumn("hi", F.max("s").over(every))
     span = F.col("hi") - F.col("lo")
@@ -74,15 +85,20 @@ def bars(buckets: DataFrame, n: str = "n") -> DataFrame:
 
 def snapshot(examples: DataFrame, counters: DataFrame, judged: bool = True) -> DataFrame:
     """One JSON row of the whole report; the score parts are null unless judged and scored."""
+    parts = {"tokens": token_stats(examples), "efficiency": efficiency(counters)}
+    if judged:
+        parts |= {"scores": score_summary(examples), "histogram": score_histogram(examples)}
+    return snapshot_of(parts)
+
+
+def snapshot_of(reports: dict[str, DataFrame]) -> DataFrame:
+    """One JSON row of the reports (tokens, efficiency, scores, histogram) that there are."""
 
     def part(name: str, rows: DataFrame) -> DataFrame:
         listed = F.sort_array(F.collect_list(F.struct(*rows.columns)))
         return rows.agg(listed.alias("rows")).select(F.lit(name).alias("part"), F.to_json("rows").alias("json"))
 
-    parts = [part("tokens", token_stats(examples)), part("efficiency", efficiency(counters))]
-    if judged:
-        parts += [part("scores", score_summary(examples).where("n > 0")), part("histogram", score_histogram(examples))]
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, [part(name, rows.where("n > 0") if name == "scores" else rows) for name, rows in reports.items()])
     entries = F.transform(F.sort_array(F.collect_list(F.struct("part", "json"))), lambda p: F.concat(F.lit('"'), p["part"], F.lit('":'), p["json"]))
     return rows.agg(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("stats_json"))
 

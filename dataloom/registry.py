@@ -35,12 +35,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def queries() -> dict[str, Query]:
     import dataloom.registry_more  # noqa: F401  registers itself
+    import dataloom.registry_stored  # noqa: F401  registers itself
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     import dataloom.registry_more  # noqa: F401  registers itself
+    import dataloom.registry_stored  # noqa: F401  registers itself
 
     return dict(_SQL)
 

@@ -24,9 +24,10 @@ def oldest_first(examples: DataFrame) -> DataFrame:
     return examples.orderBy("created_at", "seq")
 
 
-def jsonl_lines(examples: DataFrame, reasoning_format: str | None = None) -> DataFrame:
+def jsonl_lines(examples: DataFrame, reasoning_format: str | None = None, keep: bool = False) -> DataFrame:
     """One minified JSON line per example in its format, with reasoning inline in the turns, as a list beside them
-    ('separate'), or left out."""
+    ('separate'), or left out. Rows (seq, line), or with `keep` all columns and the line."""
+    columns = examples.columns if keep else ["seq"]
     fmt, content = F.col("format"), F.col("content_json")
     line = codec.pruned(content, fmt)
     if reasoning_format:
@@ -35,10 +36,10 @@ def jsonl_lines(examples: DataFrame, reasoning_format: str | None = None) -> Dat
             line = F.when(F.size(thoughts) > 0, codec.encode_turns(codec.inline_reasoning(turns, thoughts), fmt)).otherwise(line)
         elif reasoning_format == "separate":
             with_list = F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit(',"reasoning":'), F.to_json(thoughts), F.lit("}"))
-            return examples.withColumn("line", line).withColumn("line", F.when(F.size(thoughts) > 0, with_list).otherwise(F.col("line"))).select("seq", "line")
+            return examples.withColumn("line", line).withColumn("line", F.when(F.size(thoughts) > 0, with_list).otherwise(F.col("line"))).select(*columns, "line")
         else:
             raise ValueError(f"reasoning format {reasoning_format!r}")
-    return examples.select("seq", line.alias("line"))
+    return examples.select(*columns, line.alias("line"))
 
 
 def export_jsonl(examples: DataFrame, folder: str, reasoning_format: str | None = None, files: int | None = None) -> int:
