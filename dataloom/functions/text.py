@@ -126,8 +126,13 @@ def topic_list(topics: Column, count: Column, fallback: Column) -> Column:
     return F.when(missing > 0, F.concat(kept, more)).otherwise(kept)
 
 
+def brevity_hint(limit: int) -> str:
+    """What is added to a prompt whose answer was no use, or too long."""
+    return f"\n\nKeep the answer within {limit} tokens."
+
+
 def with_brevity_hint(messages: Column, limit: int) -> Column:
     """The last user message asks for at most so many tokens; messages are structs of role and text."""
-    hint = f"\n\nKeep the answer within {limit} tokens."
+    hint = brevity_hint(limit)
     last = F.array_max(F.transform(messages, lambda m, i: F.when(m["role"] == "user", i).otherwise(-1)))
     return F.transform(messages, lambda m, i: F.when(i == last, F.struct(m["role"].alias("role"), F.concat(m["text"], F.lit(hint)).alias("text"))).otherwise(m))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dataloom.operators.merge import numbered_within
 from dataloom.schemas import TERMINAL
 
 RING = 20
@@ -58,7 +59,7 @@ TEMPLATES = {
 
 def sequenced(log: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Events with `seq` from 1 within their job."""
-    return log.withColumn("seq", F.row_number().over(W.partitionBy(job).orderBy(*order)))
+    return numbered_within(log, job, list(order), "seq").withColumn("seq", F.col("seq").cast("int"))
 
 
 def tail(log: DataFrame, n: int = RING, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:

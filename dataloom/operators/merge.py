@@ -70,6 +70,18 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return out.withColumn(name, F.col("__start") + within + 1).drop("__part", "__local", "__start")
 
 
+def numbered_within(rows: DataFrame, by: str, order: list[str], name: str) -> DataFrame:
+    """Rows with their place (from 1) among those of equal `by`; a group of any length is spread over range partitions."""
+    # written once, as in `numbered`
+    ranged = checkpointed(rows.repartitionByRange(by, *order).sortWithinPartitions(by, *order).withColumn("__local", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("__part", F.shiftright("__local", 33))
+    sizes = ranged.groupBy("__part", F.col(by).alias("__by")).agg(F.min("__local").alias("__first"), F.count("*").alias("__n"))
+    earlier = W.partitionBy("__by").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(F.col("__part").alias("__of"), "__by", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+    out = ranged.join(starts, (F.col("__part") == F.col("__of")) & F.col(by).eqNullSafe(F.col("__by")))
+    return out.withColumn(name, F.col("__start") + F.col("__local") - F.col("__first") + 1).drop("__part", "__local", "__of", "__by", "__first", "__start")
+
+
 def merged_categories(configs: DataFrame) -> DataFrame:
     """One config per category name, that of the first position; equal proportions to four places, the last one
     taking the rest. `configs` has (position, name, ...)."""

@@ -43,6 +43,8 @@ class StubClient:
                 content = json.dumps({"score": 50 + digest[0] % 51})
             elif r["purpose"] == "topics":
                 content = json.dumps([f"{r['prompt'][:20]} topic {i}" for i in range(1, 1 + digest[0] % 8)])
+            elif r["purpose"] == "outline":
+                content = json.dumps([f"point {digest[i]}" for i in range(digest[0] % 6)])
             elif r["purpose"] == "reasoning":
                 content = "=== TURN 1 ===\n" + " ".join(f"step{digest[i]}" for i in range(24))
             else:
@@ -82,37 +84,64 @@ def _answer(client: ModelClient, request: dict, retries: int, wait_s: float) ->
 
 
 def chat(
-    requests: DataFrame, factory: Callable[[], ModelClient] = StubClient, parallel: int | None = None, batch: int = 50, retries: int = 3, wait_s: float = 1.0
+    requests: DataFrame, factory: Callable[[], ModelClient] = StubClient, parallel: int | None = None, batch: int = 50, retries: int = 3, wait_s: float = 1.0,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Answers (id, attempt, content, prompt_tokens, completion_tokens, error) of requests (id, purpose, prompt, attempt).
+    """Answers (id, attempt, content, prompt_tokens, completion_tokens, error, starved) of requests (id, purpose, prompt, attempt, and max_tokens
+    where there is a limit).
+
+    An answer is starved if it ran into its limit (`finish` is 'length') having thought (`thought`) and said nothing, and its client does not tell
+    how many tokens the thinking took; what a client does not say of these is no starvation. The columns `keep` of the requests stay beside their
+    answers.
 
     At most `parallel` calls are open at once, one per partition. Completion tokens are net of reasoning. Where a batch
     fails its requests are made one by one, again after a passing failure; a call that fails for good becomes a row with
     an error, no content and no usage, and takes no other with it. A null prompt is not sent and is an error.
     """
-    rows = requests.select(F.col("id").cast("string").alias("id"), "purpose", "prompt", F.col("attempt").cast("int").alias("attempt"))
+    limit = F.col("max_tokens").cast("int") if "max_tokens" in requests.columns else F.lit(None).cast("int")
+    rows = requests.select(F.col("id").cast("string").alias("id"), "purpose", "prompt", F.col("attempt").cast("int").alias("attempt"), limit.alias("max_tokens"), *keep)
+    kept = "".join(f", `{c}` {requests.schema[c].dataType.simpleString()}" for c in keep)
     if parallel:
         rows = rows.repartition(parallel)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = factory()
-        names = ["id", "attempt", "content", "prompt_tokens", "completion_tokens", "reasoning_tokens", "error"]
-        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        nothing = {"content": None, "prompt_tokens": 0, "completion_tokens": 0, "reasoning_tokens": 0, "error": "no prompt"}
         for part in batches:
             for at in range(0, part.num_rows, batch):
-                asked = part.slice(at, batch).to_pylist()
-                sent = [r for r in asked if r["prompt"] is not None]
-                try:
-                    answers = client.chat(sent) if sent else []
-                except Exception:
-                    answers = [_answer(client, r, retries, wait_s) for r in sent]
-                answers = iter(answers)
-                rows = [{**(nothing if r["prompt"] is None else next(answers)), "id": r["id"], "attempt": r["attempt"]} for r in asked]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
+                few = part.slice(at, batch)
+                answers = _answered(client, few.select(_ASKED).to_pylist(), retries, wait_s)
+                yield pa.RecordBatch.from_arrays([*answers.columns, *[few.column(c) for c in keep]], [*_NAMES, *keep])
+
+    return _told(rows.mapInArrow(run, _ANSWERS + kept))
+
+
+_ASKED = ["id", "purpose", "prompt", "attempt", "max_tokens"]
+
+
+_ANSWERS = "id string, attempt int, content string, prompt_tokens long, completion_tokens long, reasoning_tokens long, error string, finish string, thought boolean"
+_NAMES = [c.split()[0] for c in _ANSWERS.split(", ")]
+_TYPES = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+_NOTHING = {"content": None, "prompt_tokens": 0, "completion_tokens": 0, "reasoning_tokens": 0, "error": "no prompt"}
+
+
+def _answered(client: ModelClient, asked: list[dict], retries: int, wait_s: float) -> pa.RecordBatch:
+    """The answers of one batch of requests, in their order."""
+    sent = [r for r in asked if r["prompt"] is not None]
+    try:
+        answers = client.chat(sent) if sent else []
+    except Exception:
+        answers = [_answer(client, r, retries, wait_s) for r in sent]
+    answers = iter(answers)
+    rows = [{**(_NOTHING if r["prompt"] is None else next(answers)), "id": r["id"], "attempt": r["attempt"]} for r in asked]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(_NAMES, _TYPES)], _NAMES)
+
 
-    answers = rows.mapInArrow(run, "id string, attempt int, content string, prompt_tokens long, completion_tokens long, reasoning_tokens long, error string")
-    return answers.withColumn("completion_tokens", net_completion_tokens(F.col("completion_tokens"), F.col("reasoning_tokens"))).drop("reasoning_tokens")
+def _told(answers: DataFrame) -> DataFrame:
+    """Answers with net usage, and whether they starved."""
+    silent = F.trim(F.coalesce(without_thinking(F.col("content")), F.lit(""))) == ""
+    starved = silent & (F.col("finish") == "length") & F.col("thought") & (F.coalesce("reasoning_tokens", F.lit(0)) == 0)
+    net = net_completion_tokens(F.col("completion_tokens"), F.col("reasoning_tokens"))
+    return answers.withColumn("starved", F.coalesce(starved, F.lit(False))).withColumn("completion_tokens", net).drop("reasoning_tokens", "finish", "thought")
 
 
 def embed(rows: DataFrame, text: str = "text", factory: Callable[[], ModelClient] = StubClient, batch: int = 100) -> DataFrame:
@@ -131,14 +160,23 @@ def embed(rows: DataFrame, text: str = "text", factory: Callable[[], ModelClient
     return rows.mapInArrow(run, schema)
 
 
-def parsed_examples(answers: DataFrame, fmt: str, expected_turns: int | None = None) -> DataFrame:
+class Readers:
+    """What is read from answers, as columns over them; built once for a run of many calls, as they are large."""
+
+    def __init__(self, fmt: str, expected_turns: int | None = None):
+        self.json = salvage_json(without_thinking(F.col("content")))
+        turns = None if expected_turns is None else F.lit(expected_turns)
+        verdict = F.coalesce(codec.validation_reason(F.col("content_json"), F.lit(fmt), turns), F.lit("not_dict"))
+        self.reason = F.when(F.col("error").isNotNull(), "call_failed").otherwise(verdict)
+        self.score = json_score(self.json)
+        self.points = outline_points(self.json)
+
+
+def parsed_examples(answers: DataFrame, fmt: str, expected_turns: int | None = None, read: Readers | None = None) -> DataFrame:
     """Answers with the JSON salvaged from them and its verdict."""
+    read = read or Readers(fmt, expected_turns)
     # salvaged once, in a projection of its own: the verdict reads it many times
-    answers = checkpointed(answers.withColumn("content_json", salvage_json(without_thinking(F.col("content")))))
-    turns = None if expected_turns is None else F.lit(expected_turns)
-    return answers.withColumn(
-        "reason", F.when(F.col("error").isNotNull(), "call_failed").otherwise(F.coalesce(codec.validation_reason(F.col("content_json"), F.lit(fmt), turns), F.lit("not_dict")))
-    )
+    return checkpointed(answers.withColumn("content_json", read.json)).withColumn("reason", read.reason)
 
 
 def json_score(answer: Column) -> Column:
@@ -149,18 +187,33 @@ def json_score(answer: Column) -> Column:
     return valid_score(number.when(kind == "BOOLEAN", F.try_variant_get(json, "$.score", "boolean").cast("double")))
 
 
-def scores(answers: DataFrame) -> DataFrame:
+def scores(answers: DataFrame, read: Readers | None = None) -> DataFrame:
     """Answers of judge calls with their score; no number from 0 to 100 is null."""
-    return answers.withColumn("score", json_score(salvage_json(without_thinking(F.col("content")))))
+    return answers.withColumn("score", json_score(salvage_json(without_thinking(F.col("content")))) if read is None else read.score)
 
 
 def topic_prompt(category, description, count) -> Column:
     return F.format_string("List %d distinct topics for the category %s (%s) as a JSON array of strings.", count, category, description)
 
 
-def example_prompt(topic, fmt, turns, max_tokens) -> Column:
+#: Points of an outline that count.
+OUTLINE_POINTS = 4
+
+
+def outline_prompt(category, topic) -> Column:
+    return F.format_string("List up to four points, as a JSON array of strings, that an example of the category %s covers on: %s", category, topic)
+
+
+def outline_points(json: Column) -> Column:
+    """The first points that an outline's JSON lists; none if it is no list."""
+    listed = F.from_json(json, "array<string>")
+    return F.coalesce(F.slice(listed, 1, OUTLINE_POINTS), F.expr("cast(array() as array<string>)"))
+
+
+def example_prompt(topic, fmt, turns, max_tokens, points: Column | None = None) -> Column:
     """Our wording; the length asked for is seven tenths of the limit."""
-    return F.format_string("Write one %s training example of %d exchanges on: %s. Use at most %d tokens. Answer with JSON only.", fmt, turns, topic, F.floor(max_tokens * 0.7).cast("int"))
+    cover = F.lit("") if points is None else F.when(F.size(points) > 0, F.concat(F.lit(" Cover: "), F.array_join(points, "; "), F.lit("."))).otherwise("")
+    return F.format_string("Write one %s training example of %d exchanges on: %s.%s Use at most %d tokens. Answer with JSON only.", fmt, turns, topic, cover, F.floor(max_tokens * 0.7).cast("int"))
 
 
 def judge_prompt(content) -> Column:

@@ -231,11 +231,10 @@ ATTEMPTS_SQL = f"""attempts AS (
 
 def _attempts(spark, sf_dir):
     by = report.category_or_unknown(F.col("category"))
-    ex = scored_documents(spark, sf_dir)
-    return ex.select(
-        by.alias("category"), F.row_number().over(W.partitionBy(by).orderBy("seq")).alias("attempt"), F.col("judge_score").alias("score"),
-        F.coalesce(F.col("judge_score") >= 80, F.lit(False)).alias("accepted"), F.lit(20).alias("target"),
+    ex = scored_documents(spark, sf_dir).select(
+        by.alias("category"), "seq", F.col("judge_score").alias("score"), F.coalesce(F.col("judge_score") >= 80, F.lit(False)).alias("accepted"), F.lit(20).alias("target"),
     )
+    return merge.numbered_within(ex, "category", ["seq"], "attempt").drop("seq").withColumn("attempt", F.col("attempt").cast("int"))
 
 
 @query(f"""WITH {EXAMPLES_SQL}, {ATTEMPTS_SQL}
@@ -860,24 +859,39 @@ def x02_embed_texts(spark, sf_dir):
 
 
 def _topics(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("category"), "doc_id", text.preview(F.col("text"), 40).alias("topic"))
-    return rows.select("category", F.row_number().over(W.partitionBy("category").orderBy("doc_id")).alias("attempt"), "topic", F.lit(10).alias("target"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("category"), "doc_id", F.col("text").alias("topic"))
+    return merge.numbered_within(rows, "category", ["doc_id"], "attempt").select("category", F.col("attempt").cast("int").alias("attempt"), "topic", F.lit(10).alias("target"))
 
 
 def _byte(text: str, i: int) -> str:
     return f"CAST('0x' || substr(sha256({text}), {2 * i + 1}, 2) AS INTEGER)"
 
 
-#: The stub client's answers: which try is valid, what it says, and what three judge calls make of it.
-L01_SQL = f"""WITH t AS (SELECT source AS category, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS attempt, left(text, 40) || CASE WHEN length(text) > 40 THEN '…' ELSE '' END AS topic FROM documents),
-p AS (SELECT *, 'Write one chatml training example of 1 exchanges on: ' || coalesce(topic, 'null') || '. Use at most 1433 tokens. Answer with JSON only.' AS prompt FROM t WHERE attempt <= 50),
-k AS (SELECT *, CASE WHEN {_byte("'example|' || prompt || '|1'", 1)} % 8 > 0 THEN 1 WHEN {_byte("'example|' || prompt || '|2'", 1)} % 8 > 0 THEN 2 END AS good FROM p),
-c AS (SELECT *, 'Score this training example from 0 to 100. Answer as {{"score": n}}.' || chr(10) || chr(10) || '{{"messages": [{{"role": "user", "content": ' || CAST(to_json('About ' || prompt || '?') AS VARCHAR)
-             || '}}, {{"role": "assistant", "content": "Answer ' || substr(sha256('example|' || prompt || '|' || good), 1, 8) || '."}}]}}' AS judging FROM k),
+def generate_sql(topics: str, budget: int, target: str) -> str:
+    """What a run makes of the stub client's answers, from rows t (category, attempt, topic): the outline of each topic, which try is
+    valid, what it says, and what three judge calls make of it."""
+    outline = "'List up to four points, as a JSON array of strings, that an example of the category ' || category || ' covers on: ' || coalesce(topic, 'null')"
+    said = lambda p, n: f"""'{{"messages": [{{"role": "user", "content": ' || CAST(to_json('About ' || {p} || '?') AS VARCHAR) || '}}, {{"role": "assistant", "content": "Answer ' || substr(sha256('example|' || {p} || '|{n}'), 1, 8) || '."}}]}}'"""
+    good = lambda p, n: f"{_byte(f"'example|' || {p} || '|{n}'", 1)} % 8 > 0 AND (length(said_{n}) + 18) // 4 + 1 <= 2048"
+    point = lambda i: f"'point ' || {_byte("'outline|' || outline || '|1'", i)}"
+    return f"""WITH {topics},
+n AS (SELECT *, {outline} AS outline FROM t WHERE attempt <= {budget} * {target}),
+p AS (SELECT *, 'Write one chatml training example of 1 exchanges on: ' || coalesce(topic, 'null') || '.' || CASE {_byte("'outline|' || outline || '|1'", 0)} % 6 WHEN 0 THEN ''
+    WHEN 1 THEN ' Cover: ' || {point(0)} || '.' WHEN 2 THEN ' Cover: ' || {point(0)} || '; ' || {point(1)} || '.' WHEN 3 THEN ' Cover: ' || {point(0)} || '; ' || {point(1)} || '; ' || {point(2)} || '.'
+    ELSE ' Cover: ' || {point(0)} || '; ' || {point(1)} || '; ' || {point(2)} || '; ' || {point(3)} || '.' END || ' Use at most 1433 tokens. Answer with JSON only.' AS prompt FROM n),
+q AS (SELECT *, prompt || chr(10) || chr(10) || 'Keep the answer within 1638 tokens.' AS again FROM p),
+a AS (SELECT *, {said("prompt", 1)} AS said_1, {said("again", 2)} AS said_2 FROM q),
+c AS (SELECT *, 'Score this training example from 0 to 100. Answer as {{"score": n}}.' || chr(10) || chr(10) || CASE WHEN {good("prompt", 1)} THEN said_1 WHEN {good("again", 2)} THEN said_2 END AS judging FROM a),
 s AS (SELECT *, {", ".join(f"50 + {_byte(f"'judge|' || judging || '|{i}'", 0)} % 51 AS s{i}" for i in (1, 2, 3))} FROM c),
-o AS (SELECT category, attempt, coalesce(greatest(s1, s2, s3) >= 80, false) AS accepted, CASE WHEN s1 >= 80 THEN s1 WHEN s2 >= 80 THEN s2 ELSE s3 END AS score FROM s),
-r AS (SELECT *, coalesce(sum(accepted::INT) OVER (PARTITION BY category ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
-SELECT category, CAST(attempt AS INTEGER) AS attempt, accepted, CAST(score AS INTEGER) AS score FROM r WHERE before < 10"""
+o AS (SELECT *, coalesce(greatest(s1, s2, s3) >= 80, false) AS accepted, CASE WHEN s1 >= 80 THEN s1 WHEN s2 >= 80 THEN s2 ELSE s3 END AS score FROM s),
+r AS (SELECT *, coalesce(sum(accepted::INT) OVER (PARTITION BY category ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o),
+made AS (SELECT * FROM r WHERE before < {target})"""
+
+
+L01_SQL = (
+    generate_sql("t AS (SELECT source AS category, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS attempt, text AS topic FROM documents)", 5, "10")
+    + " SELECT category, CAST(attempt AS INTEGER) AS attempt, accepted, CAST(score AS INTEGER) AS score FROM made"
+)
 
 
 @query(L01_SQL)

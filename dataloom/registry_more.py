@@ -108,7 +108,7 @@ def l03_listed_models(spark, sf_dir):
 
 @query(f"""WITH p AS (SELECT n_name, 'List 5 distinct topics for the category ' || n_name || ' (of region ' || n_regionkey || ') as a JSON array of strings.' AS prompt FROM nation),
 k AS (SELECT *, {_byte("'topics|' || prompt || '|1'", 0)} % 8 AS given FROM p)
-SELECT n_name AS category, string_agg(CASE WHEN i <= given THEN left(prompt, 20) || ' topic ' || i ELSE n_name || ' ' || i END, ',' ORDER BY i) AS topics FROM k, range(1, 6) r(i) GROUP BY 1""")
+SELECT n_name AS category, string_agg(CASE WHEN i <= given THEN left(prompt, 20) || ' topic ' || i ELSE n_name || ' topic ' || i END, ',' ORDER BY i) AS topics FROM k, range(1, 6) r(i) GROUP BY 1""")
 def x03_topics(spark, sf_dir):
     asked = table(spark, sf_dir, "nation").select(F.col("n_name").alias("category"), F.concat(F.lit("of region "), F.col("n_regionkey").cast("string")).alias("description"), F.lit(5).alias("count"))
     return pipelines.topics(asked).select("category", F.array_join("topics", ",").alias("topics"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from dataloom.operators import maintained
-from dataloom.plans import deletion
-from dataloom.registry import ATTEMPTS_SQL, SNAPSHOT_SQL, _attempts, _snapshot_rows, query
+from dataloom.plans import deletion, runs
+from dataloom.registry import ATTEMPTS_SQL, PRICES, SNAPSHOT_SQL, _attempts, _byte, _snapshot_rows, generate_sql, query
 from dataloom.session import ensure_checkpoint_dir
 from dataloom.sources import dual_sink
 from dataloom.sources.tables import EXAMPLES_SQL, conversations, scored_documents, table
@@ -107,3 +107,24 @@ def t05_streamed_seek(spark, sf_dir):
     writer = seek.sought(calls, 80, max_calls=1).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
     feed.drain(lambda: writer.outputMode("append").trigger(availableNow=True).start())
     return spark.read.parquet(f"{folder}/out").where("event = 'made'").select("category", "attempt", "score", "accepted")
+
+
+_ASKED = "'List 15 distinct topics for the category ' || source || ' (documents of ' || source || ') as a JSON array of strings.'"
+_TOPICS = f"""t AS (SELECT category, attempt, CASE WHEN attempt <= k THEN substr(asked, 1, 20) ELSE category END || ' topic ' || attempt AS topic
+  FROM (SELECT source AS category, asked, {_byte("'topics|' || asked || '|1'", 0)} % 8 AS k, unnest(range(1, 16)) AS attempt FROM (SELECT DISTINCT source, {_ASKED} AS asked FROM documents WHERE source IS NOT NULL)))"""
+
+
+@query(f"""{generate_sql(_TOPICS, 5, "3")},
+e AS (SELECT *, substr(judging, length('Score this training example from 0 to 100. Answer as {{"score": n}}.') + 3) AS content FROM made WHERE accepted)
+SELECT row_number() OVER (ORDER BY category, attempt) AS seq, category, md5(content) AS digest, CAST(score AS INTEGER) AS judge_score, CAST((length(content) + 18) // 4 + 1 AS BIGINT) AS completion_tokens,
+  (SELECT count(*) FROM made) AS attempts, (SELECT count(*) FROM e) AS lines FROM e""")
+def l01_run(spark, sf_dir):
+    """A whole run over the documents' sources as categories: topics asked for, examples stored, priced, counted and exported."""
+    source = table(spark, sf_dir, "documents").where("source is not null").select(F.col("source").alias("category")).distinct()
+    categories = source.select("category", F.concat(F.lit("documents of "), "category").alias("description"), F.lit("m0").alias("model"), F.lit(3).alias("target"))
+    prices = spark.createDataFrame(PRICES, "model string, prompt_price double, completion_price double")
+    judges = spark.createDataFrame([], "category string, judge_prompt_price double, judge_completion_price double")
+    run = runs.Run(spark, _folder(spark, "run"))
+    totals = runs.generation(run, "j", categories, prices, judges)
+    rows = run.examples.read().select("seq", "category", F.md5("content_json").alias("digest"), "judge_score", "completion_tokens")
+    return rows.crossJoin(F.broadcast(totals.select("attempts", F.col("lines").cast("long").alias("lines"))))  # one row

@@ -121,7 +121,7 @@ def test_generation_asks_for_no_more_than_one_topic_after_another_would(spark, t
     topics = spark.createDataFrame([(c, i, f"topic {c} {i}", 3) for c in "ab" for i in range(1, 41)], "category string, attempt int, topic string, target int")
     log = pipelines.generate(topics, "chatml", 80, counting(folder)).collect()
     asked = [(tmp_path / f).read_text().split(" ")[0] for f in os.listdir(folder)]
-    stub, calls, expected = models.StubClient(), {"example": 0, "judge": 0}, []
+    stub, calls, expected = models.StubClient(), {"outline": 0, "example": 0, "judge": 0}, []
     rows = {r["id"]: r for r in _sequential(spark, topics, stub)}
     for c in "ab":
         accepted = 0
@@ -129,8 +129,8 @@ def test_generation_asks_for_no_more_than_one_topic_after_another_would(spark, t
             if accepted == 3 or i > 15:
                 break
             r = rows[f"{c}/{i}"]
-            calls["example"] += r["n_example"]
-            calls["judge"] += r["n_judge"]
+            for purpose in calls:
+                calls[purpose] += r[f"n_{purpose}"]
             accepted += r["accepted"]
             expected.append((c, i, r["accepted"]))
     assert sorted((r["category"], r["attempt"], r["accepted"]) for r in log) == expected
@@ -139,9 +139,16 @@ def test_generation_asks_for_no_more_than_one_topic_after_another_would(spark, t
 
 def _sequential(spark, topics, stub):
     """Every topic on its own, one call after another."""
-    prompts = topics.select(F.concat_ws("/", "category", "attempt").alias("id"), models.example_prompt(F.col("topic"), F.lit("chatml"), F.lit(1), F.lit(2048)).alias("prompt")).collect()
-    answers = [(p["id"], n, *(a.get(k) for k in ("content", "error"))) for p in prompts for n in (1, 2) for a in stub.chat([{"purpose": "example", "prompt": p["prompt"], "attempt": n}])]
-    parsed = models.parsed_examples(spark.createDataFrame(answers, "id string, attempt int, content string, error string"), "chatml")
+
+    def said(rows, purpose, n):
+        return spark.createDataFrame([(r["id"], n, stub.chat([{"purpose": purpose, "prompt": r["prompt"], "attempt": n}])[0]["content"], None) for r in rows], "id string, attempt int, content string, error string")
+
+    ids = topics.withColumn("id", F.concat_ws("/", "category", "attempt"))
+    outlines = said(ids.select("id", models.outline_prompt(F.col("category"), F.col("topic")).alias("prompt")).collect(), "outline", 1)
+    points = outlines.select("id", models.Readers("chatml").points.alias("points"))
+    prompts = ids.join(points, "id").select("id", models.example_prompt(F.col("topic"), F.lit("chatml"), F.lit(1), F.lit(2048), F.col("points")).alias("prompt")).collect()
+    hinted = [{"id": p["id"], "prompt": p["prompt"] + "\n\nKeep the answer within 1638 tokens."} for p in prompts]
+    parsed = models.parsed_examples(said(prompts, "example", 1).union(said(hinted, "example", 2)), "chatml")
     found = {(r["id"], r["attempt"]): r["content_json"] if r["reason"] == "ok" else None for r in parsed.collect()}
     judging = spark.range(1).select(models.judge_prompt(F.lit(""))).first()[0]
     for p in prompts:
@@ -152,7 +159,7 @@ def _sequential(spark, topics, stub):
             if json.loads(stub.chat([{"purpose": "judge", "prompt": judging + content, "attempt": call}])[0]["content"])["score"] >= 80:
                 accepted = True
                 break
-        yield {"id": p["id"], "n_example": n_example, "n_judge": n_judge, "accepted": accepted}
+        yield {"id": p["id"], "n_outline": 1, "n_example": n_example, "n_judge": n_judge, "accepted": accepted}
 
 
 def test_messages(spark):
