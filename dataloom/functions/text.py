@@ -136,3 +136,8 @@ def with_brevity_hint(messages: Column, limit: int) -> Column:
     hint = brevity_hint(limit)
     last = F.array_max(F.transform(messages, lambda m, i: F.when(m["role"] == "user", i).otherwise(-1)))
     return F.transform(messages, lambda m, i: F.when(i == last, F.struct(m["role"].alias("role"), F.concat(m["text"], F.lit(hint)).alias("text"))).otherwise(m))
+
+
+def model_prefix(model: Column, separator: str = "/") -> Column:
+    """What stands before the first separator of a model's id: its vendor; the whole id where there is none."""
+    return F.split_part(model, F.lit(separator), F.lit(1))

@@ -12,6 +12,7 @@ import json
 import math
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
@@ -144,8 +145,85 @@ def _told(answers: DataFrame) -> DataFrame:
     return answers.withColumn("starved", F.coalesce(starved, F.lit(False))).withColumn("completion_tokens", net).drop("reasoning_tokens", "finish", "thought")
 
 
+class Pace:
+    """A token bucket: calls go out at `per_second` on the average, `burst` of them at once."""
+
+    def __init__(self, per_second: float | None, burst: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.per_second, self.burst, self.clock, self.sleep = per_second, burst, clock, sleep
+        self.held, self.at = float(burst), clock()
+
+    def take(self) -> None:
+        if not self.per_second:
+            return
+        now = self.clock()
+        self.held, self.at = min(self.burst, self.held + (now - self.at) * self.per_second), now
+        if self.held < 1:
+            self.sleep((1 - self.held) / self.per_second)
+            self.held, self.at = 1.0, self.clock()
+        self.held -= 1
+
+
+@dataclass(frozen=True)
+class Limit:
+    """What a provider bears: calls open at once, and calls a second."""
+
+    open_calls: int = 1
+    per_second: float | None = None
+
+
+def chat_within_limits(requests: DataFrame, limits: dict[str, Limit], factory: Callable[[], ModelClient] = StubClient, retries: int = 3, wait_s: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As `chat`, of requests with a column `provider`, of which no more calls are open at once than its limit says.
+
+    Each provider has as many partitions as calls it bears (one, where nothing is said: all such providers share one), its requests are dealt to
+    them by hash, and a partition makes one call after another, at its part of the provider's pace. Partitions
+    are read as streams, so a provider of any number of requests fills no memory. A task that Spark runs twice at once, as in
+    speculation, would make two calls: leave that off for such a job.
+    """
+    names = sorted(limits)
+    starts = {n: 1 + sum(limits[m].open_calls for m in names[:i]) for i, n in enumerate(names)}  # partition 0 is for the others
+    place = F.lit(0)
+    for n in names:
+        place = F.when(F.col("__provider") == n, F.lit(starts[n]) + F.pmod(F.xxhash64(F.col("id").cast("string"), "prompt"), F.lit(limits[n].open_calls)).cast("int")).otherwise(place)
+    limit = F.col("max_tokens").cast("int") if "max_tokens" in requests.columns else F.lit(None).cast("int")
+    rows = requests.select(F.col("id").cast("string").alias("id"), "purpose", "prompt", F.col("attempt").cast("int").alias("attempt"), limit.alias("max_tokens"), F.col("provider").alias("__provider"), *keep)
+    kept = "".join(f", `{c}` {requests.schema[c].dataType.simpleString()}" for c in keep)
+    dealt = rows.withColumn("__place", F.coalesce(place, F.lit(0))).repartitionById(1 + sum(x.open_calls for x in limits.values()), "__place").drop("__place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client, paces = factory(), {n: Pace(x.per_second / x.open_calls if x.per_second else None) for n, x in limits.items()}
+        for part in batches:
+            for i, (request, provider) in enumerate(zip(part.select(_ASKED).to_pylist(), part.column("__provider").to_pylist())):
+                if provider in paces and request["prompt"] is not None:
+                    paces[provider].take()
+                answers = _answered(client, [request | {"provider": provider}], retries, wait_s)
+                yield pa.RecordBatch.from_arrays([*answers.columns, *[part.column(c).slice(i, 1) for c in keep]], [*_NAMES, *keep])
+
+    return _told(dealt.mapInArrow(run, _ANSWERS + kept))
+
+
+def _vectors(client: ModelClient, texts: list[str]) -> list[list[float] | None]:
+    """One vector per text, in their order.
+
+    Answers may be vectors, or {"index", "embedding"} in any order. Where a batch fails, or answers are missing, it is asked for in
+    halves, down to single texts; a text that fails on its own has no vector.
+    """
+    try:
+        answers = client.embed(texts)
+        if answers and isinstance(answers[0], dict):
+            by_index = {a["index"]: a["embedding"] for a in answers}
+            answers = [by_index[i] for i in range(len(texts))]
+        if len(answers) == len(texts):
+            return answers
+    except Exception:  # the halves tell which text it was
+        pass
+    if len(texts) == 1:
+        return [None]
+    half = len(texts) // 2
+    return _vectors(client, texts[:half]) + _vectors(client, texts[half:])
+
+
 def embed(rows: DataFrame, text: str = "text", factory: Callable[[], ModelClient] = StubClient, batch: int = 100) -> DataFrame:
-    """Rows with `embedding`; texts go out in batches."""
+    """Rows with `embedding`, null where a text could not be embedded; texts go out in batches."""
     at_text = rows.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", embedding array<float>"
 
@@ -154,7 +232,7 @@ def embed(rows: DataFrame, text: str = "text", factory: Callable[[], ModelClient
         for part in batches:
             for at in range(0, part.num_rows, batch):
                 few = part.slice(at, batch)
-                vectors = client.embed([t or "" for t in few.column(at_text).to_pylist()])
+                vectors = _vectors(client, [t or "" for t in few.column(at_text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*few.columns, pa.array(vectors, pa.list_(pa.float32()))], [*few.schema.names, "embedding"])
 
     return rows.mapInArrow(run, schema)

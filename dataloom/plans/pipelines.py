@@ -15,6 +15,7 @@ from dataloom.operators import curate, dedup, merge
 from dataloom.plans import models
 from dataloom.plans.cancellation import Cancellation
 from dataloom.plans.models import StubClient
+from dataloom.schemas import Caps
 from dataloom.session import checkpointed
 from dataloom.sources.versions import VersionedTable
 
@@ -114,13 +115,15 @@ def topics(categories: DataFrame, factory: Callable = StubClient, usage: bool =
     return categories.join(answers, "category").select("category", topic_list(listed, F.col("count"), F.concat("category", F.lit(" topic"))).alias("topics"), *tokens)
 
 
-def merge_jobs(jobs: DataFrame, examples: DataFrame, source_ids: list[str], job_id: str, shuffle_seed: int | None = None) -> DataFrame:
-    merge.check_sources(jobs, source_ids, examples)
+def merge_jobs(jobs: DataFrame, examples: DataFrame, source_ids: list[str], job_id: str, shuffle_seed: int | None = None, caps: Caps = Caps()) -> DataFrame:
+    merge.check_sources(jobs, source_ids, examples, caps.merge)
     return merge.merged(examples, source_ids, job_id, shuffle_seed)
 
 
-def near_duplicates(examples: DataFrame, threshold: float, factory: Callable = StubClient) -> DataFrame:
+def near_duplicates(examples: DataFrame, threshold: float, factory: Callable = StubClient, caps: Caps = Caps()) -> DataFrame:
     """Report of examples (id, content_json, format, judge_score) alike by the embedding of their text."""
+    if caps.dedup is not None:
+        caps.check("dedup", examples.count())
     texts = examples.withColumn("text", codec.embedding_text(codec.decode_turns(F.col("content_json"), F.col("format")), F.col("format")))
     vectors = models.embed(texts.select("id", "text"), factory=factory)
     return dedup.pair_report(dedup.similar_pairs(vectors, threshold), texts)

@@ -13,6 +13,7 @@ from dataloom.operators import cost, maintained, merge
 from dataloom.plans import models, pipelines
 from dataloom.plans.cancellation import Cancellation
 from dataloom.plans.models import StubClient
+from dataloom.schemas import Caps
 from dataloom.session import checkpointed
 from dataloom.sources import dual_sink
 from dataloom.sources.versions import VersionedTable
@@ -54,13 +55,15 @@ class Run:
 
 def generation(
     run: Run, job_id: str, categories: DataFrame, model_prices: DataFrame, judge_prices: DataFrame, fmt: str = "chatml", threshold: int = 80,
-    factory: Callable = StubClient, budget: int = 5, cancel: Cancellation | None = None, **options,
+    factory: Callable = StubClient, budget: int = 5, cancel: Cancellation | None = None, caps: Caps = Caps(), **options,
 ) -> DataFrame:
     """Topics, outlines, examples, judging, storing, cost, figures and lines of the categories (category, description, model, target).
 
     Each category is asked once for topics for its whole budget. Returns one row: examples, attempts, actual_cost, judge_cost, stats_json, lines.
     Tokens of topics and outlines are overhead of the category's model.
     """
+    if caps.job is not None:
+        caps.check("job", categories.agg(F.sum("target")).first()[0] or 0)
     wanted = categories.withColumn("count", F.col("target") * budget)
     asked = run.once(run.topics, "topics", lambda: pipelines.topics(wanted, factory, usage=True).join(categories, "category"))
     topics = asked.select("category", "target", F.posexplode("topics").alias("i", "topic")).select("category", (F.col("i") + 1).alias("attempt"), "topic", "target")

@@ -222,7 +222,7 @@ def f47_rate_bands(spark, sf_dir):
 
 @query("SELECT p_partkey, split_part(p_type, ' ', 1) AS prefix FROM part")
 def f50_model_prefix(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_type", F.lit(" "), F.lit(1)).alias("prefix"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.model_prefix(F.col("p_type"), " ").alias("prefix"))
 
 
 # Changes, runs and streams

@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from dataloom.operators import maintained
-from dataloom.plans import deletion, runs
+from dataloom.plans import deletion, models, runs
 from dataloom.registry import ATTEMPTS_SQL, PRICES, SNAPSHOT_SQL, _attempts, _byte, _snapshot_rows, generate_sql, query
 from dataloom.session import ensure_checkpoint_dir
-from dataloom.sources import dual_sink
+from dataloom.sources import dual_sink, io
 from dataloom.sources.tables import EXAMPLES_SQL, conversations, scored_documents, table
 from dataloom.sources.versions import VersionedTable
-from dataloom.streaming import feed, seek
+from dataloom.streaming import feed, progress, seek
 
 
 def _folder(spark, stem):
@@ -128,3 +128,50 @@ def l01_run(spark, sf_dir):
     totals = runs.generation(run, "j", categories, prices, judges)
     rows = run.examples.read().select("seq", "category", F.md5("content_json").alias("digest"), "judge_score", "completion_tokens")
     return rows.crossJoin(F.broadcast(totals.select("attempts", F.col("lines").cast("long").alias("lines"))))  # one row
+
+
+@query(f"""SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 5 = 0 THEN 'local' ELSE 'p' || item_id % 3 END AS provider,
+  50 + {_byte("'judge|Score this training example from 0 to 100. Answer as {\"score\": n}.' || chr(10) || chr(10) || text || '|1'", 0)} % 51 AS score FROM benchmark""")
+def x06_limited_calls(spark, sf_dir):
+    """Benchmark texts judged by several providers, each within its own number of open calls."""
+    item = F.col("item_id")
+    provider = F.when(item % 5 == 0, "local").otherwise(F.concat(F.lit("p"), (item % 3).cast("string")))
+    asked = table(spark, sf_dir, "benchmark").select(
+        item.cast("string").alias("id"), F.lit("judge").alias("purpose"), models.judge_prompt(F.col("text")).alias("prompt"), F.lit(1).alias("attempt"), provider.alias("provider"),
+    )
+    limits = {"p0": models.Limit(3), "p1": models.Limit(2), "local": models.Limit(1)}
+    return models.scores(models.chat_within_limits(asked, limits, keep=("provider",))).select("id", "provider", "score")
+
+
+@query("""SELECT 'done' AS event, 'completed' AS status, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(event_id) AS BIGINT) AS ids FROM events""")
+def t01_live_progress(spark, sf_dir):
+    """The last row of the progress of a stream over the events, whose figures the stream's own counters have summed."""
+    folder, name = _folder(spark, "progress"), f"p{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/event[s].parquet")
+    log = progress.ProgressLog(spark, f"{folder}/progress")
+    figures = {"n": F.count(F.lit(1)), "errors": F.count_if(F.col("event_type") == "error"), "ids": F.sum("event_id")}
+    rows, listener = progress.follow(events, log, name, figures)
+    try:
+        writer = rows.writeStream.queryName(name).format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
+        feed.drain(lambda: writer.trigger(availableNow=True).start())
+        log.wait_for_end()
+    finally:
+        spark.streams.removeListener(listener)
+    return log.after().where("event = 'done'").select("event", "status", *[F.col("figures")[c].alias(c) for c in figures])
+
+
+@query("""SELECT 'n' || s_nationkey AS model_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS endpoint, s_name AS provider,
+  s_suppkey AS context_length, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey / 2.0 END::DOUBLE AS latency_ms, CASE WHEN s_suppkey % 2 > 0 THEN 99.5 END::DOUBLE AS uptime,
+  CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey / 8.0 ELSE 0 END::DOUBLE AS prompt_price, 0.0::DOUBLE AS completion_price FROM supplier""")
+def s18_endpoint_list(spark, sf_dir):
+    """Endpoints of each nation's answer, in the order of its suppliers."""
+    k = F.col("s_suppkey")
+    price = F.when(k % 4 > 0, (k / 8).cast("string")).otherwise("free")
+    endpoint = F.struct(
+        k.alias("at"), F.col("s_name").alias("provider_name"), k.alias("context_length"), F.when(k % 3 > 0, k / 2).alias("latency_ms"), F.when(k % 2 > 0, F.lit(99.5)).alias("uptime"),
+        F.struct(price.alias("prompt")).alias("pricing"),
+    )
+    listed = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(endpoint)).alias("endpoints"))
+    data = F.struct(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("id"), "endpoints")
+    return io.endpoint_list(listed.select(F.to_json(F.struct(data.alias("data"))).alias("body")))

@@ -121,3 +121,21 @@ class JobConfig:
             raise ValueError(f"format {self.format!r}")
         if self.format == "alpaca" and self.conversation_turns != 1:
             object.__setattr__(self, "conversation_turns", 1)
+
+
+@dataclass(frozen=True)
+class Caps:
+    """Sizes beyond which a request is refused; None is no cap, which is how the engine runs unless it is told otherwise."""
+
+    job: int | None = None
+    merge: int | None = None
+    dedup: int | None = None
+
+    def check(self, kind: str, n: int) -> None:
+        cap = getattr(self, kind)
+        if cap is not None and n > cap:
+            raise ValueError(f"{kind}: {n} is over the cap of {cap}")
+
+
+#: The caps of an interactive service.
+SERVICE_CAPS = Caps(job=10_000, merge=500_000, dedup=100_000)

@@ -96,6 +96,19 @@ def model_catalog(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def endpoint_list(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Rows (model_id, endpoint, provider, context_length, latency_ms, uptime, prompt_price, completion_price) of JSON answers
+    {"data": {"id", "endpoints": [...]}}, one answer per model; endpoints numbered from 0 as listed. A malformed answer has none."""
+    endpoint = "struct<provider_name:string, name:string, context_length:bigint, latency_ms:double, uptime:double, pricing:struct<prompt:string, completion:string>>"
+    told = raw.select(F.from_json(body, f"data struct<id:string, endpoints:array<{endpoint}>>")["data"].alias("d"))
+    rows = told.select(F.col("d.id").alias("model_id"), F.posexplode("d.endpoints").alias("endpoint", "e"))
+    price = lambda c: F.coalesce(F.expr(f"try_cast({c} as double)"), F.lit(0.0))
+    return rows.select(
+        "model_id", "endpoint", F.coalesce("e.provider_name", "e.name").alias("provider"), F.col("e.context_length").alias("context_length"), F.col("e.latency_ms").alias("latency_ms"),
+        F.col("e.uptime").alias("uptime"), price("e.pricing.prompt").alias("prompt_price"), price("e.pricing.completion").alias("completion_price"),
+    )
+
+
 def model_groups(catalog: DataFrame) -> DataFrame:
     """Models by label within the capitalised prefix of their id."""
     return catalog.select("id", F.coalesce("name", "id").alias("label"), F.initcap(F.split_part("id", F.lit("/"), F.lit(1))).alias("vendor")).orderBy("vendor", "label")
