@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import CHUNK_BYTES, checkpointed, hashed_sample, keyed, mix, shingle_hashes, text_slices, unused, word_hashes
+from dataloom.llm.common import CHUNK_BYTES, checkpointed, hashed_sample, keyed, mix, salted_join, shingle_hashes, text_slices, unused, word_hashes
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -56,6 +56,9 @@ BATCH = 200_000
 #: Words around joined intervals that are compared too: these hold the passage, but for a shift by words put in or left out.
 MARGIN = 16
 
+#: Keys of documents that are broadcast to keep the texts of all others from being moved (8 bytes each).
+BROADCAST_KEYS = 4_000_000
+
 #: Shingles from the centre to those that name the near classes.
 NEAR = SHINGLE - 1
 
@@ -393,15 +396,61 @@ def _may_share(mine: list[np.ndarray], theirs: list[np.ndarray], width: int, lea
 _REGION = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("source_begin", pa.int32()), ("source", pa.binary())])
 
 
-def _found(rows: DataFrame, min_words: int, similarity: float, functions: int) -> DataFrame:
-    """The passages of rows (key, id, text): key, id, first_word, last_word, source_id, source_first_word, ..."""
+def _only(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is in column `column` of `wanted`; all rows, where these keys are too many to be broadcast.
+
+    What follows joins the rows by that key anyhow: this only saves moving texts that the join would drop.
+    """
+    keys = wanted.select(F.col(column).alias("key")).distinct()
+    if keys.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
+        return rows
+    return rows.join(F.broadcast(keys), "key", "left_semi")
+
+
+def _pairs(links: DataFrame) -> DataFrame:
+    """Rows (a, b, regions) of joined intervals (a, b, diagonal, low, high)."""
+    merged = links.repartition("a", "b").groupBy("a", "b", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return checkpointed(merged.groupBy("a", "b").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("regions")))
+
+
+class _Unverified:
+    """Where one document was joined and no passage was found: the exact runs of shingles there, which name it to others."""
+
+    def __init__(self, min_words: int):
+        self.sizes = (min_words - SHINGLE + 1, (min_words - SHINGLE + 1) // 2 - SHINGLE // 2)
+        self.key, self.shingles = None, None
+
+    def take(self, key: int, shingles: np.ndarray) -> None:
+        self.key, self.shingles = key, shingles
+        self.joined = np.zeros(len(shingles) + 1, np.int32)  # of places: +1 where a region begins, -1 behind its end
+        self.found: list[tuple[int, int]] = []
+
+    def region(self, begin: int, end: int) -> None:
+        self.joined[min(begin, len(self.shingles))] += 1
+        self.joined[min(end, len(self.shingles))] -= 1
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, place, length) of every run in a region that lies in no passage found."""
+        inside = np.concatenate(([0], np.cumsum(np.cumsum(self.joined)[:-1] > 0)))
+        out = []
+        for size in self.sizes:
+            at = np.flatnonzero(inside[size:] - inside[:-size] == size) if len(inside) > size else np.empty(0, np.int64)
+            for first, last in self.found:
+                at = at[(at < first) | (at + size > last)]
+            if len(at):
+                hashes = np.full(len(at), size, np.uint64)
+                for j in range(size):
+                    hashes = hashes * np.uint64(0xD6E8FEB86659FD93) + self.shingles[at + j].astype(np.uint64)
+                out.append((mix(hashes).view(np.int64), at, np.full(len(at), size)))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+
+
+def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """The passages of pairs of rows (key, id, text), and, per row with places where none was found, their runs.
+
+    Rows (key, id, first_word, last_word, source_id, ..., runs, places, lengths): either a passage or runs.
+    """
     id_type = rows.schema["id"].dataType.simpleString()
-    dealt = _windows(rows, functions, min_words)
-    signature = F.shiftright("value", 16)
-    dealt = dealt.repartition(signature).sortWithinPartitions(signature, "key", "place")
-    links = dealt.mapInArrow(_joined_intervals, "a long, b long, diagonal int, low int, high int").repartition("a", "b")
-    merged = links.groupBy("a", "b", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    pairs = merged.groupBy("a", "b").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("regions"))
     width = min_words - SHINGLE + 1
     loosest = int(np.ceil(width * 2 * similarity / (1 + similarity)))
 
@@ -421,31 +470,79 @@ def _found(rows: DataFrame, min_words: int, similarity: float, functions: int) -
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), regions], ["a", "source_id", "regions"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "id", "first_word", "last_word", "source_id", "source_first_word", "source_last_word", "similarity", "runs", "places", "lengths"]
+        lost = _Unverified(min_words)
+        id_arrow = pa.int64()
+
+        def unverified() -> pa.RecordBatch:
+            runs, places, lengths = lost.runs()
+            n = int(len(runs) > 0)
+            nothing = [pa.nulls(n, t) for t in (id_arrow, pa.int32(), pa.int32(), id_arrow, pa.int32(), pa.int32(), pa.float64())]
+            lists = [pa.array([x.astype(t)][:n], pa.list_(w)) for x, t, w in ((runs, np.int64, pa.int64()), (places, np.int32, pa.int32()), (lengths, np.int32, pa.int32()))]
+            return pa.RecordBatch.from_arrays([pa.array([lost.key][:n], pa.int64()), *nothing, *lists], names)
+
         for part, shingles in _with_shingles(batches, 0, 2):
+            id_arrow = part.column(1).type
             lists = part.column(4)
             flat, row = lists.flatten(), np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy())
             begins, ends, s_begins, sources = (flat.field(i).to_pylist() for i in range(4))
             mine = [shingles[r][x : y + 1] for r, x, y in zip(row.tolist(), begins, ends)]
             theirs = [np.frombuffer(s, "<u4") for s in sources]
+            may = _may_share(mine, theirs, width, loosest)
+            keys = part.column(0).to_pylist()
             out, of = [], []
-            for i in np.flatnonzero(_may_share(mine, theirs, width, loosest)).tolist():
+            for i, r in enumerate(row.tolist()):
+                if keys[r] != lost.key:
+                    if lost.key is not None and (batch := unverified()).num_rows:
+                        yield batch
+                    lost.take(keys[r], shingles[r])
                 x, u = begins[i], s_begins[i]
-                for first, last, s_first, s_last, jaccard in common_passages(mine[i], theirs[i], min_words, similarity):
-                    of.append(row[i])
-                    out.append((x + first, x + last + SHINGLE - 1, u + s_first, u + s_last + SHINGLE - 1, jaccard))
+                lost.region(x, x + len(mine[i]))
+                if may[i]:
+                    for first, last, s_first, s_last, jaccard in common_passages(mine[i], theirs[i], min_words, similarity):
+                        of.append(r)
+                        out.append((x + first, x + last + SHINGLE - 1, u + s_first, u + s_last + SHINGLE - 1, jaccard))
+                        lost.found.append((x + first, x + last))
             at = pa.array(of, pa.int64())
             first, last, s_first, s_last = (pa.array([r[i] for r in out], pa.int32()) for i in range(4))
+            none = [pa.nulls(len(of), pa.list_(t)) for t in (pa.int64(), pa.int32(), pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), first, last, part.column(3).take(at), s_first, s_last, pa.array([r[4] for r in out], pa.float64())],
-                ["key", "id", "first_word", "last_word", "source_id", "source_first_word", "source_last_word", "similarity"],
+                [part.column(0).take(at), part.column(1).take(at), first, last, part.column(3).take(at), s_first, s_last, pa.array([r[4] for r in out], pa.float64()), *none], names
             )
+        if lost.key is not None and (batch := unverified()).num_rows:
+            yield batch
 
-    sources = rows.select(F.col("key").alias("b"), "text", F.col("id").alias("source_id"))
+    sources = _only(rows, "b", pairs).select(F.col("key").alias("b"), "text", F.col("id").alias("source_id"))
     with_source = pairs.join(sources, "b").select("a", "b", "text", "regions", "source_id")
     cut = with_source.mapInArrow(cut_source, f"a long, source_id {id_type}, regions array<struct<begin:int,end:int,source_begin:int,source:binary>>")
-    members = rows.select(F.col("key").alias("a"), "text", "id")
+    members = _only(rows, "a", pairs).select(F.col("key").alias("a"), "text", "id")
     both = cut.join(members, "a").select("a", "id", "text", "source_id", "regions")
-    return both.mapInArrow(verify, f"key long, id {id_type}, first_word int, last_word int, source_id {id_type}, source_first_word int, source_last_word int, similarity double")
+    return both.mapInArrow(
+        verify,
+        f"key long, id {id_type}, first_word int, last_word int, source_id {id_type}, source_first_word int, source_last_word int, similarity double, runs array<long>, places array<int>, lengths array<int>",
+    )
+
+
+def _shared_runs(unverified: DataFrame, min_words: int) -> DataFrame:
+    """Joined intervals (a, b, diagonal, low, high) of rows (key, runs, places, lengths) with the first row that has the same run."""
+    runs = unverified.select("key", F.explode(F.arrays_zip("runs", "places", "lengths")).alias("r")).select(F.col("r.runs").alias("run"), "key", F.col("r.places").alias("place"), F.col("r.lengths").alias("length"))
+    firsts = runs.groupBy("run").agg(F.min(F.struct("key", "place")).alias("first"), F.max("key").alias("last_key")).where(F.col("first.key") < F.col("last_key"))
+    firsts = checkpointed(firsts.select("run", F.col("first.key").alias("b"), F.col("first.place").alias("at")))
+    shared = salted_join(runs.join(firsts.select("run"), "run", "left_semi"), firsts, "run", F.col("key")).where("key <> b")
+    wider = F.lit(min_words - SHINGLE + 1) - F.col("length")  # a passage that holds a run reaches so far on either side
+    low, high = F.col("place") - wider, F.col("place") + F.col("length") - 1 + wider
+    return shared.select(F.col("key").alias("a"), "b", (F.col("place") - F.col("at")).alias("diagonal"), F.greatest(low, F.lit(0)).alias("low"), high.alias("high"))
+
+
+def _found(rows: DataFrame, min_words: int, similarity: float, functions: int) -> DataFrame:
+    """The passages of rows (key, id, text): key, id, first_word, last_word, source_id, source_first_word, ..."""
+    dealt = _windows(rows, functions, min_words)
+    signature = F.shiftright("value", 16)
+    dealt = dealt.repartition(signature).sortWithinPartitions(signature, "key", "place")
+    links = dealt.mapInArrow(_joined_intervals, "a long, b long, diagonal int, low int, high int")
+    once = checkpointed(_passages(rows, _pairs(links), min_words, similarity))
+    again = _passages(rows, _pairs(_shared_runs(once.where("runs is not null"), min_words)), min_words, similarity)
+    return once.where("runs is null").union(again.where("runs is null")).drop("runs", "places", "lengths")
 
 
 def repeated_passages(
