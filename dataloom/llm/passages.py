@@ -9,9 +9,12 @@ passage-length windows (vectorised sliding minima) and their nearest smaller nei
 Windows of different documents with the same least hash share a signature. Within a signature a window has four
 classes: the shingle four places to the left of its centre, that to the right, and the least shingle, under another
 hash function, of half a passage length on either side. It is joined to the first window (by document, then place)
-of each of its classes. A passage that two documents share word by word has, around any centre, four shared shingles
-and half its length on one side at least, so both are in one class; a passage with few edits is in one class but for
-edits beside the centre on both sides. What is joined depends on the documents alone, not on how rows lie in partitions.
+of each of its classes. That first may be of a document that has only a frequent line with it; so there is a second round.
+Where joined intervals of a document held no passage, runs of about half a passage are chosen by least hash; around those that
+another document has chosen too, all exact runs of `min_words` words and of half as many are joined to the first document that
+has the same run. Runs of `min_words` words are passages by themselves; the shorter ones lead to passages with few edits, of
+which some run reaches beyond the frequent line. What is joined depends on the documents alone, not on how rows lie in
+partitions.
 
 Signatures are dealt by hash and read as a sorted stream that holds the firsts of the classes of one signature, so
 neither a group nor its pairs are ever held. Signatures with more than `HOT_SHARE` of all windows (there are at most
@@ -20,9 +23,9 @@ map-side combined minimum over all documents; these firsts (at most 2560 for eac
 broadcast, and each window goes with its own firsts to a group of its own. The sample decides only which way is taken: the
 joins are the same.
 
-Intervals joined over several hash functions are merged per pair of documents and diagonal, and every pair is
-verified: a passage is reported where at least `min_words` words of both documents have shingle sets of Jaccard
-similarity `similarity` or more.
+Intervals joined are merged per pair of documents and diagonal, and every pair of either round is verified: a passage is
+reported where at least `min_words` words of both documents have shingle sets of Jaccard similarity `similarity` or
+more.
 
 Rows: (id, first_word, last_word, source_id, source_first_word, source_last_word, similarity), ends exclusive, the
 source being the lesser row; every document of a group of copies points at the group's first. Words are runs of
@@ -59,6 +62,9 @@ MARGIN = 16
 #: Keys of documents that are broadcast to keep the texts of all others from being moved (8 bytes each).
 BROADCAST_KEYS = 4_000_000
 
+#: Of so many runs that follow one another one is chosen.
+CHOICE = 6
+
 #: Shingles from the centre to those that name the near classes.
 NEAR = SHINGLE - 1
 
@@ -413,11 +419,23 @@ def _pairs(links: DataFrame) -> DataFrame:
     return checkpointed(merged.groupBy("a", "b").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("regions")))
 
 
+def _run_hashes(shingles: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` shingles from each place."""
+    hashes = np.full(len(at), size, np.uint64)
+    for j in range(size):
+        hashes = hashes * np.uint64(0xD6E8FEB86659FD93) + shingles[at + j].astype(np.uint64)
+    return mix(hashes)
+
+
 class _Unverified:
-    """Where one document was joined and no passage was found: the exact runs of shingles there, which name it to others."""
+    """Where one document was joined and no passage was found, and a choice of the runs of shingles there.
+
+    Of every `CHOICE` runs that follow one another the one with the least hash is chosen: documents that share a longer stretch
+    choose a run in common.
+    """
 
     def __init__(self, min_words: int):
-        self.sizes = (min_words - SHINGLE + 1, (min_words - SHINGLE + 1) // 2 - SHINGLE // 2)
+        self.width, self.size = min_words - SHINGLE + 1, _short_run(min_words)
         self.key, self.shingles = None, None
 
     def take(self, key: int, shingles: np.ndarray) -> None:
@@ -429,26 +447,41 @@ class _Unverified:
         self.joined[min(begin, len(self.shingles))] += 1
         self.joined[min(end, len(self.shingles))] -= 1
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, place, length) of every run in a region that lies in no passage found."""
+    def _open(self, size: int) -> np.ndarray:
+        """Whether the run of `size` shingles from each place is in a region and in no passage found."""
         inside = np.concatenate(([0], np.cumsum(np.cumsum(self.joined)[:-1] > 0)))
-        out = []
-        for size in self.sizes:
-            at = np.flatnonzero(inside[size:] - inside[:-size] == size) if len(inside) > size else np.empty(0, np.int64)
-            for first, last in self.found:
-                at = at[(at < first) | (at + size > last)]
-            if len(at):
-                hashes = np.full(len(at), size, np.uint64)
-                for j in range(size):
-                    hashes = hashes * np.uint64(0xD6E8FEB86659FD93) + self.shingles[at + j].astype(np.uint64)
-                out.append((mix(hashes).view(np.int64), at, np.full(len(at), size)))
-        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+        good = inside[size:] - inside[:-size] == size if len(inside) > size else np.zeros(0, bool)
+        for first, last in self.found:
+            good[first : max(first, last - size + 1)] = False
+        return good
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, place) of the chosen runs in regions that lie in no passage found."""
+        open_ = self._open(self.size)
+        # and those within a run of a whole passage that reaches out of what was found
+        long = np.cumsum(np.concatenate(([0], self._open(self.width))))
+        reach = self.width - self.size
+        q = np.arange(len(open_))
+        low, high = np.clip(q - reach, 0, len(long) - 1), np.clip(q + 1, 0, len(long) - 1)
+        at = np.flatnonzero(open_ | (long[high] > long[low]))
+        hashes = _run_hashes(self.shingles, at, self.size)
+        keys = (hashes & ~_POS) | np.arange(len(at), dtype=np.uint64)
+        chosen = [np.empty(0, np.uint64)]
+        for part in np.split(keys, np.flatnonzero(np.diff(at) > 1) + 1):
+            chosen.append(_sliding_min(part, min(CHOICE, len(part))) if len(part) else part)
+        chosen = np.unique(np.concatenate(chosen) & _POS).astype(np.int64)
+        return hashes[chosen].view(np.int64), at[chosen]
+
+
+def _short_run(min_words: int) -> int:
+    """Shingles of about half a passage."""
+    return (min_words - SHINGLE + 1) // 2 - SHINGLE // 2
 
 
 def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: float) -> DataFrame:
     """The passages of pairs of rows (key, id, text), and, per row with places where none was found, their runs.
 
-    Rows (key, id, first_word, last_word, source_id, ..., runs, places, lengths): either a passage or runs.
+    Rows (key, id, first_word, last_word, source_id, ..., runs, places): either a passage or runs.
     """
     id_type = rows.schema["id"].dataType.simpleString()
     width = min_words - SHINGLE + 1
@@ -470,15 +503,15 @@ def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), regions], ["a", "source_id", "regions"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "id", "first_word", "last_word", "source_id", "source_first_word", "source_last_word", "similarity", "runs", "places", "lengths"]
+        names = ["key", "id", "first_word", "last_word", "source_id", "source_first_word", "source_last_word", "similarity", "runs", "places"]
         lost = _Unverified(min_words)
         id_arrow = pa.int64()
 
         def unverified() -> pa.RecordBatch:
-            runs, places, lengths = lost.runs()
+            runs, places = lost.runs()
             n = int(len(runs) > 0)
             nothing = [pa.nulls(n, t) for t in (id_arrow, pa.int32(), pa.int32(), id_arrow, pa.int32(), pa.int32(), pa.float64())]
-            lists = [pa.array([x.astype(t)][:n], pa.list_(w)) for x, t, w in ((runs, np.int64, pa.int64()), (places, np.int32, pa.int32()), (lengths, np.int32, pa.int32()))]
+            lists = [pa.array([runs][:n], pa.list_(pa.int64())), pa.array([places.astype(np.int32)][:n], pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays([pa.array([lost.key][:n], pa.int64()), *nothing, *lists], names)
 
         for part, shingles in _with_shingles(batches, 0, 2):
@@ -505,7 +538,7 @@ def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
                         lost.found.append((x + first, x + last))
             at = pa.array(of, pa.int64())
             first, last, s_first, s_last = (pa.array([r[i] for r in out], pa.int32()) for i in range(4))
-            none = [pa.nulls(len(of), pa.list_(t)) for t in (pa.int64(), pa.int32(), pa.int32())]
+            none = [pa.nulls(len(of), pa.list_(t)) for t in (pa.int64(), pa.int32())]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(at), part.column(1).take(at), first, last, part.column(3).take(at), s_first, s_last, pa.array([r[4] for r in out], pa.float64()), *none], names
             )
@@ -519,17 +552,43 @@ def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
     both = cut.join(members, "a").select("a", "id", "text", "source_id", "regions")
     return both.mapInArrow(
         verify,
-        f"key long, id {id_type}, first_word int, last_word int, source_id {id_type}, source_first_word int, source_last_word int, similarity double, runs array<long>, places array<int>, lengths array<int>",
+        f"key long, id {id_type}, first_word int, last_word int, source_id {id_type}, source_first_word int, source_last_word int, similarity double, runs array<long>, places array<int>",
     )
 
 
-def _shared_runs(unverified: DataFrame, min_words: int) -> DataFrame:
-    """Joined intervals (a, b, diagonal, low, high) of rows (key, runs, places, lengths) with the first row that has the same run."""
-    runs = unverified.select("key", F.explode(F.arrays_zip("runs", "places", "lengths")).alias("r")).select(F.col("r.runs").alias("run"), "key", F.col("r.places").alias("place"), F.col("r.lengths").alias("length"))
+def _shared(runs: DataFrame) -> DataFrame:
+    """Rows (run, key, place, ...) whose run another document has too, with the first such document and its place (b, at)."""
     firsts = runs.groupBy("run").agg(F.min(F.struct("key", "place")).alias("first"), F.max("key").alias("last_key")).where(F.col("first.key") < F.col("last_key"))
     firsts = checkpointed(firsts.select("run", F.col("first.key").alias("b"), F.col("first.place").alias("at")))
-    shared = salted_join(runs.join(firsts.select("run"), "run", "left_semi"), firsts, "run", F.col("key")).where("key <> b")
-    wider = F.lit(min_words - SHINGLE + 1) - F.col("length")  # a passage that holds a run reaches so far on either side
+    return salted_join(runs, firsts, "run", F.col("key"))
+
+
+def _runs_again(rows: DataFrame, unverified: DataFrame, min_words: int) -> DataFrame:
+    """Joined intervals (a, b, diagonal, low, high) of the documents that share a chosen run: by all runs around it.
+
+    unverified: rows (key, runs, places). Runs of a whole passage are exact passages; the shorter ones lead to those with edits.
+    """
+    width = min_words - SHINGLE + 1
+    chosen = checkpointed(unverified.select("key", F.explode(F.arrays_zip("runs", "places")).alias("r")).select(F.col("r.runs").alias("run"), "key", F.col("r.places").alias("place")))
+    places = checkpointed(_shared(chosen).groupBy("key").agg(F.collect_set("place").alias("places")))
+    texts = _only(rows, "key", places).join(places, "key").select("key", "text", "places")
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, shingles in _with_shingles(batches, 0, 1):
+            for key, known, near in zip(part.column(0).to_pylist(), shingles, part.column(2).to_pylist()):
+                mark = np.zeros(len(known) + 1, np.int32)
+                near = np.array(near)
+                np.add.at(mark, np.maximum(near - width, 0), 1)
+                np.add.at(mark, np.minimum(near + width, len(known)), -1)
+                inside = np.cumsum(mark)[:-1] > 0
+                for size in (width, _short_run(min_words)):
+                    at = np.flatnonzero(inside[: max(len(known) - size + 1, 0)])
+                    columns = [_run_hashes(known, at, size).view(np.int64), np.full(len(at), key), at.astype(np.int32), np.full(len(at), size, np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "key", "place", "length"])
+
+    runs = checkpointed(texts.mapInArrow(around, "run long, key long, place int, length int"))
+    shared = _shared(runs).where("key <> b")
+    wider = F.lit(width) - F.col("length")  # a passage that holds a run reaches so far on either side
     low, high = F.col("place") - wider, F.col("place") + F.col("length") - 1 + wider
     return shared.select(F.col("key").alias("a"), "b", (F.col("place") - F.col("at")).alias("diagonal"), F.greatest(low, F.lit(0)).alias("low"), high.alias("high"))
 
@@ -541,8 +600,10 @@ def _found(rows: DataFrame, min_words: int, similarity: float, functions: int) -
     dealt = dealt.repartition(signature).sortWithinPartitions(signature, "key", "place")
     links = dealt.mapInArrow(_joined_intervals, "a long, b long, diagonal int, low int, high int")
     once = checkpointed(_passages(rows, _pairs(links), min_words, similarity))
-    again = _passages(rows, _pairs(_shared_runs(once.where("runs is not null"), min_words)), min_words, similarity)
-    return once.where("runs is null").union(again.where("runs is null")).drop("runs", "places", "lengths")
+    links = _runs_again(rows, once.where("runs is not null").select("key", "runs", "places"), min_words)
+    again = _passages(rows, _pairs(links), min_words, similarity)
+    # a pair of both rounds may have a passage twice
+    return once.where("runs is null").union(again.where("runs is null")).drop("runs", "places").distinct()
 
 
 def repeated_passages(

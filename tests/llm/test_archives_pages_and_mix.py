@@ -45,6 +45,23 @@ def test_archive_edges(spark, monkeypatch, broadcast):
     assert round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_half_of_the_pages_revisit_one(spark):
+    rows = [(i, "u", "x" * 2000 if i % 2 else f"{i} " * 400) for i in range(3000)]
+    got = round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 3000 and {r["refers_to"] for r in got if r["record_type"] == "revisit"} == {2999} and sum(r["record_type"] == "revisit" for r in got) == 1499
+    lost = warc.resolved_revisits(spark.createDataFrame([("r1", "revisit", 5, "none"), ("r2", "response", 6, None)], "record_id string, record_type string, page_id long, refers_to_record string"))
+    assert sorted((r["page_id"], r["refers_to"]) for r in lost.collect()) == [(5, None), (6, None)]
+    with pytest.raises(TypeError):
+        warc.write_arc(spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string"), shared_folder(spark, "t"))
+
+
+def test_names_that_only_begin_like_a_mark_hold_text():
+    page = '<article><p>%s</p><div class="ad-hoc"><p>An answer found for this one case alone.</p></div><p class="promo-free">Nothing is sold in this paragraph.</p>%s</article>'
+    text = "A paragraph of the article that is long enough. " * 4
+    marked = '<div class="ad-slot-2"><p>Buy this now, it is cheap.</p></div><div class="sidebar_left"><p>Other things.</p></div>'
+    assert html_text.main_text(page % (text, marked)) == f"{text.strip()} An answer found for this one case alone. Nothing is sold in this paragraph."
+
+
 def test_converter_reads_both_versions():
     for version in (1, 2):
         extra = "" if version == 1 else " 200 - - 0 f"

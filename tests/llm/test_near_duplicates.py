@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from dataloom.llm import passages, queries, simhash
-from dataloom.llm.common import LOWER_BY_SPACE, mix, min_label_components, shingle_hashes
+from dataloom.llm.common import LOWER_BY_SPACE, min_label_components, mix, shingle_hashes, word_hashes
 
 
 def brute_print(text):
@@ -163,6 +163,34 @@ def test_near_passages_in_a_large_group_with_a_common_line(spark):
     assert len(pairs) >= 190
 
 
+@pytest.mark.parametrize("fillers, line, left, right, edits", [(600, 44, 3, 3, 0), (600, 47, 2, 2, 0), (600, 36, 7, 7, 0), (600, 30, 13, 13, 1), (600, 47, 4, 4, 1), (600, 36, 30, 30, 2), (5000, 40, 8, 7, 1)])
+def test_passages_around_a_frequent_line(spark, fillers, line, left, right, edits):
+    """200 pairs share a frequent line and few words of their own beside it; the line alone is no passage."""
+    rng, number = random.Random(1), iter(range(10**9))
+    fresh = lambda n: [f"w{next(number)}" for _ in range(n)]
+    pad = lambda: fresh(rng.randrange(10, 40))
+    common = [f"line{i}" for i in range(line)]
+    texts = []
+    for _ in range(200):
+        one = fresh(left) + common + fresh(right)
+        other = list(one)
+        for _ in range(edits):
+            other[rng.randrange(len(other))] = "changed"
+        texts += [pad() + x + pad() for x in (one, other)]
+    texts += [pad() + common + pad() for _ in range(fillers)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    confirmed = set()
+    for i in range(0, 400, 2):
+        a, b = (shingle_hashes(word_hashes([" ".join(texts[j]).encode()])[0], 5).astype(np.uint32) for j in (i, i + 1))
+        if passages.common_passages(a, b, 50, 0.8):
+            confirmed.add(tuple(sorted((order[i], order[i + 1]))))
+    assert len(confirmed) > 190
+    found = passages.repeated_passages(documents(spark, [doc(order[i], " ".join(t)) for i, t in enumerate(texts)])).collect()
+    pairs = {(r["source_id"], r["doc_id"]) for r in found}
+    assert len(confirmed & pairs) >= (0.99 if not edits else 0.95) * len(confirmed)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.integers(0, 10**6))
 def test_planted_near_passages(spark, seed):
