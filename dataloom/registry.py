@@ -659,8 +659,8 @@ def f22_prose_problem(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.prose_problem(F.col("text")).alias("problem"))
 
 
-RATIONALES_SQL = """SELECT conv_id, CASE WHEN min(ok) THEN count(*) ELSE 0 END AS n FROM (
-  SELECT conv_id, len(regexp_extract_all(text, '[\\p{L}\\p{M}]+|\\p{N}+|[^\\s\\p{L}\\p{M}\\p{N}]')) BETWEEN 20 AND 400 AND NOT contains(text, '```') AND NOT regexp_matches(text, '^\\s*[{\\[]') AS ok
+RATIONALES_SQL = """SELECT conv_id, CASE WHEN min(ok) THEN count(*) ELSE 0 END AS n, CASE WHEN min(ok) THEN md5(string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '|' ORDER BY turn)) END AS digest FROM (
+  SELECT conv_id, turn, text, len(regexp_extract_all(text, '[\\p{L}\\p{M}]+|\\p{N}+|[^\\s\\p{L}\\p{M}\\p{N}]')) BETWEEN 20 AND 400 AND NOT contains(text, '```') AND NOT regexp_matches(text, '^\\s*[{\\[]') AS ok
   FROM conversations WHERE role = 'assistant') GROUP BY 1"""
 
 
@@ -670,7 +670,7 @@ def f24_rationales(spark, sf_dir):
     answer = F.array_join(F.transform(spoken, lambda t, i: F.concat(F.lit("=== TURN "), (i + 1).cast("string"), F.lit(" ===\n"), t["text"])), "\n")
     rows = conversations(spark, sf_dir).where(F.size(spoken) > 0)
     found = text.rationales(F.concat(F.lit("<think>plan</think>Preamble\n"), answer), F.size(spoken))
-    return rows.select("conv_id", F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
+    return rows.select("conv_id", F.coalesce(F.size(found), F.lit(0)).cast("long").alias("n"), F.md5(F.array_join(found, "|")).alias("digest")).withColumn("n", F.greatest("n", F.lit(0)))
 
 
 @query("SELECT doc_id, greatest(n_chars, CAST(floor(n_chars * (doc_id % 5 + 1) / 2.0) AS BIGINT) + 256) AS budget FROM documents")
@@ -722,16 +722,20 @@ def f35_event_messages(spark, sf_dir):
     return e.select("event_id", events.message_of(kind, meta).alias("message"), events.level_of(kind).alias("level"))
 
 
-@query("SELECT page_id, CAST(len(string_split(html, '<p>')) AS BIGINT) AS n_segments, CAST(len(string_split(html, '<p>')) // 2 AS BIGINT) AS n_code FROM pages")
+@query("SELECT page_id, CAST(len(string_split(html, '<p>')) AS BIGINT) AS n_segments, CAST(len(string_split(html, '<p>')) // 2 AS BIGINT) AS n_code, md5(array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i % 2 = 1 THEN 'text::' || p[i] WHEN contains(p[i], chr(10)) THEN 'code:' || split_part(p[i], chr(10), 1) || ':' || substr(p[i], strpos(p[i], chr(10)) + 1) ELSE 'code:' || p[i] || ':' END), '|')) AS digest FROM (SELECT *, string_split(html, '<p>') AS p FROM pages)")
 def f36_code_segments(spark, sf_dir):
     parts = text.code_segments(F.replace("html", F.lit("<p>"), F.lit("```")))
-    return table(spark, sf_dir, "pages").select("page_id", F.size(parts).cast("long").alias("n_segments"), F.size(F.filter(parts, lambda p: p["kind"] == "code")).cast("long").alias("n_code"))
+    told = F.transform(parts, lambda p: F.concat_ws(":", p["kind"], p["language"], p["body"]))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(parts).cast("long").alias("n_segments"), F.size(F.filter(parts, lambda p: p["kind"] == "code")).cast("long").alias("n_code"), F.md5(F.array_join(told, "|")).alias("digest"))
 
 
-@query("""SELECT conv_id, CAST(count(*) + count(*) FILTER (role = 'assistant' AND n <= 2) AS BIGINT) AS n_turns
+@query("""SELECT conv_id, CAST(count(*) + count(*) FILTER (role = 'assistant' AND n <= 2) AS BIGINT) AS n_turns,
+  md5(string_agg(CASE WHEN role = 'assistant' AND n <= 2 THEN 'reasoning:' || chr(96 + n::INT) || '|' ELSE '' END || role || ':' || text, '|' ORDER BY turn)) AS digest
 FROM (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY 1""")
 def f46_interleaved_reasoning(spark, sf_dir):
-    return conversations(spark, sf_dir).select("conv_id", F.size(codec.interleaved_reasoning(F.col("turns"), F.array(F.lit("a"), F.lit("b")))).cast("long").alias("n_turns"))
+    shown = codec.interleaved_reasoning(F.col("turns"), F.array(F.lit("a"), F.lit("b")))
+    told = F.transform(shown, lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return conversations(spark, sf_dir).select("conv_id", F.size(shown).cast("long").alias("n_turns"), F.md5(F.array_join(told, "|")).alias("digest"))
 
 
 @query("""SELECT s_suppkey, concat_ws(' · ', s_name, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey || ' ms' END, CASE WHEN s_suppkey % 2 > 0 THEN '99 %' END) AS label FROM supplier""")

@@ -165,11 +165,15 @@ def f16_recounted_tokens(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.recounted_tokens(raw, F.col("n_chars"), F.col("doc_id") % 3 == 1).alias("tokens"))
 
 
-@query("SELECT conv_id, count(*) AS n, CAST(max(turn) + 1 AS INTEGER) AS last_number FROM conversations GROUP BY 1")
+STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(f"""SELECT conv_id, count(*) AS n, CAST(max(turn) + 1 AS INTEGER) AS last_number, md5(string_agg(turn + 1 || ':' || {STRIPPED}, '|' ORDER BY turn)) AS digest FROM conversations GROUP BY 1""")
 def f23_turn_sections(spark, sf_dir):
     marked = F.array_join(F.transform("turns", lambda t, i: F.concat(F.lit("=== Turn "), (i + 1).cast("string"), F.lit(" ===\n"), t["text"])), "\n")
     sections = text.turn_sections(F.concat(F.lit("before\n"), marked))
-    return conversations(spark, sf_dir).select("conv_id", F.size(sections).cast("long").alias("n"), F.try_element_at(sections, F.lit(-1))["number"].alias("last_number"))
+    told = F.transform(sections, lambda x: F.concat(x["number"].cast("string"), F.lit(":"), x["body"]))
+    return conversations(spark, sf_dir).select("conv_id", F.size(sections).cast("long").alias("n"), F.try_element_at(sections, F.lit(-1))["number"].alias("last_number"), F.md5(F.array_join(told, "|")).alias("digest"))
 
 
 @query("""SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity, CAST(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) * 100) AS INTEGER) AS percent
@@ -198,10 +202,14 @@ def f39_topic_prompts(spark, sf_dir):
     return n.select("n_nationkey", prompt.alias("topics"))
 
 
-@query("""SELECT conv_id, max(turn) FILTER (role = 'user') AS hinted FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, max(turn) FILTER (role = 'user') AS hinted,
+  md5(string_agg(role || ':' || text || CASE WHEN turn = last_user THEN chr(10) || chr(10) || 'Keep the answer within 300 tokens.' ELSE '' END, '|' ORDER BY turn)) AS digest
+FROM (SELECT *, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last_user FROM conversations) GROUP BY 1""")
 def f40_brevity_hint(spark, sf_dir):
     hinted = text.with_brevity_hint(F.col("turns"), 300)
-    return conversations(spark, sf_dir).select("conv_id", F.array_max(F.transform(hinted, lambda t, i: F.when(t["text"].endswith("300 tokens."), i.cast("long")))).alias("hinted"))
+    at = F.array_max(F.transform(hinted, lambda t, i: F.when(t["text"].endswith("300 tokens."), i.cast("long"))))
+    told = F.transform(hinted, lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    return conversations(spark, sf_dir).select("conv_id", at.alias("hinted"), F.md5(F.array_join(told, "|")).alias("digest"))
 
 
 @query("""SELECT s_nationkey, 5 AS n, concat_ws(',', string_agg(s_name, ',' ORDER BY s_suppkey) FILTER (place <= 5),
@@ -250,13 +258,16 @@ def l02_merge_jobs(spark, sf_dir):
     return pipelines.merge_jobs(jobs, ex, ["src2", "src1"], "m").select("id", "seq", "category", "source_job_id", F.md5("text").alias("digest"))
 
 
-@query("""SELECT conv_id, CASE WHEN conv_id % 10 < 8 THEN count(*) FILTER (role = 'assistant' AND n <= 1 AND (conv_id % 10 <> 6 OR turn = least_turn)) ELSE 0 END AS thoughts
+@query("""SELECT conv_id, CASE WHEN conv_id % 10 < 8 THEN count(*) FILTER (role = 'assistant' AND n <= 1 AND (conv_id % 10 <> 6 OR turn = least_turn)) ELSE 0 END AS thoughts,
+  CASE WHEN conv_id % 10 < 8 THEN md5(string_agg(role || ':' || CASE WHEN role = 'assistant' AND n <= 1 THEN '<think>' || chr(10) || 'why' || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || text, '|' ORDER BY turn) FILTER (conv_id % 10 <> 6 OR turn = least_turn)) END AS digest
 FROM (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS n, min(turn) OVER (PARTITION BY conv_id) AS least_turn FROM conversations) GROUP BY 1""")
 def l07_exported_lines(spark, sf_dir):
     """Malformed content has no line to think in."""
     rows = conversations(spark, sf_dir).select(F.col("conv_id").alias("seq"), "content_json", "format", F.lit('["why"]').alias("reasoning"))
     thoughts = F.coalesce(F.regexp_count("line", F.lit("<think>")), F.lit(0)).cast("long")
-    return io.jsonl_lines(rows, "inline").select(F.col("seq").alias("conv_id"), thoughts.alias("thoughts"))
+    turns = F.from_json("line", "messages array<struct<role string, content string>>")["messages"]
+    told = F.transform(turns, lambda t: F.concat(t["role"], F.lit(":"), t["content"]))
+    return io.jsonl_lines(rows, "inline").select(F.col("seq").alias("conv_id"), thoughts.alias("thoughts"), F.md5(F.array_join(told, "|")).alias("digest"))
 
 
 @query(f"""SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN {_byte("'example|' || text || '|1'", 1)} % 8 > 0 THEN 'ok' ELSE 'too_few_turns' END AS reason,
