@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import CHUNK_BYTES, checkpointed, hashed_sample, keyed, mix, salted_join, shingle_hashes, text_slices, unused, word_hashes
+from dataloom.llm.common import CHUNK_BYTES, checkpointed, hashed_sample, keyed, mix, salted_join, shared_folder, shingle_hashes, text_slices, unused, word_hashes
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -63,7 +63,7 @@ MARGIN = 16
 BROADCAST_KEYS = 4_000_000
 
 #: Of so many runs that follow one another one is chosen.
-CHOICE = 6
+CHOICE = 10
 
 #: Shingles from the centre to those that name the near classes.
 NEAR = SHINGLE - 1
@@ -402,21 +402,28 @@ def _may_share(mine: list[np.ndarray], theirs: list[np.ndarray], width: int, lea
 _REGION = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("source_begin", pa.int32()), ("source", pa.binary())])
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: columnar files take a fraction of a checkpoint's room."""
+    folder = shared_folder(rows.sparkSession, "passages")
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
 def _only(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key is in column `column` of `wanted`; all rows, where these keys are too many to be broadcast.
+    """The rows whose `column` is in that of `wanted`; all rows, where its values are too many to be broadcast.
 
-    What follows joins the rows by that key anyhow: this only saves moving texts that the join would drop.
+    What follows joins the rows by that column anyhow: this only saves moving rows that the join would drop.
     """
-    keys = wanted.select(F.col(column).alias("key")).distinct()
+    keys = wanted.select(column).distinct()
     if keys.limit(BROADCAST_KEYS + 1).count() > BROADCAST_KEYS:
         return rows
-    return rows.join(F.broadcast(keys), "key", "left_semi")
+    return rows.join(F.broadcast(keys), column, "left_semi")
 
 
 def _pairs(links: DataFrame) -> DataFrame:
     """Rows (a, b, regions) of joined intervals (a, b, diagonal, low, high)."""
     merged = links.repartition("a", "b").groupBy("a", "b", "diagonal").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return checkpointed(merged.groupBy("a", "b").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("regions")))
+    return _written(merged.groupBy("a", "b").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("regions")))
 
 
 def _run_hashes(shingles: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -545,10 +552,12 @@ def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
         if lost.key is not None and (batch := unverified()).num_rows:
             yield batch
 
-    sources = _only(rows, "b", pairs).select(F.col("key").alias("b"), "text", F.col("id").alias("source_id"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
+    texts = _only(rows.select("key", "text", "id"), "key", ends)  # moved once for both joins
+    sources = texts.select(F.col("key").alias("b"), "text", F.col("id").alias("source_id"))
     with_source = pairs.join(sources, "b").select("a", "b", "text", "regions", "source_id")
     cut = with_source.mapInArrow(cut_source, f"a long, source_id {id_type}, regions array<struct<begin:int,end:int,source_begin:int,source:binary>>")
-    members = _only(rows, "a", pairs).select(F.col("key").alias("a"), "text", "id")
+    members = texts.select(F.col("key").alias("a"), "text", "id")
     both = cut.join(members, "a").select("a", "id", "text", "source_id", "regions")
     return both.mapInArrow(
         verify,
@@ -560,7 +569,7 @@ def _shared(runs: DataFrame) -> DataFrame:
     """Rows (run, key, place, ...) whose run another document has too, with the first such document and its place (b, at)."""
     firsts = runs.groupBy("run").agg(F.min(F.struct("key", "place")).alias("first"), F.max("key").alias("last_key")).where(F.col("first.key") < F.col("last_key"))
     firsts = checkpointed(firsts.select("run", F.col("first.key").alias("b"), F.col("first.place").alias("at")))
-    return salted_join(runs, firsts, "run", F.col("key"))
+    return salted_join(_only(runs, "run", firsts), firsts, "run", F.col("key"))
 
 
 def _runs_again(rows: DataFrame, unverified: DataFrame, min_words: int) -> DataFrame:
@@ -569,7 +578,7 @@ def _runs_again(rows: DataFrame, unverified: DataFrame, min_words: int) -> DataF
     unverified: rows (key, runs, places). Runs of a whole passage are exact passages; the shorter ones lead to those with edits.
     """
     width = min_words - SHINGLE + 1
-    chosen = checkpointed(unverified.select("key", F.explode(F.arrays_zip("runs", "places")).alias("r")).select(F.col("r.runs").alias("run"), "key", F.col("r.places").alias("place")))
+    chosen = unverified.select("key", F.explode(F.arrays_zip("runs", "places")).alias("r")).select(F.col("r.runs").alias("run"), "key", F.col("r.places").alias("place"))
     places = checkpointed(_shared(chosen).groupBy("key").agg(F.collect_set("place").alias("places")))
     texts = _only(rows, "key", places).join(places, "key").select("key", "text", "places")
 
@@ -586,7 +595,7 @@ def _runs_again(rows: DataFrame, unverified: DataFrame, min_words: int) -> DataF
                     columns = [_run_hashes(known, at, size).view(np.int64), np.full(len(at), key), at.astype(np.int32), np.full(len(at), size, np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "key", "place", "length"])
 
-    runs = checkpointed(texts.mapInArrow(around, "run long, key long, place int, length int"))
+    runs = _written(texts.mapInArrow(around, "run long, key long, place int, length int"))
     shared = _shared(runs).where("key <> b")
     wider = F.lit(width) - F.col("length")  # a passage that holds a run reaches so far on either side
     low, high = F.col("place") - wider, F.col("place") + F.col("length") - 1 + wider
@@ -599,7 +608,7 @@ def _found(rows: DataFrame, min_words: int, similarity: float, functions: int) -
     signature = F.shiftright("value", 16)
     dealt = dealt.repartition(signature).sortWithinPartitions(signature, "key", "place")
     links = dealt.mapInArrow(_joined_intervals, "a long, b long, diagonal int, low int, high int")
-    once = checkpointed(_passages(rows, _pairs(links), min_words, similarity))
+    once = _written(_passages(rows, _pairs(links), min_words, similarity))
     links = _runs_again(rows, once.where("runs is not null").select("key", "runs", "places"), min_words)
     again = _passages(rows, _pairs(links), min_words, similarity)
     # a pair of both rounds may have a passage twice
