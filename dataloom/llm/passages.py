@@ -426,12 +426,21 @@ def _pairs(links: DataFrame) -> DataFrame:
     return _written(merged.groupBy("a", "b").agg(F.collect_list(F.struct("diagonal", "low", "high")).alias("regions")))
 
 
-def _run_hashes(shingles: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` shingles from each place."""
-    hashes = np.full(len(at), size, np.uint64)
-    for j in range(size):
-        hashes = hashes * np.uint64(0xD6E8FEB86659FD93) + shingles[at + j].astype(np.uint64)
-    return mix(hashes)
+def _run_hashes(shingles: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` shingles from each place, from those of runs of 1, 2, 4, ... shingles."""
+    n = len(shingles) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    level, have, used, out = mix(shingles.astype(np.uint64) + np.uint64(size)), 1, 0, None
+    while used < size:
+        if size & have:
+            part = level[used : used + n]
+            out = part if out is None else out * np.uint64(0xD6E8FEB86659FD93) + part
+            used += have
+        if used < size:
+            level = level[:-have] * np.uint64(0x9E3779B97F4A7C15) + level[have:]
+            have *= 2
+    return mix(out)
 
 
 class _Unverified:
@@ -465,13 +474,17 @@ class _Unverified:
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """(hash, place) of the chosen runs in regions that lie in no passage found."""
         open_ = self._open(self.size)
+        if not open_.any() and not self.found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
         # and those within a run of a whole passage that reaches out of what was found
         long = np.cumsum(np.concatenate(([0], self._open(self.width))))
         reach = self.width - self.size
         q = np.arange(len(open_))
         low, high = np.clip(q - reach, 0, len(long) - 1), np.clip(q + 1, 0, len(long) - 1)
         at = np.flatnonzero(open_ | (long[high] > long[low]))
-        hashes = _run_hashes(self.shingles, at, self.size)
+        if not len(at):
+            return np.empty(0, np.int64), at
+        hashes = _run_hashes(self.shingles, self.size)[at]
         keys = (hashes & ~_POS) | np.arange(len(at), dtype=np.uint64)
         chosen = [np.empty(0, np.uint64)]
         for part in np.split(keys, np.flatnonzero(np.diff(at) > 1) + 1):
@@ -592,7 +605,7 @@ def _runs_again(rows: DataFrame, unverified: DataFrame, min_words: int) -> DataF
                 inside = np.cumsum(mark)[:-1] > 0
                 for size in (width, _short_run(min_words)):
                     at = np.flatnonzero(inside[: max(len(known) - size + 1, 0)])
-                    columns = [_run_hashes(known, at, size).view(np.int64), np.full(len(at), key), at.astype(np.int32), np.full(len(at), size, np.int32)]
+                    columns = [_run_hashes(known, size)[at].view(np.int64), np.full(len(at), key), at.astype(np.int32), np.full(len(at), size, np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "key", "place", "length"])
 
     runs = _written(texts.mapInArrow(around, "run long, key long, place int, length int"))
