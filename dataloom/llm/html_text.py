@@ -66,7 +66,13 @@ MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar nav navbar navigation breadcrumb "
     "breadcrumbs cookie cookies consent newsletter subscribe subscription comments disqus pagination contentinfo complementary".split()
 )
-#: The same, whole or at the begin, outside an article or main element only; within one their links do not count.
+#: Words that may follow such a name after a hyphen: 'ad-slot' is one of these names, 'ad-hoc' and 'promo-free' are not.
+_PARTS = frozenset(
+    "area banner bar block body bottom box button center column container content count footer form frame group header icon inner item items label left "
+    "line link links list main menu message modal notice outer panel popup primary rail right row section sidebar signup slot space strip text thread title top "
+    "trail unit widget wrap wrapper zone".split()
+)
+#: The same as MARKS, whole or at the begin, outside an article or main element only; within one their links do not count.
 OUTER_MARKS = frozenset(
     "header footer masthead copyright banner menu notice notices alert share sharing social comment related recommended popup modal widget "
     "toolbar login signup search".split()
@@ -111,7 +117,8 @@ def _marked(names: list[str]) -> tuple[bool, bool]:
     sure = doubtful = False
     for name in names:
         parts = re.split(r"[-_]+", name)
-        sure |= parts[0] in MARKS or (parts[-1] in MARKS and parts[0] not in ("has", "no", "with", "without"))
+        sure |= parts[0] in MARKS and all(p in _PARTS or p in MARKS or not p.isalpha() for p in parts[1:])
+        sure |= parts[-1] in MARKS and parts[0] not in ("has", "no", "with", "without")
         doubtful |= name in OUTER_MARKS or (len(parts) > 1 and parts[0] in OUTER_MARKS) or (len(parts) > 1 and parts[-1] in OUTER_MARKS)
     return sure, doubtful
 

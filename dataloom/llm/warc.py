@@ -11,7 +11,8 @@ is the response; the others become revisit records, which refer to it and hold t
 Archives are written by Spark's text writer (a record and its separator are UTF-8 text) as gzip files in a folder
 that the cluster shares, and read back as whole files, which the writer's partitions keep bounded.
 
-Null html counts as an empty payload, a null URL as `urn:unknown`, a null page id as the least one. Repeated rows are
+Null html counts as an empty payload, a null URL as `urn:unknown`, a null page id as the least one; page ids of
+another type than whole numbers are refused. Repeated rows are
 records of their own. White space and control characters in a URL are percent-encoded. An empty table gives
 archives without records and an empty result. Columns other than those named are not read.
 """
@@ -124,6 +125,9 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000") -> No
                 out.append(line + head + html)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
+    kind = pages.schema["page_id"].dataType.simpleString()
+    if kind not in ("bigint", "int", "smallint", "tinyint"):
+        raise TypeError(f"page_id is {kind}; archives name pages by whole numbers")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "value string")
     rows.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
@@ -287,6 +291,13 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resolved_revisits(records: DataFrame) -> DataFrame:
-    """Adds refers_to, the page id of the record that a revisit refers to."""
-    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
-    return records.join(originals, "refers_to_record", "left")
+    """Adds refers_to, the page id of the record that a revisit refers to; null for responses, and where that record is not there.
+
+    Responses are not joined; revisits are, salted, as one payload may have any number of them.
+    """
+    records = checkpointed(records)  # narrow rows, without payloads
+    responses, revisits = records.where("record_type = 'response'"), records.where("record_type = 'revisit'")
+    originals = responses.select(F.col("record_id").alias("refers_to_record"), F.col("page_id").alias("refers_to"))
+    found = salted_join(revisits, originals, "refers_to_record", F.col("record_id"))
+    others = responses.union(revisits.join(originals, "refers_to_record", "left_anti").select(*records.columns))
+    return found.select(*records.columns, "refers_to").union(others.withColumn("refers_to", F.lit(None).cast("long")))
