@@ -59,8 +59,8 @@ BATCH = 200_000
 #: Words around joined intervals that are compared too: these hold the passage, but for a shift by words put in or left out.
 MARGIN = 16
 
-#: Keys of documents that are broadcast to keep the texts of all others from being moved (8 bytes each).
-BROADCAST_KEYS = 4_000_000
+#: Keys that are broadcast, at most, to keep the rows of all others from being moved (some 50 bytes each as a hash table).
+BROADCAST_KEYS = 1_000_000
 
 #: Of so many runs that follow one another one is chosen.
 CHOICE = 10
