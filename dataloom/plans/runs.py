@@ -85,8 +85,10 @@ def generation(
     figures = run.figures
     figures.refresh()
     lines = dual_sink.export(examples, run.lines) if not examples.isEmpty() else 0
-    counts = examples.agg(F.count("*").alias("examples")).crossJoin(log.agg(F.count("*").alias("attempts")))  # two rows of totals
-    return counts.crossJoin(spent).crossJoin(maintained.snapshot(figures.read(), threshold)).withColumn("lines", F.lit(lines))
+    # a row of totals
+    cost_row, stats = spent.first(), maintained.snapshot(figures.read(), threshold).first()
+    totals = (examples.count(), log.count(), cost_row["actual_cost"], cost_row["judge_cost"], stats["stats_json"], lines)
+    return run.spark.createDataFrame([totals], "examples long, attempts long, actual_cost double, judge_cost double, stats_json string, lines long")
 
 
 def reasoning(run: Run, source: DataFrame, job_id: str, factory: Callable = StubClient, threshold: int = 80, **options) -> DataFrame:

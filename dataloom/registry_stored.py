@@ -125,9 +125,9 @@ def l01_run(spark, sf_dir):
     prices = spark.createDataFrame(PRICES, "model string, prompt_price double, completion_price double")
     judges = spark.createDataFrame([], "category string, judge_prompt_price double, judge_completion_price double")
     run = runs.Run(spark, _folder(spark, "run"))
-    totals = runs.generation(run, "j", categories, prices, judges)
+    totals = runs.generation(run, "j", categories, prices, judges).first()
     rows = run.examples.read().select("seq", "category", F.md5("content_json").alias("digest"), "judge_score", "completion_tokens")
-    return rows.crossJoin(F.broadcast(totals.select("attempts", F.col("lines").cast("long").alias("lines"))))  # one row
+    return rows.withColumns({c: F.lit(totals[c]).cast("long") for c in ("attempts", "lines")})
 
 
 @query(f"""SELECT CAST(item_id AS VARCHAR) AS id, CASE WHEN item_id % 5 = 0 THEN 'local' ELSE 'p' || item_id % 3 END AS provider,
