@@ -103,6 +103,11 @@ def http_head(page_id, payload_bytes: int) -> str:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{name}Content-Length: {payload_bytes}\r\n\r\n"
 
 
+def _write_gzip(rows: DataFrame, folder: str, separator: str) -> None:
+    """Records as gzip files, by zlib's fastest level: the default one takes most of the work's time."""
+    rows.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(folder)
+
+
 def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000") -> None:
     """Writes one ARC file per partition; files of even partitions have version 1, the others version 2."""
 
@@ -129,7 +134,7 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000") -> No
     if kind not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError(f"page_id is {kind}; archives name pages by whole numbers")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "value string")
-    rows.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
+    _write_gzip(rows, folder, "\n")
 
 
 def arc_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -241,7 +246,7 @@ def arc_to_warc(spark: SparkSession, arc_folder: str, warc_folder: str, revisit_
                 out.append("\r\n".join([*lines, f"Content-Length: {len(data)}", "", block]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    rows.mapInArrow(run, "value string").write.option("lineSep", SEPARATOR).option("compression", "gzip").text(warc_folder)
+    _write_gzip(rows.mapInArrow(run, "value string"), warc_folder, SEPARATOR)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

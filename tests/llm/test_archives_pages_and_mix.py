@@ -3,6 +3,7 @@ import html
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import pytest
@@ -55,6 +56,17 @@ def test_half_of_the_pages_revisit_one(spark):
         warc.write_arc(spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string"), shared_folder(spark, "t"))
 
 
+def test_archives_are_compressed_by_the_fastest_level(spark, sf_dir):
+    """Also those of the second step; a file is as large as zlib makes it at that level, and larger than at the default one."""
+    folder = shared_folder(spark, "t")
+    warc.write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{folder}/arc")
+    warc.arc_to_warc(spark, f"{folder}/arc", f"{folder}/warc")
+    for kind in ("arc", "warc"):
+        files = [r["content"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(f"{folder}/{kind}").select("content").collect()]
+        size, fast, default = (sum(map(len, x)) for x in (files, *([zlib.compress(gzip.decompress(f), level) for f in files] for level in (1, 6))))
+        assert default < fast and abs(size - fast) < 0.02 * fast
+
+
 def test_names_that_only_begin_like_a_mark_hold_text():
     page = '<article><p>%s</p><div class="ad-hoc"><p>An answer found for this one case alone.</p></div><p class="promo-free">Nothing is sold in this paragraph.</p>%s</article>'
     text = "A paragraph of the article that is long enough. " * 4
