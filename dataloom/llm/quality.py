@@ -35,6 +35,8 @@ SAMPLE_ROWS = 10_000
 HASH_BITS, WORD_FEATURES, PREFIXES = 24, 512, (4, 6, 8)
 #: As how many votes the labels' hit rate, taken beforehand, counts.
 TRUST, TRUSTED_HITS = 1000, 0.97
+#: Rows that the driver, when it fits the scorers, holds as wide numbers at once.
+FIT_ROWS = 1024
 #: Parts of the labels that word lists are mined from, one each; the evidence (chi-square, log ratio) that a listed word needs.
 PARTS, LEAST_CHI, LEAST_RATIO = 3, 25.0, 2.5
 
@@ -107,13 +109,20 @@ def expectation_maximisation(
 
 
 def logistic(x: np.ndarray, target: np.ndarray, counts: np.ndarray, ridge: float = 0.3, rounds: int = 15) -> np.ndarray:
-    """Weights (the last one the intercept) by Newton's method; targets are probabilities of rows that count so often."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+    """Weights (the last one the intercept) by Newton's method; targets are probabilities of rows that count so often.
+
+    Sums are taken over blocks of `FIT_ROWS` rows, so that x may be of bytes and no copy of it in wider numbers is held.
+    """
+    w, penalty = np.zeros(x.shape[1] + 1), np.full(x.shape[1] + 1, ridge)
     penalty[-1] = 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (counts * (p * (1 - p) + 1e-6))[:, None]).T @ x + np.diag(penalty), x.T @ (counts * (target - p)) - penalty * w)
+        curve, slope = np.diag(penalty), -penalty * w
+        for at in range(0, len(x), FIT_ROWS):
+            block = np.column_stack([x[at : at + FIT_ROWS], np.ones(len(x[at : at + FIT_ROWS]))])
+            n, p = counts[at : at + FIT_ROWS], 1 / (1 + np.exp(-np.clip(block @ w, -30, 30)))
+            slope += block.T @ (n * (target[at : at + FIT_ROWS] - p))
+            curve += (block * (n * (p * (1 - p) + 1e-6))[:, None]).T @ block
+        step = np.linalg.solve(curve, slope)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-4:
             break
@@ -283,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array(has, pa.binary()), batch.column(at), batch.column(2), batch.column(4)], ["has", "votes", "shape", "n"])
 
         rows = voted.mapInArrow(bits, "has binary, votes binary, shape binary, n long").groupBy("has", "votes", "shape").agg(F.sum("n").alias("n")).toPandas()
-        x = np.zeros((len(rows), len(words) + len(SHAPES)), np.float32)
+        x = np.zeros((len(rows), len(words) + len(SHAPES)), np.int8)
         if len(words):
             x[:, : len(words)] = np.unpackbits(np.array([np.frombuffer(h, np.uint8) for h in rows["has"]]), axis=1)[:, : len(words)]
         if kind == "low":

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from edges import LONG, doc, documents
 from pyspark.sql import functions as F
@@ -57,6 +59,21 @@ def test_expectation_maximisation_finds_accuracies():
     assert ((p > 0.5) == truth).mean() > 0.93
 
 
+def test_driver_fits_in_blocks():
+    """As many rows and places as a fit may have, as bytes: a copy of them in wide numbers alone is 83 MB. Weights equal those of all rows at once."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((20_000, 519), np.float32) < 0.05).astype(np.int8)
+    target, counts = np.clip(x[:, 0] * 0.8 + rng.random(len(x)) * 0.2, 0, 1), rng.integers(1, 4, len(x)).astype(float)
+    tracemalloc.start()
+    quality.logistic(x, target, counts, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    few, w = np.column_stack([x[:3000], np.ones(3000)]).astype(float), quality.logistic(x[:3000], target[:3000], counts[:3000])
+    p = 1 / (1 + np.exp(-few @ w))
+    assert np.abs(few.T @ (counts[:3000] * (target[:3000] - p)) - np.append(np.full(519, 0.3), 1e-3) * w).max() < 1e-2  # the slope is 0 at the best weights
+
+
 def test_classifier_edges(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 1, 0, "x"), (1, None, None, "y"), (None, 0, 1, "z"), (5, 0, None, None)], "doc_id long, quality int, toxic int, text string")
