@@ -81,6 +81,22 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(x) - width + 1], out[width - have :][: len(x) - width + 1]) if have < width else out
 
 
+def _nearest(size: np.ndarray, step: int, outermost: np.ndarray, passes) -> np.ndarray:
+    """For each place the nearest one before or after (step) that is not passed, -1 if there is none up to the outermost.
+
+    What a place passes, those that pass it pass too: each goes on from a place to where that one has come, in few rounds.
+    """
+    at = np.where(outermost, -1, np.arange(step, len(size) + step))
+    going = (at >= 0).nonzero()[0]
+    while len(going):
+        there = at[going]
+        passed = passes(size[there], size[going])
+        going = going[passed]
+        at[going] = at[there[passed]]
+        going = going[at[going] >= 0]
+    return at
+
+
 def _extents(keys: np.ndarray, centres: np.ndarray, first: np.ndarray, last: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Left and right ends of the compact windows of `centres` (in text order).
 
@@ -88,20 +104,9 @@ def _extents(keys: np.ndarray, centres: np.ndarray, first: np.ndarray, last: np.
     A window that starts later than it could is stopped by a smaller hash right before it; else the next smaller
     hash is itself a centre, the parent in the Cartesian tree, and is looked for among the centres.
     """
-    n = len(centres)
-    smaller_before, smaller_after = [-1] * n, [-1] * n
-    stack: list[int] = []  # the right spine of the Cartesian tree so far
-    size, own, text = (keys[centres] >> np.uint64(1)).astype(np.int64).tolist(), begin.tolist(), None
-    for i in range(n):
-        if own[i] != text:
-            stack, text = [], own[i]
-        here = size[i]
-        while stack and size[stack[-1]] > here:
-            smaller_after[stack.pop()] = i
-        if stack:
-            smaller_before[i] = stack[-1]
-        stack.append(i)
-    before, after = np.array(smaller_before), np.array(smaller_after)
+    size, new = keys[centres] >> np.uint64(1), begin[1:] != begin[:-1]
+    before = _nearest(size, -1, np.append(True, new), np.greater)
+    after = _nearest(size, 1, np.append(new, True), np.greater_equal)
     parent_left = np.where(before >= 0, centres[before] + 1, begin)
     parent_right = np.where(after >= 0, centres[after] - 1, end - 1)
     left = np.where(first == centres - width + 1, parent_left, first)
@@ -148,8 +153,21 @@ def compact_windows(words: np.ndarray, offsets: np.ndarray, functions: int = FUN
         yield hashes[j][centres].view(np.int64), of, centres - begin, left - begin, right - begin, classes
 
 
-def _each_windows(batches: Iterator[pa.RecordBatch], functions: int, min_words: int) -> Iterator[np.ndarray]:
-    """(3, n) arrays of value, key and place, from batches (key, text).
+def _holding(words: np.ndarray, offsets: np.ndarray, wanted: np.ndarray, functions: int) -> np.ndarray:
+    """Which texts may have windows with the signatures `wanted`: those that have a shingle with that hash."""
+    shingles, mark = shingle_hashes(words, SHINGLE), np.zeros(len(words), bool)
+    begins = np.zeros(1 << 16, bool)
+    begins[wanted >> 32 & 0xFFFF] = True
+    for j in range(functions):
+        signatures = mix(shingles ^ _SEEDS[j]).view(np.int64) >> 16
+        at = begins[signatures >> 32 & 0xFFFF].nonzero()[0]
+        mark[at[np.isin(signatures[at], wanted)]] = True
+    total = np.concatenate(([0], mark.cumsum()))
+    return total[offsets[1:]] > total[offsets[:-1]]
+
+
+def _each_windows(batches: Iterator[pa.RecordBatch], functions: int, min_words: int, wanted: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """(3, n) arrays of value, key and place, from batches (key, text); with `wanted`, of the texts that have one of these signatures.
 
     value: signature (48 bits), near classes (8 each); place: centre (27), distances to left and right (8 each, at most
     255: a longer stretch has windows of its own within it), far classes (10 each).
@@ -162,6 +180,9 @@ def _each_windows(batches: Iterator[pa.RecordBatch], functions: int, min_words:
                 continue
             words, offsets, *_ = word_hashes([t for _, t in known])
             keys = np.array([k for k, _ in known], np.int64)
+            if wanted is not None:
+                have, sizes = _holding(words, offsets, wanted, functions), np.diff(offsets)
+                words, keys, offsets = words[np.repeat(have, sizes)], keys[have], np.concatenate(([0], np.cumsum(sizes[have])))
             for value, of, centre, left, right, (near_left, near_right, far_left, far_right) in compact_windows(words, offsets, functions, min_words):
                 place = centre << 36 | np.minimum(centre - left, 255) << 28 | np.minimum(right - centre, 255) << 20 | far_left << 10 | far_right
                 held.append(np.stack([value & ~0xFFFF | near_left << 8 | near_right, keys[of], place]))
@@ -203,7 +224,7 @@ def _hot_firsts(rows: DataFrame, hot: np.ndarray, functions: int, min_words: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = np.empty((3, 0), np.int64)
-        for value, key, place in _each_windows(batches, functions, min_words):
+        for value, key, place in _each_windows(batches, functions, min_words, hot):
             at = np.minimum(np.searchsorted(hot, value >> 16), len(hot) - 1)
             mine = np.flatnonzero(hot[at] == value >> 16)
             if not len(mine):
@@ -307,16 +328,18 @@ def _dense(hit: np.ndarray, width: int, least: int) -> list[tuple[int, int, int,
     as `width` positions stay, and the union's own (begin, end)."""
     if len(hit) < width:
         return []
-    total = np.concatenate(([0], np.cumsum(hit)))
-    good = np.flatnonzero(total[width:] - total[:-width] >= least)
+    total = np.zeros(len(hit) + 1, np.int64)
+    hit.cumsum(out=total[1:])
+    good = (total[width:] - total[:-width] >= least).nonzero()[0]
     if not len(good):
         return []
-    cuts = np.flatnonzero(np.diff(good) > width)
+    cuts = (good[1:] - good[:-1] > width).nonzero()[0]
     out = []
-    for x, y in zip(np.append(good[0], good[cuts + 1]), np.append(good[cuts], good[-1]) + width):
-        at = x + np.flatnonzero(hit[x:y])
-        begin = min(at[0], y - width)
-        out.append((int(begin), int(max(at[-1] + 1, begin + width)), int(x), int(y)))
+    for x, y in zip([int(good[0]), *good[cuts + 1].tolist()], [*good[cuts].tolist(), int(good[-1])]):
+        y += width
+        part = hit[x:y]
+        begin = min(x + int(part.argmax()), y - width)
+        out.append((begin, max(y - int(part[::-1].argmax()), begin + width), x, y))
     return out
 
 
@@ -327,18 +350,26 @@ def common_passages(a: np.ndarray, b: np.ndarray, min_words: int, similarity: fl
     """
     width = min_words - SHINGLE + 1
     loosest = int(np.ceil(width * 2 * similarity / (1 + similarity)))  # as many hits leave that Jaccard similarity
-    hit, out = np.isin(a, b), []
+    names, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b, out = codes[: len(a)], codes[len(a) :], []
+
+    def those(part: np.ndarray) -> np.ndarray:
+        held = np.zeros(len(names), bool)
+        held[part] = True
+        return held
+
+    hit = those(b)[a]
     todo = [(0, len(a), loosest)]
     while todo:
         begin, end, least = todo.pop()
         for x, y, *union in _dense(hit[begin:end], width, least):
             x, y = begin + x, begin + y
-            part, best = a[x:y], None
-            mine = np.unique(part)
-            for u, v, *_ in _dense(np.isin(b, mine), width, least):
-                theirs = np.unique(b[u:v])
-                joint = len(np.intersect1d(mine, theirs, assume_unique=True))
-                jaccard = joint / (len(mine) + len(theirs) - joint)
+            mine, best = those(a[x:y]), None
+            n = np.count_nonzero(mine)
+            for u, v, *_ in _dense(mine[b], width, least):
+                theirs = those(b[u:v])
+                joint = np.count_nonzero(mine & theirs)
+                jaccard = joint / (n + np.count_nonzero(theirs) - joint)
                 if best is None or jaccard > best[4]:
                     best = (x, y, u, v, jaccard)
             if best and best[4] >= similarity:
@@ -463,9 +494,8 @@ class _Unverified:
         self.joined[min(begin, len(self.shingles))] += 1
         self.joined[min(end, len(self.shingles))] -= 1
 
-    def _open(self, size: int) -> np.ndarray:
-        """Whether the run of `size` shingles from each place is in a region and in no passage found."""
-        inside = np.concatenate(([0], np.cumsum(np.cumsum(self.joined)[:-1] > 0)))
+    def _open(self, size: int, inside: np.ndarray) -> np.ndarray:
+        """Whether the run of `size` shingles from each place is in a region and in no passage found; inside: places in regions before each."""
         good = inside[size:] - inside[:-size] == size if len(inside) > size else np.zeros(0, bool)
         for first, last in self.found:
             good[first : max(first, last - size + 1)] = False
@@ -473,15 +503,17 @@ class _Unverified:
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
         """(hash, place) of the chosen runs in regions that lie in no passage found."""
-        open_ = self._open(self.size)
-        if not open_.any() and not self.found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        # and those within a run of a whole passage that reaches out of what was found
-        long = np.cumsum(np.concatenate(([0], self._open(self.width))))
-        reach = self.width - self.size
-        q = np.arange(len(open_))
-        low, high = np.clip(q - reach, 0, len(long) - 1), np.clip(q + 1, 0, len(long) - 1)
-        at = np.flatnonzero(open_ | (long[high] > long[low]))
+        inside = np.zeros(len(self.joined), np.int64)
+        (self.joined.cumsum()[:-1] > 0).cumsum(out=inside[1:])
+        open_ = self._open(self.size, inside)
+        if self.found:  # and those within a run of a whole passage that reaches out of what was found
+            reach, long = self.width - self.size, self._open(self.width, inside)
+            if long.any():
+                total = np.zeros(len(long) + 1, np.int64)
+                long.cumsum(out=total[1:])
+                q = np.arange(len(open_))
+                open_ |= total[np.minimum(q + 1, len(long))] > total[np.clip(q - reach, 0, len(long))]
+        at = open_.nonzero()[0]
         if not len(at):
             return np.empty(0, np.int64), at
         hashes = _run_hashes(self.shingles, self.size)[at]
@@ -525,14 +557,19 @@ def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "id", "first_word", "last_word", "source_id", "source_first_word", "source_last_word", "similarity", "runs", "places"]
         lost = _Unverified(min_words)
-        id_arrow = pa.int64()
+        id_arrow, left = pa.int64(), []
+
+        def keep() -> None:
+            if lost.key is not None and len((found := lost.runs())[0]):
+                left.append((lost.key, *found))
 
         def unverified() -> pa.RecordBatch:
-            runs, places = lost.runs()
-            n = int(len(runs) > 0)
-            nothing = [pa.nulls(n, t) for t in (id_arrow, pa.int32(), pa.int32(), id_arrow, pa.int32(), pa.int32(), pa.float64())]
-            lists = [pa.array([runs][:n], pa.list_(pa.int64())), pa.array([places.astype(np.int32)][:n], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays([pa.array([lost.key][:n], pa.int64()), *nothing, *lists], names)
+            keys, runs, places = zip(*left)
+            nothing = [pa.nulls(len(keys), t) for t in (id_arrow, pa.int32(), pa.int32(), id_arrow, pa.int32(), pa.int32(), pa.float64())]
+            ends = pa.array(np.cumsum([0, *map(len, runs)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(t))) for x, t in ((runs, np.int64), (places, np.int32))]
+            left.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *nothing, *lists], names)
 
         for part, shingles in _with_shingles(batches, 0, 2):
             id_arrow = part.column(1).type
@@ -546,8 +583,7 @@ def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
             out, of = [], []
             for i, r in enumerate(row.tolist()):
                 if keys[r] != lost.key:
-                    if lost.key is not None and (batch := unverified()).num_rows:
-                        yield batch
+                    keep()
                     lost.take(keys[r], shingles[r])
                 x, u = begins[i], s_begins[i]
                 lost.region(x, x + len(mine[i]))
@@ -562,8 +598,11 @@ def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(at), part.column(1).take(at), first, last, part.column(3).take(at), s_first, s_last, pa.array([r[4] for r in out], pa.float64()), *none], names
             )
-        if lost.key is not None and (batch := unverified()).num_rows:
-            yield batch
+            if left:
+                yield unverified()
+        keep()
+        if left:
+            yield unverified()
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     texts = _only(rows.select("key", "text", "id"), "key", ends)  # moved once for both joins

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from edges import LONG, PASSAGE, doc, documents
@@ -111,6 +112,33 @@ def test_compact_windows_are_the_cartesian_tree():
         assert set(zip(of.tolist(), centre.tolist(), left.tolist(), right.tolist())) == expected
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.booleans()), min_size=1, max_size=40))
+def test_nearest_smaller_equals_brute_force(rows):
+    """Of texts that follow one another; each place looks within its own."""
+    size, new = np.array([x for x, _ in rows], np.uint64), np.array([True, *(n for _, n in rows[1:])])
+    text = np.cumsum(new)
+    before = passages._nearest(size, -1, new, np.greater)
+    after = passages._nearest(size, 1, np.append(new[1:], True), np.greater_equal)
+    for i in range(len(size)):
+        same = np.flatnonzero(text == text[i])
+        assert before[i] == max((j for j in same if j < i and size[j] <= size[i]), default=-1)
+        assert after[i] == min((j for j in same if j > i and size[j] < size[i]), default=-1)
+
+
+def test_texts_without_a_wanted_signature_give_no_windows():
+    """The firsts of frequent signatures are looked for without the windows of texts that hold none; none is lost."""
+    line = " ".join(f"frequent{i}" for i in range(60))
+    texts = [" ".join(f"w{d}x{i}" for i in range(80)) + (f" {line} end{d}" if d % 10 == 0 else "") for d in range(200)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(200)), "text": texts})
+    whole = np.concatenate(list(passages._each_windows(iter([batch]), 5, 50)), axis=1)
+    names, n = np.unique(whole[0] >> 16, return_counts=True)
+    wanted = names[n >= 20]
+    some = np.concatenate(list(passages._each_windows(iter([batch]), 5, 50, wanted)), axis=1)
+    assert len(wanted) and set(some[1]) == set(range(0, 200, 10))
+    assert np.array_equal(*(x[:, np.isin(x[0] >> 16, wanted)] for x in (whole, some)))
+
+
 def words(text):
     return text.encode().translate(LOWER_BY_SPACE).split()
 
