@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker turns into arrays at once.
 CHUNK_BYTES = 1 << 18
 
+#: Bytes of rows that a Python worker is given at once, where the session names no number (Spark's own is 64 MB, or 10,000 rows).
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _INV = pow(_ODD, -1, 1 << 64)
@@ -78,6 +83,38 @@ def unused(df: DataFrame, stem: str) -> str:
     return stem
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: workers live on between tasks, and glibc keeps what they freed."""
+    if _trim:
+        _trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, after which the worker gives its memory back."""
+
+    def then_give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return then_give_back
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of about `BATCH_BYTES` (or one longer row), whatever the rows' lengths.
+
+    Both sides of a task hold a batch, and the JVM more than one while it grows. Batches are cut when the plan is made, so the
+    session keeps the setting; one that is set already stays as it is.
+    """
+    if BATCH_SETTING not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(giving_back(run), schema)
+
+
 def chunks(rows: list[tuple], size_of, limit: int = CHUNK_BYTES) -> Iterator[list[tuple]]:
     """Runs of whole rows of about `limit` bytes; a longer row is a run of its own."""
     part, held = [], 0

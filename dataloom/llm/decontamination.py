@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_WORD, keyed, unused
+from dataloom.llm.common import LOWER_BY_WORD, in_batches, keyed, unused
 
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
@@ -138,7 +138,7 @@ def _scanned(rows: DataFrame, block: list[tuple[str, str]], window: int, all_row
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(taken, pa.int64())), pa.array(counts, pa.int64()), pa.array(spans, _SPANS), pa.array(names, pa.list_(pa.string()))], ["id", "n_words", "spans", "items"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {id_type}, n_words long, spans array<struct<first:int,last:int>>, items array<string>")
+    return in_batches(rows, run, f"id {id_type}, n_words long, spans array<struct<first:int,last:int>>, items array<string>")
 
 
 def _hits_by_row(rows: DataFrame, blocks: Iterator[list[tuple[str, str]]], window: int) -> DataFrame:
@@ -201,4 +201,4 @@ def without_contaminated(
                 texts = part.column(at_text).cast(pa.binary()).to_pylist()
                 yield part.filter(pa.array([not finder.search(words_of(t))[0] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

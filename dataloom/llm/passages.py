@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import CHUNK_BYTES, checkpointed, hashed_sample, keyed, mix, salted_join, shared_folder, shingle_hashes, text_slices, unused, word_hashes
+from dataloom.llm.common import CHUNK_BYTES, checkpointed, give_back, hashed_sample, in_batches, keyed, mix, salted_join, shared_folder, shingle_hashes, text_slices, unused, word_hashes
 
 SHINGLE = 5
 MIN_WORDS = 50
@@ -208,7 +208,7 @@ def _hot_groups(rows: DataFrame, functions: int, min_words: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], ["g", "n"])
 
     sample = hashed_sample(rows.select("key", "text"), F.col("key"), HOT_SAMPLE)
-    counted = checkpointed(sample.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
+    counted = checkpointed(in_batches(sample, run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")))
     total = counted.agg(F.sum("n")).first()[0] or 0
     return np.sort(counted.where(F.col("n") >= max(2, HOT_SHARE * total)).select("g").toPandas()["g"].to_numpy(np.int64))
 
@@ -234,7 +234,7 @@ def _hot_firsts(rows: DataFrame, hot: np.ndarray, functions: int, min_words: int
             best = all_[:, _first_of(*all_)]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["code", "key", "place"])
 
-    firsts = rows.select("key", "text").mapInArrow(run, "code long, key long, place long").groupBy("code").agg(F.min(F.struct("key", "place")).alias("m"))
+    firsts = in_batches(rows.select("key", "text"), run, "code long, key long, place long").groupBy("code").agg(F.min(F.struct("key", "place")).alias("m"))
     found = firsts.select("code", "m.key", "m.place").toPandas().sort_values("code")
     return tuple(found[c].to_numpy(np.int64) for c in ("code", "key", "place"))
 
@@ -256,7 +256,7 @@ def _windows(rows: DataFrame, functions: int, min_words: int) -> DataFrame:
                 dealt = np.concatenate([dealt[:, ~is_hot], *_with_firsts(dealt[:, is_hot], at[is_hot], firsts)], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in dealt], ["value", "key", "place"])
 
-    return rows.select("key", "text").mapInArrow(run, "value long, key long, place long")
+    return in_batches(rows.select("key", "text"), run, "value long, key long, place long")
 
 
 def _with_firsts(windows: np.ndarray, at: np.ndarray, firsts: tuple[np.ndarray, ...]) -> Iterator[np.ndarray]:
@@ -608,11 +608,11 @@ def _passages(rows: DataFrame, pairs: DataFrame, min_words: int, similarity: flo
     texts = _only(rows.select("key", "text", "id"), "key", ends)  # moved once for both joins
     sources = texts.select(F.col("key").alias("b"), "text", F.col("id").alias("source_id"))
     with_source = pairs.join(sources, "b").select("a", "b", "text", "regions", "source_id")
-    cut = with_source.mapInArrow(cut_source, f"a long, source_id {id_type}, regions array<struct<begin:int,end:int,source_begin:int,source:binary>>")
+    cut = in_batches(with_source, cut_source, f"a long, source_id {id_type}, regions array<struct<begin:int,end:int,source_begin:int,source:binary>>")
     members = texts.select(F.col("key").alias("a"), "text", "id")
     both = cut.join(members, "a").select("a", "id", "text", "source_id", "regions")
-    return both.mapInArrow(
-        verify,
+    return in_batches(
+        both, verify,
         f"key long, id {id_type}, first_word int, last_word int, source_id {id_type}, source_first_word int, source_last_word int, similarity double, runs array<long>, places array<int>",
     )
 
@@ -647,7 +647,7 @@ def _runs_again(rows: DataFrame, unverified: DataFrame, min_words: int) -> DataF
                     columns = [_run_hashes(known, size)[at].view(np.int64), np.full(len(at), key), at.astype(np.int32), np.full(len(at), size, np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["run", "key", "place", "length"])
 
-    runs = _written(texts.mapInArrow(around, "run long, key long, place int, length int"))
+    runs = _written(in_batches(texts, around, "run long, key long, place int, length int"))
     shared = _shared(runs).where("key <> b")
     wider = F.lit(width) - F.col("length")  # a passage that holds a run reaches so far on either side
     low, high = F.col("place") - wider, F.col("place") + F.col("length") - 1 + wider
@@ -659,7 +659,7 @@ def _found(rows: DataFrame, min_words: int, similarity: float, functions: int) -
     dealt = _windows(rows, functions, min_words)
     signature = F.shiftright("value", 16)
     dealt = dealt.repartition(signature).sortWithinPartitions(signature, "key", "place")
-    links = dealt.mapInArrow(_joined_intervals, "a long, b long, diagonal int, low int, high int")
+    links = in_batches(dealt, _joined_intervals, "a long, b long, diagonal int, low int, high int")
     once = _written(_passages(rows, _pairs(links), min_words, similarity))
     links = _runs_again(rows, once.where("runs is not null").select("key", "runs", "places"), min_words)
     again = _passages(rows, _pairs(links), min_words, similarity)
@@ -711,7 +711,10 @@ def cut_repeated(
 
     @F.pandas_udf("string")
     def cut(texts, spans):
-        return texts.combine(spans, lambda t, s: t if t is None or s is None or not len(s) else without_words(t, [(x["first_word"], x["last_word"]) for x in s]))
+        try:
+            return texts.combine(spans, lambda t, s: t if t is None or s is None or not len(s) else without_words(t, [(x["first_word"], x["last_word"]) for x in s]))
+        finally:
+            give_back()
 
     joined = rows.join(spans, F.col(key) == F.col(of), "left")
     new_text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col(gone)))

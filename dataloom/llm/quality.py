@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_WORD, checkpointed, hashed_sample, shingle_hashes, text_slices, unused, word_hashes
+from dataloom.llm.common import LOWER_BY_WORD, checkpointed, hashed_sample, in_batches, shingle_hashes, text_slices, unused, word_hashes
 
 #: Labelled rows, about, that the model is fitted on at most, and rows of the whole table.
 SAMPLE_ROWS = 10_000
@@ -179,7 +179,7 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, samp
 
     part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
     narrow = rows.where(taken).select(part.alias("part"), "text", F.col("quality").cast("tinyint"), F.col("toxic").cast("tinyint"))
-    found = narrow.mapInArrow(run, "part int, shape binary, places binary, insult tinyint, quality tinyint, toxic tinyint")
+    found = in_batches(narrow, run, "part int, shape binary, places binary, insult tinyint, quality tinyint, toxic tinyint")
     return checkpointed(found.groupBy(*found.columns).agg(F.count("*").alias("n")))
 
 
@@ -202,7 +202,7 @@ def _counted(rows: DataFrame, groups: int, weigh) -> DataFrame:
                 some = np.flatnonzero(b + c > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(names[some].astype(np.int32)), pa.array(np.full(len(some), g, np.int32)), pa.array(b[some]), pa.array(c[some])], ["place", "g", "bad", "good"])
 
-    counted = rows.mapInArrow(run, "place int, g int, bad double, good double")
+    counted = in_batches(rows, run, "place int, g int, bad double, good double")
     return counted.groupBy("place", "g").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
 
@@ -262,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             own, n = (batch.column(batch.schema.get_field_index(c)) for c in ("places", "n"))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in low], pa.binary()), pa.array([h.tobytes() for h in harm], pa.binary()), batch.column(batch.schema.get_field_index("shape")), own, n], ["low", "harm", "shape", "places", "n"])
 
-    voted = checkpointed(sample.mapInArrow(vote, "low binary, harm binary, shape binary, places binary, n long"))
+    voted = checkpointed(in_batches(sample, vote, "low binary, harm binary, shape binary, places binary, n long"))
     names = {"low": [*KINDS, "labels"], "harm": ["insults", *(f"words_{g}" for g in range(PARTS)), "labels"]}
     posterior, accuracies, totals = {}, {}, []
     for kind in ("low", "harm"):
@@ -291,7 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 has = [np.packbits(np.isin(words, np.frombuffer(p, "<i4"))).tobytes() for p in column(batch, "places")]
                 yield pa.RecordBatch.from_arrays([pa.array(has, pa.binary()), batch.column(at), batch.column(2), batch.column(4)], ["has", "votes", "shape", "n"])
 
-        rows = voted.mapInArrow(bits, "has binary, votes binary, shape binary, n long").groupBy("has", "votes", "shape").agg(F.sum("n").alias("n")).toPandas()
+        rows = in_batches(voted, bits, "has binary, votes binary, shape binary, n long").groupBy("has", "votes", "shape").agg(F.sum("n").alias("n")).toPandas()
         x = np.zeros((len(rows), len(words) + len(SHAPES)), np.int8)
         if len(words):
             x[:, : len(words)] = np.unpackbits(np.array([np.frombuffer(h, np.uint8) for h in rows["has"]]), axis=1)[:, : len(words)]
@@ -324,4 +324,4 @@ def classify(docs: DataFrame, scorers: tuple[Scorer, Scorer], text_col: str = "t
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 - bad), pa.array(toxic), pa.array(keep)], [*part.schema.names, *added])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{n}` {t}" for n, t in zip(added, ("double", "double", "boolean")))])
-    return docs.mapInArrow(run, schema)
+    return in_batches(docs, run, schema)

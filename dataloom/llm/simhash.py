@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataloom.llm.common import LOWER_BY_SPACE, checkpointed, keyed, min_label_components, salted_join, unused
+from dataloom.llm.common import LOWER_BY_SPACE, checkpointed, in_batches, keyed, min_label_components, salted_join, unused
 
 RADIUS = 3
 BITS = 64
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 prints = np.array([fingerprint(t or b"", shingle) for t in part.column(1).cast(pa.binary()).to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, fp long").withColumnRenamed("id", id_col)
+    return in_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, f"id {id_type}, fp long").withColumnRenamed("id", id_col)
 
 
 def _spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
@@ -161,7 +161,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     keys = ["t", "key", "i", "j"]
     dealt = spread.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(compare, "a long, b long")
+    return in_batches(dealt, compare, "a long, b long")
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:

@@ -1,5 +1,9 @@
+import subprocess
+import sys
+
 import corpus_pipeline
 from edges import LONG, PASSAGE
+from pyspark import AccumulatorParam
 
 from dataloom.llm import decontamination, simhash
 from dataloom.llm.common import table
@@ -97,3 +101,56 @@ def test_stages_with_awkward_rows(spark, sf_dir):
     assert sum(PASSAGE in r["text"] for r in rows) <= 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, awkward(spark).limit(0), sf_dir).count() == 0
+
+
+def test_workers_get_long_texts_in_small_batches(spark, sf_dir, monkeypatch):
+    class Most(AccumulatorParam):
+        def zero(self, value):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    most, kind = spark.sparkContext.accumulator(0, Most()), type(spark.range(0))
+    plain = kind.mapInArrow
+
+    def spied(df, run, schema, *more):
+        def seen(batches):
+            def sized():
+                for batch in batches:
+                    most.add(sum(batch.slice(i, 1).nbytes for i in range(batch.num_rows)))
+                    yield batch
+
+            return run(sized())
+
+        return plain(df, seen, schema, *more)
+
+    monkeypatch.setattr(kind, "mapInArrow", spied)
+    text = "concat_ws(' ', transform(sequence(1, 20000), i -> substr(md5(concat(id, ':', i)), 1, 3 + pmod(i, 4))))"
+    docs = spark.range(0, 50, 1, 1).selectExpr("id as doc_id", f"{text} as text", "'en' as lang", "'a' as source", "cast(0 as bigint) as n_chars")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, docs, sf_dir).write.format("noop").mode("overwrite").save()
+        assert most.value < 5 << 20, name
+    assert most.value > 1 << 20
+
+
+HOLDING = """
+import re, numpy as np
+from dataloom.llm.common import giving_back
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+last = []
+def run(batches):
+    parts = [np.ones(8000) for _ in range(3000)]
+    last.append(np.ones(8000))  # stands behind the others, so that the heap's end can't move
+    yield held()
+    del parts
+before = held()
+most = list(giving_back(run)(iter([])))[0]
+print(most - before, held() - before)
+"""
+
+
+def test_workers_give_memory_back_after_a_task():
+    if sys.platform == "linux":
+        most, after = map(float, subprocess.run([sys.executable, "-c", HOLDING], capture_output=True, text=True, check=True, cwd=corpus_pipeline.__file__.rpartition("/")[0]).stdout.split())
+        assert most > 150 and after < 20
