@@ -29,20 +29,24 @@ def ring_log(events: DataFrame, n: int = RING) -> DataFrame:
     """Stream of (job_id, seq, ts, kind): events numbered per job in order of arrival (time within a batch).
 
     State per job is the last number and the last n events, whatever the length of the log; of each batch only the
-    events that the ring still holds are emitted.
+    events that the ring still holds are emitted. A job's part of a batch comes in frames of bounded size, in no order; of
+    these the newest n are held.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, times, kinds = state.get if state.exists else (0, [], [])
-        start = last
-        for batch in batches:
-            for ts, kind in batch.sort_values(["ts", "kind"], kind="stable")[["ts", "kind"]].itertuples(index=False):
-                last += 1
-                times, kinds = [*times, ts.value][-n:], [*kinds, kind][-n:]
+        newest, came = pd.DataFrame(), 0
+        for frame in frames:
+            came += len(frame)
+            rows = frame[["ts", "kind"]]
+            newest = (pd.concat([newest, rows]) if len(newest) else rows).sort_values(["ts", "kind"], kind="stable").tail(n)
+        if not came:
+            return
+        last += came
+        times, kinds = [*times, *(ts.value for ts in newest["ts"])][-n:], [*kinds, *newest["kind"]][-n:]
         state.update((last, list(map(int, times)), kinds))
-        fresh = min(last - start, len(times))
-        if fresh:
-            yield pd.DataFrame({"job_id": key[0], "seq": range(last - fresh + 1, last + 1), "ts": pd.to_datetime(times[-fresh:]), "kind": kinds[-fresh:]})
+        fresh = min(came, len(times))
+        yield pd.DataFrame({"job_id": key[0], "seq": range(last - fresh + 1, last + 1), "ts": pd.to_datetime(times[-fresh:]), "kind": kinds[-fresh:]})
 
     rows = events.select("job_id", "ts", "kind")
     return rows.groupBy("job_id").applyInPandasWithState(
