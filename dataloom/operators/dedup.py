@@ -1,6 +1,6 @@
 """Embedding near-duplicates: all pairs above a cosine threshold, and their resolution.
 
-The pairs are exact, and found by metric pruning. Angles between vectors obey the triangle inequality, so with `t` the
+The pairs are exact, and found by metric pruning where that pays. Angles between vectors obey the triangle inequality, so with `t` the
 angle of the threshold:
 
 * centres are vectors of a hashed sample that lie far apart; every vector is at home in the cell of its nearest one, and each cell has
@@ -10,8 +10,14 @@ angle of the threshold:
 * a cell of more than one block is cut into rings by the angle to the centre, each at least t wide: only neighbouring rings
   can hold pairs. A ring of more than one block is dealt to blocks by hash.
 
-Each unordered pair of blocks that can hold pairs is one group of bounded size, compared with one matrix product in a task; a cell of
-at most a block goes to its group once. Only pairs at or above the threshold leave a task. On clustered vectors the compared
+Where that would send rows to more groups than pruning saves (vectors without clusters, low thresholds), there is one cell of one ring:
+all rows are dealt to blocks by hash, and each row goes once to each of the other blocks. A block is as large as a task's memory
+allows, so that few copies are sent.
+
+Each unordered pair of blocks that can hold pairs is one group of bounded size, compared in tiles in a task; a cell of
+at most a block goes to its group once. A tile's product is taken in single precision, with a margin of more than its error; what
+passes is computed again in double precision, so that a pair's similarity depends on its two vectors alone. Only pairs at or above
+the threshold leave a task, in batches of bounded size. On clustered vectors the compared
 pairs grow with the clusters' sizes; where nothing can be pruned they are those of an all-pairs join in blocks. What
 the driver gets and sends is bounded: at most `MAX_CENTRES` centres and radii, and the sizes of their rings.
 
@@ -24,7 +30,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +47,12 @@ MAX_CENTRES, CENTRES_PER_BLOCK, SAMPLE_PER_CENTRE, MAX_RINGS = 1024, 4, 8, 32
 #: Angle by which bounds are widened, so that rounding prunes nothing.
 SLACK = 1e-5
 #: Rows whose angles to all centres are in memory at once.
-TILE = 2048
+TILE = 512
+#: Rows for which there are CENTRES_PER_BLOCK centres, at most; blocks that all rows make at least, where blocks of that size do;
+#: rows of a block, at most; groups beyond those of unpruned blocks to which pruning may send a row, on average.
+CELL_ROWS, MANY_BLOCKS, MAX_BLOCK, MORE_GROUPS = 2896, 12, 32768, 8
+#: Rows and columns of a product; pairs computed, and bytes of vectors sent, at once.
+ROWS, COLUMNS, PAIRS_AT_ONCE, BYTES_AT_ONCE = 512, 4096, 1 << 16, 4 << 20
 
 
 def norm(vector: Column) -> Column:
@@ -54,15 +65,20 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def block_rows(dim: int, budget_bytes: int = 64 << 20) -> int:
-    """Vectors of a block such that two of them and their product stay within the budget; 128 to 4000."""
-    return max(128, min(4000, int(math.sqrt(budget_bytes / 8)), budget_bytes // (16 * max(dim, 1))))
+def block_rows(dim: int, n: int = 0, budget_bytes: int = 64 << 20) -> int:
+    """Vectors of a block such that two of them, as doubles, stay within the budget; fewer where n rows would make few blocks."""
+    return max(128, min(MAX_BLOCK, max(CELL_ROWS, -(-n // MANY_BLOCKS)), budget_bytes // (16 * max(dim, 1))))
+
 
+def _values(vectors: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of packed vectors, a row for each."""
+    return np.frombuffer(b"".join(vectors.to_pylist()), kind).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0), kind)
 
-def _unit(vectors: pa.Array) -> np.ndarray:
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float)
-    v = flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), FLOOR)
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    v = vectors.astype(float)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), FLOOR)
+    return v
 
 
 def _far_apart(v: np.ndarray, k: int) -> np.ndarray:
@@ -81,13 +97,17 @@ def _angles(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class PairPlan:
-    """Which blocks meet: cells with their radii, and the sizes of their rings (by cell, ring, and home or guest)."""
+    """Which blocks meet: cells with their radii, and the sizes of their rings (by cell, ring, and home or guest).
+
+    kind: of the numbers of packed vectors.
+    """
 
     threshold: float
     centres: np.ndarray
     radii: np.ndarray
     size: int
     sizes: np.ndarray | None = None
+    kind: str = "f8"
 
     @property
     def angle(self) -> float:
@@ -117,10 +137,24 @@ class PairPlan:
         """Blocks of each ring; none where neither it nor a neighbour, from which rounding may move a row, has rows."""
         blocks = np.maximum(1, -(-self.sizes // self.size))
         near = self.sizes.copy()
-        near[:, 1:] += self.sizes[:, :-1]
-        near[:, :-1] += self.sizes[:, 1:]
+        if self.pruned:
+            near[:, 1:] += self.sizes[:, :-1]
+            near[:, :-1] += self.sizes[:, 1:]
         return np.where(near > 0, blocks, 0)
 
+    @property
+    def pruned(self) -> bool:
+        return len(self.centres) > 1
+
+    def sent(self) -> int:
+        """Rows that groups get."""
+        sizes, splits, whole = self.sizes.astype(object), self.splits().astype(object), self.whole
+        meets = splits.copy()  # blocks of the own ring and its neighbours
+        meets[:, 1:] += splits[:, :-1]
+        meets[:, :-1] += splits[:, 1:]
+        home, guest = (sizes[:, :, 0] * meets.sum(axis=2)).sum(axis=1), (sizes[:, :, 1] * meets[:, :, 0]).sum(axis=1)
+        return int(sum(sizes[c].sum() if whole[c] else home[c] + guest[c] for c in range(len(sizes))))
+
     def compared(self) -> int:
         """Pairs of rows that are compared."""
         home, guest = self.sizes[:, :, 0].astype(object), self.sizes[:, :, 1].astype(object)
@@ -135,20 +169,23 @@ class PairPlan:
         return int(total)
 
 
-_PLACED = "cell int, angle double, id {}, v array<double>"
+_PLACED = "cell int, angle double, id {}, v binary"
 
 
-def _at_home(present: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Rows (cell, angle, id, v): every vector with its nearest centre."""
-
+def _placed(present: DataFrame, centres: np.ndarray, kind: str) -> DataFrame:
+    """Rows (cell, angle, id, v): every vector, packed, with its nearest centre."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, TILE):
                 part = batch.slice(start, TILE)
-                angles = _angles(_unit(part.column(1)), centres)
-                home = angles.argmin(axis=1)
-                nearest = angles[np.arange(len(home)), home]
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(nearest), part.column(0), part.column(1)], ["cell", "angle", "id", "v"])
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(part.num_rows, -1)
+                home, nearest = np.zeros(len(v), np.int64), np.zeros(len(v))
+                if len(centres) > 1:
+                    angles = _angles(_unit(v), centres)
+                    home = angles.argmin(axis=1)
+                    nearest = angles[np.arange(len(home)), home]
+                packed = pa.array([x.tobytes() for x in v], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(nearest), part.column(0), packed], ["cell", "angle", "id", "v"])
 
     return present.mapInArrow(run, _PLACED.format(present.schema["id"].dataType.simpleString()))
 
@@ -157,7 +194,11 @@ def _tiles(plan: PairPlan, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[
     for batch in batches:
         for start in range(0, batch.num_rows, TILE):
             part = batch.slice(start, TILE)
-            yield part, plan.places(_unit(part.column(3)), part.column(0).to_numpy().astype(np.int64), part.column(1).to_numpy())
+            if plan.pruned:
+                yield part, plan.places(_unit(_values(part.column(3), plan.kind)), part.column(0).to_numpy().astype(np.int64), part.column(1).to_numpy())
+            else:
+                nothing = np.zeros(part.num_rows, np.int64)
+                yield part, (np.arange(part.num_rows), nothing, nothing, nothing)
 
 
 def _ring_sizes(placed: DataFrame, plan: PairPlan) -> np.ndarray:
@@ -165,11 +206,11 @@ def _ring_sizes(placed: DataFrame, plan: PairPlan) -> np.ndarray:
     shape = (len(plan.centres), MAX_RINGS + 1, 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape, np.int64)
+        total = np.zeros(math.prod(shape), np.int64)
         for _, (_, cell, ring, guest) in _tiles(plan, batches):
-            np.add.at(total, (cell, ring, guest), 1)
-        at = np.flatnonzero(total.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+            total += np.bincount(np.ravel_multi_index((cell, ring, guest), shape), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
     counted = placed.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     sizes = np.zeros(math.prod(shape), np.int64)
@@ -177,25 +218,47 @@ def _ring_sizes(placed: DataFrame, plan: PairPlan) -> np.ndarray:
     return sizes.reshape(shape)
 
 
+def _guests(threshold: float, centres: np.ndarray, sample: np.ndarray) -> float:
+    """Cells that a row of the sample is a guest of, on average; the sample's radii are no larger than those of all rows."""
+    unit = _unit(sample)
+    angles = [_angles(unit[i : i + TILE], centres) for i in range(0, len(unit), TILE)]
+    home, nearest = np.concatenate([a.argmin(axis=1) for a in angles]), np.concatenate([a.min(axis=1) for a in angles])
+    radii = np.full(len(centres), -np.inf)
+    np.maximum.at(radii, home, nearest)
+    plan, n = PairPlan(threshold, centres, radii, 1), len(unit)
+    return sum(len(plan.places(unit[i : i + TILE], home[i : i + TILE], nearest[i : i + TILE])[0]) for i in range(0, n, TILE)) / n - 1
+
+
 def pair_plan(rows: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: int | None = None) -> tuple[PairPlan, DataFrame]:
     """The plan of a join, and the vectors in their home cells."""
-    present = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = "f4" if rows.schema[vector].dataType.simpleString() == "array<float>" else "f8"  # floats stay floats
+    numbers = F.col(vector) if kind == "f4" else F.col(vector).cast("array<double>")
+    present = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), numbers.alias("v"))
     present = checkpointed(present.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     # a vector under the floor has no angle; it can reach the threshold only where that is nearly nothing
     short = F.max(((length < FLOOR) & (length >= threshold * FLOOR)).cast("int"))
     n, dim, unmetric = present.agg(F.count("*"), F.max(F.size("v")), short).first()
-    size = block or block_rows(dim or 1)
-    k = 1 if unmetric or threshold <= 0 else max(1, min(MAX_CENTRES, math.ceil(CENTRES_PER_BLOCK * n / size)))
-    sample = present.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CENTRE * k).select("v").toPandas()["v"] if k > 1 else []
-    # one centre of zero: every angle is a right one, and all meet in one cell and ring
-    centres = _far_apart(np.stack([np.asarray(v, float) for v in sample]), k) if k > 1 else np.zeros((1, dim or 1))
-    placed = checkpointed(_at_home(present, centres))
-    found = placed.groupBy("cell").agg(F.max("angle").alias("radius")).toPandas()
-    radii = np.full(len(centres), -np.inf)
-    radii[found["cell"].to_numpy(np.int64)] = found["radius"].to_numpy(float)
-    plan = PairPlan(threshold, centres, radii, size)
-    return PairPlan(threshold, centres, radii, size, _ring_sizes(placed, plan)), placed
+    size = block or block_rows(dim or 1, n)
+    sizes = np.zeros((1, MAX_RINGS + 1, 2), np.int64)
+    sizes[0, 0, 0] = n
+    # one centre of zero: all meet in one cell and ring
+    plain = PairPlan(threshold, np.zeros((1, dim or 1)), np.zeros(1), size, sizes, kind)
+    most = plain.sent() + MORE_GROUPS * n
+    k = 1 if unmetric or threshold <= 0 or n <= size else min(MAX_CENTRES, math.ceil(CENTRES_PER_BLOCK * n / min(size, CELL_ROWS)))
+    if k > 1:
+        sample = np.stack(present.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CENTRE * k).select("v").toPandas()["v"].map(lambda x: np.asarray(x, float)).tolist())
+        centres = _far_apart(sample, k)
+        if len(centres) > 1 and _guests(threshold, centres, sample) * n <= most:
+            placed = checkpointed(_placed(present, centres, kind))
+            found = placed.groupBy("cell").agg(F.max("angle").alias("radius")).toPandas()
+            radii = np.full(len(centres), -np.inf)
+            radii[found["cell"].to_numpy(np.int64)] = found["radius"].to_numpy(float)
+            plan = PairPlan(threshold, centres, radii, size, None, kind)
+            plan = replace(plan, sizes=_ring_sizes(placed, plan))
+            if plan.sent() <= most and plan.compared() < plain.compared():
+                return plan, placed
+    return plain, _placed(present, plain.centres, kind)
 
 
 def _spread_of(text: str | None) -> int:
@@ -211,6 +274,7 @@ def _deal(placed: DataFrame, plan: PairPlan) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         whole, splits = plan.whole, plan.splits()
+        at_once = max(1, BYTES_AT_ONCE // (plan.centres.shape[1] * int(plan.kind[1])))
         for part, (row, cell, ring, guest) in _tiles(plan, batches):
             ids = part.column(2)
             spread = np.fromiter(map(_spread_of, pc.cast(ids, pa.string()).to_pylist()), np.int64, len(ids))
@@ -228,31 +292,69 @@ def _deal(placed: DataFrame, plan: PairPlan) -> DataFrame:
                     theirs = ((ring[at] + step) * 2 + other) << 32 | k
                     mine = own[at]
                     out.append((row[at], cell[at], np.minimum(mine, theirs), np.maximum(mine, theirs), np.where(mine == theirs, 3, np.where(mine < theirs, 1, 2))))
-            row, cell, x, y, side = (np.concatenate(c) for c in zip(*out))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), pa.array(x), pa.array(y), pa.array(side.astype(np.int32)), ids.take(at), part.column(3).take(at)], ["cell", "x", "y", "side", "id", "v"]
-            )
-
-    return placed.mapInArrow(run, f"cell int, x long, y long, side int, id {id_type}, v array<double>")
-
-
-def _compared(threshold: float, side: np.ndarray, ids: pa.Array, unit: np.ndarray) -> pa.RecordBatch:
+            places = [np.concatenate(c) for c in zip(*out)]
+            for start in range(0, len(places[0]), at_once):
+                row, cell, x, y, side = (c[start : start + at_once] for c in places)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell.astype(np.int32)), pa.array(x), pa.array(y), pa.array(side.astype(np.int32)), ids.take(at), part.column(3).take(at)], ["cell", "x", "y", "side", "id", "v"]
+                )
+
+    return placed.mapInArrow(run, f"cell int, x long, y long, side int, id {id_type}, v binary")
+
+
+def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the columns of a and b, summed in the order of the dimensions as `cosine` and SQL do, whatever is beside them."""
+    dot, left, right = (np.zeros(a.shape[1]) for _ in range(3))
+    for x, y in zip(a, b):
+        dot += x * y
+        left += x * x
+        right += y * y
+    with np.errstate(over="ignore"):
+        squares = left * right
+    exact = (np.minimum(left, right) >= FLOOR * FLOOR) & np.isfinite(squares)
+    floored = np.maximum(np.sqrt(left), FLOOR) * np.maximum(np.sqrt(right), FLOOR)
+    return np.clip(dot / np.where(exact, np.sqrt(squares), floored), -1.0, 1.0)
+
+
+def _compared(threshold: float, side: np.ndarray, ids: pa.Array, v: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The pairs of one group at or above the threshold."""
-    left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
-    x, y = np.nonzero((scores := unit[left] @ unit[right].T) >= threshold)
-    score = scores[x, y]
-    x, y = left[x], right[y]
-    once = (side[x] != 3) | (side[y] != 3) | (x < y)  # rows of both sides meet twice
-    a, b, score = ids.take(pa.array(x[once])), ids.take(pa.array(y[once])), pa.array(score[once])
-    swap = pc.greater(a, b)
-    pairs = pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), score], ["id_a", "id_b", "similarity"])
-    return pairs.filter(pc.not_equal(a, b))
+    order = np.argsort(-side, kind="stable")  # rows of both sides are first of either
+    side, ids, v = side[order], ids.take(pa.array(order)), v[order]
+    left, right, both = np.flatnonzero(side & 1), np.flatnonzero(side & 2), int((side == 3).sum())
+    if not len(left) or not len(right):
+        return
+    unit = _unit(v).astype(np.float32)
+    margin = (unit.shape[1] + 16) * 2.0**-22  # more than twice what rounding to single precision, products and sums may lose
+    least = np.float32(threshold - margin)
+    turned = np.ascontiguousarray(unit[right].T)
+    for top in range(0, len(left), ROWS):
+        rows = unit[left[top : top + ROWS]]
+        for start in range(top if both == len(left) else 0, len(right), COLUMNS):
+            block = rows @ turned[:, start : start + COLUMNS]
+            near = np.flatnonzero(block.ravel() >= least)
+            for i in range(0, len(near), PAIRS_AT_ONCE):
+                x, y = np.divmod(near[i : i + PAIRS_AT_ONCE], block.shape[1])
+                x, y = left[top + x], right[start + y]
+                once = (side[x] != 3) | (side[y] != 3) | (x < y)  # rows of both sides meet twice
+                x, y = x[once], y[once]
+                score = _scores(v[x].T.astype(float, order="C"), v[y].T.astype(float, order="C"))
+                x, y, score = (c[score >= threshold] for c in (x, y, score))
+                a, b = ids.take(pa.array(x)), ids.take(pa.array(y))
+                swap = pc.greater(a, b)
+                pairs = pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(score)], ["id_a", "id_b", "similarity"])
+                pairs = pairs.filter(pc.not_equal(a, b))
+                if pairs.num_rows:
+                    yield pairs
 
 
 def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: int | None = None) -> DataFrame:
-    """Rows (id_a < id_b, similarity) of all pairs at or above the threshold; see the module."""
+    """Rows (id_a < id_b, similarity) of all pairs at or above the threshold; see the module.
+
+    The pairs are computed whenever the rows are read; who reads them more than once, as sorting does, checkpoints them.
+    """
     plan, placed = pair_plan(rows, threshold, id_col, vector, block)
+    kind = plan.kind
     group = ["cell", "x", "y"]
     dealt = _deal(placed, plan).repartition(*group).sortWithinPartitions(*group)
     id_type = placed.schema["id"].dataType.simpleString()
@@ -260,9 +362,11 @@ def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
 
-        def pairs() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return _compared(threshold, whole.column(3).to_numpy(), whole.column(4), _unit(whole.column(5)))
+        def pairs() -> Iterator[pa.RecordBatch]:
+            side, ids = (np.concatenate([x.column(3).to_numpy() for x in held]), pa.concat_arrays([x.column(4) for x in held]))
+            v = np.concatenate([_values(x.column(5), kind) for x in held])
+            held.clear()
+            return _compared(threshold, side, ids, v)
 
         for batch in batches:
             names = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
@@ -271,12 +375,11 @@ def similar_pairs(rows: DataFrame, threshold: float, id_col: str = "id", vector:
                 if a == b:
                     continue
                 if name is not None and tuple(names[a]) != name:
-                    yield pairs()
-                    held.clear()
+                    yield from pairs()
                 name = tuple(names[a])
                 held.append(batch.slice(a, b - a))
         if held:
-            yield pairs()
+            yield from pairs()
 
     return dealt.mapInArrow(compare, f"id_a {id_type}, id_b {id_type}, similarity double")
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +45,33 @@ def test_compared_pairs_grow_slower_than_the_square(spark):
     assert compared[500] < 0.1 * 500 * 499 / 2
     assert compared[4000] < 20 * compared[500]  # eight times the rows, 64 times their pairs
     assert len(all_pairs(clustered(4000, 25), 0.9)) > 10_000
+
+
+def test_vectors_without_clusters_are_sent_once_to_each_block(spark):
+    v = np.random.default_rng(2).normal(size=(3000, 24))
+    plan, placed = dedup.pair_plan(frame(spark, v), 0.42, block=300)
+    assert dedup._deal(placed, plan).count() <= 12 * len(v)
+    got = [(r["id_a"], r["id_b"]) for r in dedup.similar_pairs(frame(spark, v), 0.42, block=300).collect()]
+    assert len(got) == len(set(got)) and set(got) == all_pairs(v, 0.42)
+
+
+def test_pairs_of_a_group_of_copies_come_in_bounded_batches():
+    n = 1500
+    found = list(dedup._compared(0.9, np.full(n, 3), pa.array(range(n)), np.ones((n, 8))))
+    assert sum(x.num_rows for x in found) == n * (n - 1) // 2
+    assert max(x.num_rows for x in found) <= 65_536
+
+
+@pytest.mark.parametrize("block", [40, 5000])
+def test_similarities_depend_on_the_two_vectors_alone(spark, block):
+    v = np.tile(clustered(60, 15, seed=3).astype(np.float32), (5, 1))
+    expected = {}
+    for i, a in enumerate(v.astype(float)):
+        for j in range(i + 1, len(v)):
+            dot = left = right = 0.0
+            for x, y in zip(a, v[j].astype(float)):
+                dot, left, right = dot + x * y, left + x * x, right + y * y
+            expected[i, j] = min(1.0, dot / np.sqrt(left * right))
+    rows = frame(spark, v).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in dedup.similar_pairs(rows, 0.9, block=block).collect()}
+    assert got == {k: s for k, s in expected.items() if s >= 0.9}
