@@ -1,8 +1,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from helpers import rows_of, sql_rows
 from pyspark.sql import functions as F
 
+from dataloom import registry
 from dataloom.operators import dedup
 
 
@@ -75,3 +77,20 @@ def test_similarities_depend_on_the_two_vectors_alone(spark, block):
     rows = frame(spark, v).withColumn("embedding", F.col("embedding").cast("array<float>"))
     got = {(r["id_a"], r["id_b"]): r["similarity"] for r in dedup.similar_pairs(rows, 0.9, block=block).collect()}
     assert got == {k: s for k, s in expected.items() if s >= 0.9}
+
+
+@pytest.fixture(scope="module")
+def copies_dir(spark, sf_dir, tmp_path_factory):
+    """The vectors three times, with other ids: many pairs are equally similar."""
+    folder = tmp_path_factory.mktemp("copies")
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    shifted = v.crossJoin(spark.range(3).withColumnRenamed("id", "copy")).withColumn("vec_id", F.col("vec_id") + F.col("copy") * 500).drop("copy")
+    shifted.repartition(3).write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+def test_pair_report_is_in_the_order_of_similarity_then_ids(spark, copies_dir):
+    got = registry.queries()["j03_pair_report"](spark, copies_dir).toPandas()
+    assert rows_of(got) == rows_of(sql_rows(registry.oracle_sql()["j03_pair_report"], copies_dir))
+    expected = sql_rows(registry.oracle_sql()["o04_pairs_by_score"], copies_dir)  # the same pairs in that order
+    assert got[["id_a", "id_b"]].values.tolist() == expected[["id_a", "id_b"]].values.tolist()
