@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from dataloom.functions import codec, numbers, text
 from dataloom.operators import catalog, cost, curate, dedup, events, merge, mutations, report
 from dataloom.plans import models, pipelines
+from dataloom.session import checkpointed
 from dataloom.sources import io
 from dataloom.sources.tables import EXAMPLES_SQL, JOBS_SQL, conversations, event_log, order_jobs, scored_documents, table
 
@@ -326,7 +327,7 @@ def m09_resolved_duplicates(spark, sf_dir):
 
 @query(f"{PAIRS_SQL} SELECT id_a, id_b FROM r ORDER BY sim DESC, id_a, id_b")
 def o04_pairs_by_score(spark, sf_dir):
-    pairs = dedup.similar_pairs(table(spark, sf_dir, "embeddings"), 0.42, "vec_id")
+    pairs = checkpointed(dedup.similar_pairs(table(spark, sf_dir, "embeddings"), 0.42, "vec_id"))  # sorting reads its rows twice
     return pairs.orderBy(F.desc("similarity"), "id_a", "id_b").select("id_a", "id_b")
 
 

@@ -89,6 +89,12 @@ def copies_dir(spark, sf_dir, tmp_path_factory):
     return str(folder)
 
 
+def test_pairs_by_score_are_in_the_order_of_sql_among_ties(spark, copies_dir):
+    got = [tuple(r) for r in registry.queries()["o04_pairs_by_score"](spark, copies_dir).collect()]
+    expected = sql_rows(registry.oracle_sql()["o04_pairs_by_score"], copies_dir)
+    assert got == list(expected[["id_a", "id_b"]].itertuples(index=False, name=None))
+
+
 def test_pair_report_is_in_the_order_of_similarity_then_ids(spark, copies_dir):
     got = registry.queries()["j03_pair_report"](spark, copies_dir).toPandas()
     assert rows_of(got) == rows_of(sql_rows(registry.oracle_sql()["j03_pair_report"], copies_dir))
