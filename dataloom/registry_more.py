@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from dataloom.functions import codec, numbers, text
 from dataloom.operators import catalog, dedup, events, merge, mutations, report
 from dataloom.plans import models, pipelines
-from dataloom.registry import EXAMPLES_SQL, JOBS_SQL, PAIRS_SQL, SNAPSHOT_SQL, UNKNOWN, _byte, _counters, _lines, _snapshot_rows, _vector_report, query
+from dataloom.registry import EXAMPLES_SQL, JOBS_SQL, PAIRS_SQL, SNAPSHOT_SQL, UNKNOWN, _byte, _counters, _lines, _snapshot_rows, _vector_pairs, query
 from dataloom.session import ensure_checkpoint_dir
 from dataloom.sources import io
 from dataloom.sources.tables import conversations, event_log, order_jobs, scored_documents, table
@@ -187,7 +187,7 @@ def f27_f49_cosine(spark, sf_dir):
 
 @query(f"{PAIRS_SQL} SELECT id_a, id_b, lower_id FROM r WHERE lower_id IS NOT NULL")
 def f31_lower_scored(spark, sf_dir):
-    return _vector_report(spark, sf_dir).where("lower_id is not null").select("id_a", "id_b", "lower_id")
+    return dedup.scored_pairs(*_vector_pairs(spark, sf_dir)).where("lower_id is not null").select("id_a", "id_b", "lower_id")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")

@@ -89,6 +89,10 @@ def copies_dir(spark, sf_dir, tmp_path_factory):
     return str(folder)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pairs_by_score_are_in_the_order_of_sql_among_ties(spark, copies_dir):
     got = [tuple(r) for r in registry.queries()["o04_pairs_by_score"](spark, copies_dir).collect()]
     expected = sql_rows(registry.oracle_sql()["o04_pairs_by_score"], copies_dir)
@@ -100,3 +104,10 @@ def test_pair_report_is_in_the_order_of_similarity_then_ids(spark, copies_dir):
     assert rows_of(got) == rows_of(sql_rows(registry.oracle_sql()["j03_pair_report"], copies_dir))
     expected = sql_rows(registry.oracle_sql()["o04_pairs_by_score"], copies_dir)  # the same pairs in that order
     assert got[["id_a", "id_b"]].values.tolist() == expected[["id_a", "id_b"]].values.tolist()
+
+
+@pytest.mark.parametrize("name", ["f31_lower_scored"])
+def test_what_has_no_order_sorts_no_pairs(spark, copies_dir, name):
+    got = registry.queries()[name](spark, copies_dir)
+    assert "rangepartitioning" not in plan_of(got)
+    assert rows_of(got.toPandas()) == rows_of(sql_rows(registry.oracle_sql()[name], copies_dir))
