@@ -323,7 +323,7 @@ def j03_pair_report(spark, sf_dir):
 
 @query(f"{PAIRS_SQL} SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT lower_id FROM r WHERE lower_id IS NOT NULL)")
 def m09_resolved_duplicates(spark, sf_dir):
-    return dedup.resolved(table(spark, sf_dir, "embeddings"), dedup.pair_report(*_vector_pairs(spark, sf_dir)), "vec_id").select("vec_id")
+    return dedup.resolved(table(spark, sf_dir, "embeddings"), dedup.scored_pairs(*_vector_pairs(spark, sf_dir)), "vec_id").select("vec_id")
 
 
 @query(f"{PAIRS_SQL} SELECT id_a, id_b FROM r ORDER BY sim DESC, id_a, id_b")

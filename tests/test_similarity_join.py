@@ -106,7 +106,7 @@ def test_pair_report_is_in_the_order_of_similarity_then_ids(spark, copies_dir):
     assert got[["id_a", "id_b"]].values.tolist() == expected[["id_a", "id_b"]].values.tolist()
 
 
-@pytest.mark.parametrize("name", ["f31_lower_scored"])
+@pytest.mark.parametrize("name", ["f31_lower_scored", "m09_resolved_duplicates"])
 def test_what_has_no_order_sorts_no_pairs(spark, copies_dir, name):
     got = registry.queries()[name](spark, copies_dir)
     assert "rangepartitioning" not in plan_of(got)
